@@ -1,0 +1,94 @@
+"""Writers: B1-B8, B10.  One write per sink per run (never one file per row);
+``partitionBy`` gives per-system / per-dataset folders and partition pruning."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.timefmt import ipled_text
+from ..schemas import DETAIL_COLUMNS
+
+
+def detail_text(detail: DataFrame) -> DataFrame:
+    """Detail rows as the 9 named text columns of the detail CSV."""
+    return detail.select(
+        F.col("log_dataset").alias("log_name"),
+        F.col("log_id").cast("string").alias("log_id"),
+        F.date_format("event_date", "yyyy-M-d").alias("date"),
+        F.col("event_time").alias("time"),
+        F.col("sysname").alias("system"),
+        "type", "error",
+        ipled_text("last_ipl_ts").alias("last_ipl"),
+        "msg").select(*DETAIL_COLUMNS)
+
+
+def _csv(df: DataFrame, path: str, partition_by=None, mode: str = "overwrite") -> str:
+    w = df.write.mode(mode).option("sep", ";").option("header", True)
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.csv(path)
+    return path
+
+
+def write_detail(detail: DataFrame, path: str) -> str:
+    """B1: one ``;`` CSV folder with header per log dataset."""
+    return _csv(detail_text(detail), path, "log_name")
+
+
+def write_resume(resume: DataFrame, path: str) -> str:
+    """B2: resume CSV, one folder per system."""
+    return _csv(resume, path, "sysname")
+
+
+def append_parquet(df: DataFrame, path: str) -> str:
+    """B3."""
+    df.write.mode("append").parquet(path)
+    return path
+
+
+def overwrite_parquet(df: DataFrame, path: str, partition_by=None) -> str:
+    """Full overwrite; with ``partition_by`` only the partitions present
+    in ``df`` are replaced (dynamic partition overwrite)."""
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.option("partitionOverwriteMode", "dynamic").partitionBy(partition_by)
+    w.parquet(path)
+    return path
+
+
+def append_table(df: DataFrame, table: str) -> str:
+    """Append to a catalog table (name) or a parquet table (path)."""
+    if "/" in table:
+        return append_parquet(df, table)
+    df.write.mode("append").saveAsTable(table)
+    return table
+
+
+def split_by_system(resume: DataFrame, path: str) -> str:
+    """One CSV (with header) per system, plus a header-only ``empty``
+    file, split on equality of the system column."""
+    _csv(resume, f"{path}/by_system", "sysname")
+    _csv(resume.limit(0), f"{path}/empty")
+    return path
+
+
+def write_json(df: DataFrame, path: str) -> str:
+    """B7."""
+    df.write.mode("overwrite").json(path)
+    return path
+
+
+def export_report(report: DataFrame, path: str) -> str:
+    """Export of the displayed report as CSV with header."""
+    report.write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
+def import_json_rows(spark: SparkSession, json_rows: DataFrame, schema: T.StructType,
+                     table_path: str, column: str = "value") -> DataFrame:
+    """JSON text rows -> typed rows -> appended to a table; returns the rows."""
+    parsed = json_rows.select(F.from_json(F.col(column), schema).alias("r")).select("r.*")
+    append_parquet(parsed, table_path)
+    return parsed
