@@ -106,8 +106,9 @@ def format_hms_floor(seconds) -> Column:
     n = _c(seconds).cast("bigint")
     h = F.floor(n / 3600).cast("bigint")
     rem = F.pmod(n, F.lit(3600).cast("bigint"))
-    return F.format_string("%02d:%02d:%02d", h, F.floor(rem / 60).cast("bigint"),
-                           F.pmod(rem, F.lit(60).cast("bigint")))
+    return F.when(n.isNotNull(), F.format_string(
+        "%02d:%02d:%02d", h, F.floor(rem / 60).cast("bigint"),
+        F.pmod(rem, F.lit(60).cast("bigint"))))
 
 
 def format_days(seconds) -> Column:
@@ -119,8 +120,8 @@ def format_days(seconds) -> Column:
     h = F.when(pos, F.floor((n % 86400) / 3600)).otherwise(0).cast("bigint")
     m = F.when(pos, F.floor((n % 3600) / 60)).otherwise(0).cast("bigint")
     s = F.when(pos, n % 60).otherwise(n).cast("bigint")
-    return F.format_string("[ %d day(s), %d hour(s), %d minute(s), %d second(s) ]",
-                           d, h, m, s)
+    return F.when(n.isNotNull(), F.format_string(
+        "[ %d day(s), %d hour(s), %d minute(s), %d second(s) ]", d, h, m, s))
 
 
 # ---------------------------------------------------------------- C10 / C11
