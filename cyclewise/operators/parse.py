@@ -9,20 +9,26 @@ the scan, and the prefilter drops lines before any split happens.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalogue as cat
-from ..functions.timefmt import (event_timestamp, ipled_timestamp,
-                                 julian_to_date, normalize_time)
+from ..functions.timefmt import event_timestamp, julian_to_date, normalize_time
 
 DIGITS = "^[0-9]+$"
 
 
-def _any_contains(line: Column, tokens) -> Column:
-    return reduce(lambda a, b: a | b, [line.contains(t) for t in tokens])
+def _sq(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _any_contains(col: str, tokens) -> str:
+    return "(" + " OR ".join(f"contains({col}, {_sq(t)})" for t in tokens) + ")"
+
+
+def _word(words: str, i: int) -> str:
+    """Word ``i`` (0-based) of the line, '' when missing (as awk fields)."""
+    return f"coalesce(get({words}, {i}), '')"
 
 
 def message_prefilter(lines: DataFrame, line_col: str = "line") -> DataFrame:
@@ -35,35 +41,53 @@ def tokenize(line: Column) -> Column:
     return F.split(F.regexp_replace(line, "^[ \\t]+", ""), "[ \\t]+")
 
 
-def word(words: Column, i: int) -> Column:
-    """Word ``i`` (0-based) of the line, '' when missing (as awk fields)."""
-    return F.coalesce(F.get(words, i), F.lit(""))
+def classify_sql(line: str = "line", words: str = "_w") -> str:
+    """C4 as a SQL expression: first matching class wins; NULL when none."""
+    jes3 = (f"(contains({line}, {_sq(cat.END_OF_SHUTDOWN_JES3)}) AND "
+            f"contains({_word(words, 7)}, {_sq(cat.END_OF_SHUTDOWN_JES3_WORD8)}))")
+    branches = [
+        (_any_contains(line, cat.SHUTDOWN_BEGIN_TOKENS), cat.SHUTDOWN_BEGIN),
+        (f"({_any_contains(line, cat.END_OF_SHUTDOWN_TOKENS)} OR {jes3})", cat.END_OF_SHUTDOWN),
+        (_any_contains(line, cat.IPL_BEGIN_TOKENS), cat.IPL_BEGIN),
+        (_any_contains(line, cat.IPL_END_TOKENS), cat.IPL_END),
+        (_any_contains(line, cat.PRE_IPL_TOKENS), cat.PRE_IPL),
+        (_any_contains(line, cat.POST_IPL_TOKENS), cat.POST_IPL),
+    ]
+    return "CASE " + " ".join(f"WHEN {c} THEN {_sq(t)}" for c, t in branches) + " END"
+
+
+def record_layout_sql(line: str = "line", words: str = "_w") -> str:
+    """C2 as a SQL expression: number (1-8) of the first matching layout."""
+    w = lambda i: _word(words, i)
+    d = lambda i: f"{w(i)} RLIKE '{DIGITS}'"
+    return (f"CASE WHEN contains({w(4)}, ':') THEN 1 "
+            f"WHEN contains({line}, {_sq(cat.SYSTEM_IPLED_TOKEN)}) THEN 2 "
+            f"WHEN contains({w(3)}, ':') THEN 3 "
+            f"WHEN contains({w(4)}, 'R=') THEN 4 "
+            f"WHEN {d(1)} AND {d(2)} THEN 5 "
+            f"WHEN {d(1)} THEN 6 "
+            f"WHEN {d(2)} AND {d(3)} THEN 7 ELSE 8 END")
 
 
 def classify(line: Column, words: Column) -> Column:
-    """C4: first matching class wins; NULL when none matches."""
-    jes3_pair = line.contains(cat.END_OF_SHUTDOWN_JES3) & \
-        word(words, 7).contains(cat.END_OF_SHUTDOWN_JES3_WORD8)
-    return (F.when(_any_contains(line, cat.SHUTDOWN_BEGIN_TOKENS), cat.SHUTDOWN_BEGIN)
-            .when(_any_contains(line, cat.END_OF_SHUTDOWN_TOKENS) | jes3_pair,
-                  cat.END_OF_SHUTDOWN)
-            .when(_any_contains(line, cat.IPL_BEGIN_TOKENS), cat.IPL_BEGIN)
-            .when(_any_contains(line, cat.IPL_END_TOKENS), cat.IPL_END)
-            .when(_any_contains(line, cat.PRE_IPL_TOKENS), cat.PRE_IPL)
-            .when(_any_contains(line, cat.POST_IPL_TOKENS), cat.POST_IPL))
+    """C4 over columns named ``line`` and ``_w``."""
+    return F.expr(classify_sql())
 
 
 def record_layout(line: Column, words: Column) -> Column:
-    """Number (1-8) of the first matching record layout."""
-    w = lambda i: word(words, i)
-    return (F.when(w(4).contains(":"), 1)
-            .when(line.contains(cat.SYSTEM_IPLED_TOKEN), 2)
-            .when(w(3).contains(":"), 3)
-            .when(w(4).contains("R="), 4)
-            .when(w(1).rlike(DIGITS) & w(2).rlike(DIGITS), 5)
-            .when(w(1).rlike(DIGITS), 6)
-            .when(w(2).rlike(DIGITS) & w(3).rlike(DIGITS), 7)
-            .otherwise(8))
+    """C2 over columns named ``line`` and ``_w``."""
+    return F.expr(record_layout_sql())
+
+
+_W = "_w"
+SYSTEM_OK_SQL = (f"CASE WHEN layout = 1 THEN contains({_word(_W, 2)}, coalesce(sysname, '')) "
+                 f"WHEN layout = 3 THEN contains({_word(_W, 1)}, coalesce(sysname, '')) ELSE true END")
+DATE_RAW_SQL = (f"CASE WHEN layout = 1 THEN {_word(_W, 3)} WHEN layout = 3 THEN {_word(_W, 2)} "
+                f"WHEN layout IN (4, 5, 6) THEN {_word(_W, 1)} WHEN layout = 7 THEN {_word(_W, 2)} END")
+TIME_RAW_SQL = (f"CASE WHEN layout = 1 THEN {_word(_W, 4)} WHEN layout = 3 THEN {_word(_W, 3)} "
+                f"WHEN layout IN (4, 5) THEN {_word(_W, 2)} WHEN layout = 7 THEN {_word(_W, 3)} END")
+TYPE_SQL = f"CASE WHEN layout = 2 THEN {_sq(cat.SYSTEM_IPLED)} WHEN layout <> 8 THEN {classify_sql()} END"
+ERROR_SQL = f"CASE WHEN type IS NULL AND layout <> 8 AND {_any_contains('line', cat.ERROR_TOKENS)} THEN 'y' END"
 
 
 def parse_lines(lines: DataFrame, prefilter: bool = True) -> DataFrame:
@@ -72,45 +96,33 @@ def parse_lines(lines: DataFrame, prefilter: bool = True) -> DataFrame:
     Columns out: log_dataset, sysname, log_id, [part_no], layout, date_raw,
     time_raw, event_date, event_time, event_ts, type, error, last_ipl_ts, msg.
     Layouts 1 and 3 carry a system word that must contain the dataset's
-    system name (C3); lines failing it produce no row.
+    system name (C3); lines failing it produce no row.  Four projections of
+    built-in expressions, all inside one whole-stage-codegen span.
     """
     src = message_prefilter(lines) if prefilter else lines
-    line = F.col("line")
-    words = tokenize(line)
-    w = lambda i: word(F.col("_w"), i)
+    extra = [c for c in ("part_no",) if c in lines.columns]
     # Words come out of a one-row generator: a filter on them (C3) cannot be
     # pushed below it, so Catalyst does not inline the split into every word
     # reference (which would re-split each line once per reference).
-    staged = src.select("*", F.inline(F.array(F.struct(words.alias("_w"))))).withColumn(
-        "layout", record_layout(line, F.col("_w")))
-    layout = F.col("layout")
-    sysname = F.coalesce(F.col("sysname"), F.lit(""))
-    system_ok = (F.when(layout == 1, w(2).contains(sysname))
-                 .when(layout == 3, w(1).contains(sysname))
-                 .otherwise(F.lit(True)))
-    date_raw = (F.when(layout == 1, w(3)).when(layout == 3, w(2))
-                .when(layout.isin(4, 5, 6), w(1)).when(layout == 7, w(2)))
-    time_raw = (F.when(layout == 1, w(4)).when(layout == 3, w(3))
-                .when(layout.isin(4, 5), w(2)).when(layout == 7, w(3)))
-    cls = F.when(layout == 2, F.lit(cat.SYSTEM_IPLED)) \
-        .when(layout != 8, classify(line, F.col("_w")))
-    extra = [c for c in ("part_no",) if c in lines.columns]
-    out = (staged.filter(system_ok)
-           .withColumn("date_raw", date_raw)
-           .withColumn("time_raw", time_raw)
-           .withColumn("type", cls)
-           .withColumn("event_date", julian_to_date(F.col("date_raw")))
-           .withColumn("event_time", normalize_time(F.col("time_raw")))
-           .select(
-               "log_dataset", "sysname", F.col("line_no").alias("log_id"), *extra,
-               "layout", "date_raw", "time_raw", "event_date", "event_time",
-               event_timestamp(F.col("event_date"), F.col("event_time")).alias("event_ts"),
-               "type",
-               F.when(F.col("type").isNull() & (layout != 8)
-                      & _any_contains(line, cat.ERROR_TOKENS), F.lit("y")).alias("error"),
-               F.when(layout == 2, ipled_timestamp(w(6), w(8))).alias("last_ipl_ts"),
-               line.alias("msg")))
-    return out
+    staged = src.select("log_dataset", "sysname", "line_no", "line", *extra,
+                        F.inline(F.array(F.struct(tokenize(F.col("line")).alias(_W)))))
+    staged = staged.select("*", F.expr(record_layout_sql()).alias("layout")) \
+        .filter(F.expr(SYSTEM_OK_SQL))
+    typed = staged.select(
+        "log_dataset", "sysname", F.col("line_no").alias("log_id"), *extra, "layout", "line",
+        F.expr(DATE_RAW_SQL).alias("date_raw"), F.expr(TIME_RAW_SQL).alias("time_raw"),
+        F.expr(TYPE_SQL).alias("type"),
+        F.expr(f"CASE WHEN layout = 2 THEN try_to_timestamp(concat_ws(' ', {_word(_W, 8)}, "
+               f"{_word(_W, 6)}), 'MM/dd/yyyy HH.mm.ss') END").alias("last_ipl_ts"))
+    dated = typed.select(
+        "*", julian_to_date(F.col("date_raw")).alias("event_date"),
+        normalize_time(F.col("time_raw")).alias("event_time"),
+        F.expr(ERROR_SQL).alias("error"))
+    return dated.select(
+        "log_dataset", "sysname", "log_id", *extra, "layout", "date_raw", "time_raw",
+        "event_date", "event_time",
+        event_timestamp(F.col("event_date"), F.col("event_time")).alias("event_ts"),
+        "type", "error", "last_ipl_ts", F.col("line").alias("msg"))
 
 
 def error_lines(detail: DataFrame) -> DataFrame:
@@ -138,5 +150,5 @@ def jes_level(lines: DataFrame, single_dataset: bool = False) -> DataFrame:
         cond = (line.contains("IEF237I") & line.contains("JES")
                 & line.contains("ALLOCATED") & line.contains("SYSLOG"))
     return (lines.filter(cond)
-            .select("log_dataset", word(words, 8).alias("jes_level"))
+            .select("log_dataset", F.coalesce(F.get(words, 8), F.lit("")).alias("jes_level"))
             .distinct())

@@ -22,17 +22,24 @@ LINE_MULTIPLIER = 7919
 LINE_MODULUS = 1000003
 
 
-def _message(v, et):
-    return (F.when(et == "error", F.when(v % 2 == 0, "TSO IS SHUTTING DOWN")
-                   .otherwise("DSI039I TASK ENDED"))
-            .when(et == "view", F.when(v % 4 == 0, "IXC371D CONFIRM")
-                  .when(v % 4 == 1, "JES2 TERMINATION COMPLETE")
-                  .when(v % 4 == 2, "Z EOD").otherwise("HASP ABEND NOT FOUND"))
-            .when(et == "click", F.lit("IEA371I PARMLIB"))
-            .when(et == "purchase", F.when(v % 3 == 0, "HZS0103I CHECKS")
-                  .when(v % 3 == 1, "S TN3270").otherwise("IPLTRK02I DONE"))
-            .when(et == "signup", F.when(v % 3 == 0, "IPLTRK01I START")
-                  .when(v % 3 == 1, "TSO LOGON").otherwise("SYSTEM IPLED")))
+MESSAGE_SQL = """CASE event_type
+  WHEN 'error' THEN CASE WHEN v % 2 = 0 THEN 'TSO IS SHUTTING DOWN' ELSE 'DSI039I TASK ENDED' END
+  WHEN 'view' THEN CASE v % 4 WHEN 0 THEN 'IXC371D CONFIRM' WHEN 1 THEN 'JES2 TERMINATION COMPLETE'
+                              WHEN 2 THEN 'Z EOD' ELSE 'HASP ABEND NOT FOUND' END
+  WHEN 'click' THEN 'IEA371I PARMLIB'
+  WHEN 'purchase' THEN CASE v % 3 WHEN 0 THEN 'HZS0103I CHECKS' WHEN 1 THEN 'S TN3270' ELSE 'IPLTRK02I DONE' END
+  WHEN 'signup' THEN CASE v % 3 WHEN 0 THEN 'IPLTRK01I START' WHEN 1 THEN 'TSO LOGON' ELSE 'SYSTEM IPLED' END
+END"""
+
+LINE_SQL = """CASE
+  WHEN msg = 'SYSTEM IPLED' THEN concat('D C000000 045 SYSTEM IPLED AT ', date_format(ts, 'HH.mm.ss'),
+                                        ' ON ', date_format(ts, 'MM/dd/yyyy'))
+  WHEN event_id % 3 = 0 THEN concat_ws(' ', 'N 4000000', sysname, date_format(ts, 'yyyyDDD'),
+                                       concat(date_format(ts, 'HH:mm:ss'), '.00'), msg)
+  WHEN event_id % 3 = 1 THEN concat_ws(' ', 'N', sysname, date_format(ts, 'yyyyDDD'),
+                                       concat(date_format(ts, 'HH:mm:ss'), '.00'), msg)
+  ELSE concat_ws(' ', 'N', date_format(ts, 'yyyyDDD'), concat(date_format(ts, 'HHmmss'), '00'), msg)
+END"""
 
 
 def events_syslog(events: DataFrame) -> DataFrame:
@@ -42,32 +49,20 @@ def events_syslog(events: DataFrame) -> DataFrame:
     text (Catalyst keeps a non-trivial expression that is used several times
     in its own projection instead of inlining it into every use).
     """
-    ts = F.col("ts")
-    eid = F.col("event_id")
-    sysname = F.concat(F.lit("SYS"), (F.col("user_id") % 5).cast("string"))
-    week = F.floor((F.dayofyear(ts) - 1) / 7).cast("bigint").cast("string")
-    staged = events.select(
-        "ts", "event_id", sysname.alias("sysname"),
-        F.concat(sysname, F.lit(".W"), week).alias("log_dataset"),
-        _message(F.floor(F.col("value")).cast("bigint"), F.col("event_type")).alias("msg"))
-    msg = F.col("msg")
-    sysname = F.col("sysname")
-    jul = F.date_format(ts, "yyyyDDD")
-    hms = F.concat(F.date_format(ts, "HH:mm:ss"), F.lit(".00"))
-    line = (F.when(msg == "SYSTEM IPLED", F.concat(
-                F.lit("D C000000 045 SYSTEM IPLED AT "), F.date_format(ts, "HH.mm.ss"),
-                F.lit(" ON "), F.date_format(ts, "MM/dd/yyyy")))
-            .when(eid % 3 == 0, F.concat_ws(" ", F.lit("N 4000000"), sysname, jul, hms, msg))
-            .when(eid % 3 == 1, F.concat_ws(" ", F.lit("N"), sysname, jul, hms, msg))
-            .otherwise(F.concat_ws(" ", F.lit("N"), jul,
-                                   F.concat(F.date_format(ts, "HHmmss"), F.lit("00")), msg)))
+    staged = events.selectExpr(
+        "ts", "event_id", "concat('SYS', CAST(user_id % 5 AS STRING)) AS sysname",
+        "CAST(floor(value) AS BIGINT) AS v", "event_type",
+        "CAST(floor((dayofyear(ts) - 1) / 7) AS BIGINT) AS wk"
+    ).selectExpr(
+        "ts", "event_id", "sysname", "concat(sysname, '.W', CAST(wk AS STRING)) AS log_dataset",
+        f"{MESSAGE_SQL} AS msg")
     # The line comes out of a one-row generator: a filter on it (the message
     # prefilter) then stays above this point instead of being pushed, with
     # the whole rendering inlined, below the exchange into the scan task.
     return staged.select(
         "log_dataset", "sysname",
-        ((eid * LINE_MULTIPLIER) % LINE_MODULUS).cast("bigint").alias("line_no"),
-        eid.alias("event_id"), F.inline(F.array(F.struct(line.alias("line"))))) \
+        F.expr(f"CAST((event_id * {LINE_MULTIPLIER}) % {LINE_MODULUS} AS BIGINT)").alias("line_no"),
+        "event_id", F.inline(F.array(F.struct(F.expr(LINE_SQL).alias("line"))))) \
         .select("log_dataset", "sysname", "line_no", "line", "event_id")
 
 
