@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import catalogue as cat
 from ..operators.parse import parse_lines
 from ..operators.routing import done_rows
 from ..schemas import RESUME
@@ -47,10 +48,12 @@ def q_iplinfo(s, sf):
     return scan_iplinfo(scan_syslog(s, text_syslog(s, sf)))
 
 
-@q("cap_lines", sql("SELECT log_dataset, count(*) AS n_lines FROM dense WHERE dense_no <= 100 GROUP BY 1", DENSE_CTE))
+@q("cap_lines", sql(f"SELECT log_dataset, count(*) AS n_lines FROM dense WHERE dense_no <= {cat.IPLINFO_LINE_LIMIT} GROUP BY 1", DENSE_CTE))
 def q_cap_lines(s, sf):
+    """H4: lines of each log read by the restart-info helper (its fixed cap)."""
     ln = scan_syslog(s, text_syslog(s, sf))
-    return ln.filter(F.col("line_no") <= 100).groupBy("log_dataset").agg(F.count(F.lit(1)).alias("n_lines"))
+    return ln.filter(F.col("line_no") <= cat.IPLINFO_LINE_LIMIT).groupBy("log_dataset") \
+        .agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 M1_SQL = sql("""SELECT d.log_dataset, n.dense_no AS log_id, d.type, d.error,

@@ -71,6 +71,6 @@ def ensure_parallelism(df, spark: SparkSession | None = None):
     """
     spark = spark or df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    if df._jdf.rdd().getNumPartitions() < cores:
         return df.repartition(cores)
     return df

@@ -52,7 +52,8 @@ def scan_syslog(spark: SparkSession, path: str, sysname: str | None = None,
     offsets = splits.select(
         "log_dataset", "_file", "_block", "_first",
         F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_offset"))
-    bound = (len(raw.inputFiles()) + raw.rdd.getNumPartitions()) * _SPLIT_ROW_BYTES
+    # planned bound; the file array stays a JVM proxy (only its length crosses)
+    bound = (len(raw._jdf.inputFiles()) + raw._jdf.rdd().getNumPartitions()) * _SPLIT_ROW_BYTES
     if bound <= _BROADCAST_LIMIT_BYTES:
         offsets = F.broadcast(offsets)
     return (lines.join(offsets, ["log_dataset", "_file", "_block"])
