@@ -60,8 +60,11 @@ def ingest_results(spark: SparkSession, resume: DataFrame, store_root: str,
     raw_path = _path(store_root, "raw_results")
     raw = read_parquet(spark, raw_path, RESUME)
     new = unseen_rows(resume.select(*RESUME.fieldNames()), raw).checkpoint()
-    append_parquet(new, raw_path)
-    candidates = rows_for_systems(spark.read.parquet(raw_path), new)
+    # raw results are partitioned by system: the semi-join of E3 below reads
+    # only the partitions of systems with new data (dynamic partition pruning)
+    new.write.mode("append").partitionBy("sysname").parquet(raw_path)
+    candidates = rows_for_systems(
+        spark.read.parquet(raw_path).select(*RESUME.fieldNames()), new)
     deltas = {
         "results_done": done_rows(candidates),
         "results_fail": fail_rows(candidates, rule),
@@ -80,7 +83,8 @@ def ingest_results(spark: SparkSession, resume: DataFrame, store_root: str,
 
 
 def result_table(spark: SparkSession, store_root: str, table: str) -> DataFrame:
-    return read_parquet(spark, _path(store_root, table), SINKS.get(table, RESUME))
+    schema = SINKS.get(table, RESUME)
+    return read_parquet(spark, _path(store_root, table), schema).select(*schema.fieldNames())
 
 
 def report_view(spark: SparkSession, store_root: str, view: str, formatted: bool = True) -> DataFrame:
