@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from cyclewise.llm import op9_sharding
+from cyclewise.llm import (
+    op2_quality_rules, op3_html, op4_mixing, op7_url_filter, op8_packing, op9_sharding, op10_token_blocks,
+)
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules.query,
+    "op3_html": op3_html.query,
+    "op4_mixing": op4_mixing.query,
+    "op7_url_filter": op7_url_filter.query,
+    "op8_packing": op8_packing.query,
     "op9_sharding": op9_sharding.query,
+    "op10_token_blocks": op10_token_blocks.query,
+}
+ORACLE = {
+    "op2_quality_rules": op2_quality_rules.ORACLE_SQL,
 }
-ORACLE = {}
