@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from cyclewise.llm import (
-    op2_quality_rules, op3_html, op4_mixing, op7_url_filter, op8_packing, op9_sharding, op10_token_blocks,
+    op1_jaccard_join, op2_quality_rules, op3_html, op4_mixing, op5_topk, op6_substring_dedup, op7_url_filter,
+    op8_packing, op9_sharding, op10_token_blocks,
 )
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join.query,
     "op2_quality_rules": op2_quality_rules.query,
     "op3_html": op3_html.query,
     "op4_mixing": op4_mixing.query,
+    "op5_topk": op5_topk.query,
+    "op6_substring_dedup": op6_substring_dedup.query,
     "op7_url_filter": op7_url_filter.query,
     "op8_packing": op8_packing.query,
     "op9_sharding": op9_sharding.query,
@@ -17,4 +21,5 @@ QUERIES = {
 }
 ORACLE = {
     "op2_quality_rules": op2_quality_rules.ORACLE_SQL,
+    "op5_topk": op5_topk.ORACLE_SQL,
 }
