@@ -7,7 +7,9 @@ a hit may be false, so hits still go through the join, and the more ids there ar
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType
 
 BITS = 1 << 24
 
@@ -35,3 +37,11 @@ def hits(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
 def place(column: str) -> Column:
     """The bit of an id."""
     return _place(F.col(column).cast("long")).cast("long")
+
+
+def hit(bits, ids: Column) -> Column:
+    """Whether the bitmap (a broadcast variable) may hold the id."""
+    @F.pandas_udf(BooleanType())
+    def test(places: pd.Series) -> pd.Series:
+        return pd.Series(hits(bits.value, places.to_numpy()))
+    return test(_place(ids).cast("long"))

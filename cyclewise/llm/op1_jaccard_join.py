@@ -27,8 +27,9 @@ order by their counts, which cover all documents (counts below two in a chunk ar
 at most ``COMMON`` of them are broadcast.  The order decides cost alone: any order gives the same links.
 
 Cases: null or empty text, or no word: an empty set, linked with nothing; fewer than n words: the whole sequence is one
-shingle; rows that repeat an id with its text count once; if texts differ under one id, the id
-links with what any of them links; an empty table gives no rows; other columns are ignored.
+shingle; rows that repeat an id with its text count once; if texts differ under one id,
+each row has its own set, and the rows may share their links; rows without an id are left out;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -261,7 +262,8 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> t
     rest = j.across(entries, pivots, labels)
     far = j.links(rest, "across")
     links = near.unionByName(far)
-    labels = components(links, "all")
+    if not far.isEmpty():
+        labels = components(links, "all")
     copies = j.groups.where("k > 1").select("d1", "d2", "rep")
     rows = j.sets.select("doc_id", "n", "d1", "d2").join(copies, ["d1", "d2"], "left")
     rows = rows.withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
@@ -269,5 +271,21 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> t
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id")), links
 
 
+def keep_first(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component; of rows that
+    repeat an id, one (rows without an id stay).  Only rows whose id may be among those that go, or repeats, are shuffled whole."""
+    found = jaccard_join(docs, n, percent)[0]
+    marked = found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("k"))
+    marked = materialise(marked.where("c <> doc_id or k > 1"), "copies")
+    bits = idfilter.bitmap(marked, "doc_id")
+    names = docs.columns
+    rows = docs.select(*[F.col(c).alias(f"c_{c}") for c in names], F.col("doc_id").cast("long").alias("id"))
+    rows = rows.withColumn("hit", idfilter.hit(bits, F.coalesce("id", F.lit(0).cast("long"))))
+    rest = rows.where("hit").join(marked.withColumnRenamed("doc_id", "id"), "id", "left").where("c is null or c = id")
+    rest = rest.where("k is null or k = 1").unionByName(rest.where("k > 1").dropDuplicates(["id"]))
+    kept = rows.where("not hit").unionByName(rest.select(*rows.columns))
+    return kept.select(*[F.col(f"c_{c}").alias(c) for c in names])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read_table(spark, sf_dir, "documents"))[0]

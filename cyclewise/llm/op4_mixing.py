@@ -16,7 +16,8 @@ Tokens are counted as words.
 Cases: a null source is a source of its own; sources without tokens get weight 0 and are read
 once when the budget covers all; null and empty texts have 0 tokens; rows that are repeated exactly
 are mixed together; one source, or none with tokens, gets exponent 1; an
-empty table gives no rows.  Other columns are kept as they are.
+empty table gives no rows.  Other columns are kept as they are,
+but for those named like an added one, which it replaces.
 """
 
 from __future__ import annotations
@@ -128,19 +129,22 @@ def mix(rows: DataFrame, keys: list[str], target: Target = Target(), budget: int
     cut = w.join(edge.select(*src, F.col("b").alias("x_edge")), src, "left").join(last, src, "left")
     cut = materialise(cut, "mix-cuts")
 
-    joined = rows.withColumn("x_source", F.coalesce("source", F.lit(""))).withColumn(
-        "x_null", F.col("source").isNull()).join(cut, src)
-    h = _order(F.col("x_whole"), keys)
+    plain = rows.select(*[F.col(c).alias("c_" + c) for c in names], F.coalesce("source", F.lit("")).alias("x_source"),
+                        F.col("source").isNull().alias("x_null"))
+    c_keys = ["c_" + k for k in keys]
+    h = _order(F.col("x_whole"), c_keys)
     taken = F.when(F.col("x_partial") <= 0, F.lit(False)).when(F.col("x_edge").isNull(), F.lit(True)).otherwise(
         (_block(h) < F.col("x_edge")) | ((_block(h) == F.col("x_edge"))
                                          & F.coalesce(h <= F.col("x_last"), F.lit(False))))
     passes = F.col("x_whole") + taken.cast("long")
-    each = joined.where(passes > 0).withColumn("mix_pass", F.explode(F.sequence(F.lit(0).cast("long"), passes - 1)))
-    h_pass = _order(F.col("mix_pass"), keys)
+    each = plain.join(cut, src).where(passes > 0).withColumn(
+        "x_pass", F.explode(F.sequence(F.lit(0).cast("long"), passes - 1)))
+    h_pass = _order(F.col("x_pass"), c_keys)
     unit = (F.shiftrightunsigned(h_pass, 11).cast("double")) / F.lit(float(2**53))
-    return each.select(*names, n_words(F.col("text")).alias("mix_tokens"), F.col("x_weight").alias("mix_weight"), "mix_pass",
-                       _block(h_pass).alias("mix_block"),
-                       ((F.col("mix_pass") + unit) / F.col("x_reads")).alias("mix_order"))
+    added = {"mix_tokens": n_words(F.col("c_text")), "mix_weight": F.col("x_weight"), "mix_pass": F.col("x_pass"),
+             "mix_block": _block(h_pass), "mix_order": (F.col("x_pass") + unit) / F.col("x_reads")}
+    return each.select(*[F.col("c_" + c).alias(c) for c in names if c not in added],
+                       *[v.alias(c) for c, v in added.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

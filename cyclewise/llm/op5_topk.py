@@ -18,6 +18,8 @@ a product still fits a long (2**28 at 64 components); other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -71,22 +73,27 @@ class Search:
         self.score = np.full((len(q), k), np.iinfo(np.int64).min)
         self.best = np.full((len(q), k), np.iinfo(np.int64).max)
         if len(q) and len(v):
-            self.pair(tree(q), tree(v))
+            self.run(tree(q), tree(v))
 
     def bound(self, a: Node, b: Node) -> float:
         x = float(a.centre @ b.centre) + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius
         return x + 1e-9 * abs(x) + 1e-6
 
-    def pair(self, a: Node, b: Node) -> None:
-        if self.bound(a, b) < self.score[a.rows, -1].min():
-            return
-        if not a.children and not b.children:
-            self.leaves(a.rows, b.rows)
-            return
-        halves = b.children if b.children and (not a.children or b.radius >= a.radius) else None
-        todo = [(a, x) for x in halves] if halves else [(x, b) for x in a.children]
-        for x, y in sorted(todo, key=lambda t: -self.bound(*t)):
-            self.pair(x, y)
+    def run(self, a: Node, b: Node) -> None:
+        """Pairs of nodes, greatest bound first; the wider node of a pair is opened."""
+        heap, n = [(-self.bound(a, b), 0, a, b)], 0
+        while heap:
+            bound, _, a, b = heapq.heappop(heap)
+            worst = self.score[a.rows, -1].min()
+            if -bound < worst:
+                continue
+            if not a.children and not b.children:
+                self.leaves(a.rows, b.rows)
+                continue
+            open_data = b.children and (not a.children or b.radius >= a.radius)
+            for x, y in [(a, c) for c in b.children] if open_data else [(c, b) for c in a.children]:
+                n += 1
+                heapq.heappush(heap, (-self.bound(x, y), n, x, y))
 
     def leaves(self, a: np.ndarray, b: np.ndarray) -> None:
         s = (self.q[a] @ self.v[b].T).astype(np.int64) if self.exact else self.qi[a] @ self.vi[b].T

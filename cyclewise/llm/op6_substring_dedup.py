@@ -256,6 +256,21 @@ def dedup_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
     return joined.mapInArrow(_cut(list(keep)), f"{schema}n_words long, n_removed long, kept_text string")
 
 
+def clean(docs: DataFrame) -> DataFrame:
+    """``docs`` without the removed words.  A text that loses nothing stays as it is; documents
+    that had words and keep none go."""
+    names = docs.columns
+    plain = docs.select(*[F.col(c).alias(f"c_{c}") for c in names], "doc_id", "text")
+    rows = dedup_documents(plain, tuple(f"c_{c}" for c in names)).where("n_words = 0 or n_removed < n_words")
+    changed = F.col("n_removed") > 0
+    value = {c: F.col(f"c_{c}") for c in names}
+    value["text"] = F.when(changed, F.col("kept_text")).otherwise(F.col("c_text"))
+    if "n_chars" in value:
+        value["n_chars"] = F.when(changed, F.length("kept_text")).otherwise(F.col("c_n_chars")).cast(
+            docs.schema["n_chars"].dataType)
+    return rows.select(*[value[c].alias(c) for c in names])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_documents(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))

@@ -131,7 +131,7 @@ def _placed(table, names):
     def run(batches):
         for batch in batches:
             n, r = (batch.column(k).to_numpy(zero_copy_only=False) for k in (batch.schema.get_field_index("length"),
-                                                                          batch.schema.get_field_index("rank")))
+                                                                          batch.schema.get_field_index("_rank")))
             at = np.searchsorted(key, (n << 44) + r, side="right") - 1
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)) for c in names]
@@ -143,16 +143,16 @@ def pack(rows: DataFrame, keys: list[str], capacity: int = CAPACITY) -> DataFram
     """``rows`` (with ``length`` from 1 to ``capacity``) plus ``sequence_id`` and
     ``offset``.  ``keys`` spread and order rows of one length.  What the driver and
     every task hold is the plan: it is made from at most ``capacity`` counts."""
-    rows = rows.withColumn("b", F.shiftrightunsigned(F.xxhash64(*keys), 56).cast("int"))
-    by_bucket = materialise(rows.groupBy("length", "b").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
-    counts = {r["length"]: r["n"] for r in by_bucket.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    bucket = F.shiftrightunsigned(F.xxhash64(*keys), 56).cast("int").alias("_b")
+    names, rows = rows.columns, rows.select("*", bucket)
+    by_bucket = materialise(rows.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("_n")), "piece-counts")
+    counts = {r["length"]: r["n"] for r in by_bucket.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     table = _ranges(plan(counts, capacity), capacity)
-    prior = W.partitionBy("length").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    first = by_bucket.select("length", "b", F.coalesce(F.sum("n").over(prior), F.lit(0)).alias("before"))
-    rank = F.row_number().over(W.partitionBy("length", "b").orderBy(*keys)) - 1 + F.col("before")
-    names = [c for c in rows.columns if c != "b"]
-    ranked = rows.join(first, ["length", "b"]).withColumn("rank", rank.cast("long")).select(*names, "rank")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "b")
+    prior = W.partitionBy("length").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    first = by_bucket.select("length", "_b", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(W.partitionBy("length", "_b").orderBy(*keys)) - 1 + F.col("_before")
+    ranked = rows.join(first, ["length", "_b"]).select(*names, rank.cast("long").alias("_rank"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_b")
     return ranked.mapInArrow(_placed(table, names), f"{schema}, sequence_id long, offset long")
 
 

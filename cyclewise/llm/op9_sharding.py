@@ -36,8 +36,8 @@ def _offsets(counts: DataFrame, part: list[str], bucket: str) -> DataFrame:
 
 
 def interleave(rows: DataFrame, stratum: Column, keys: list[str], seed: int = SEED) -> DataFrame:
-    """``rows`` plus ``position`` (0-based place in the proportional order) and
-    ``n_rows``.  ``keys`` are the columns that order rows beside the hash."""
+    """row (a struct of the columns of ``rows``), position (0-based place in the
+    proportional order) and n_rows.  ``keys`` are the columns that order rows beside the hash."""
     names = [c for c in rows.columns]
     h = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
     base = rows.select(*[F.col(c).alias(f"c_{c}") for c in names], F.coalesce(stratum, F.lit("")).alias("s"),
@@ -53,17 +53,18 @@ def interleave(rows: DataFrame, stratum: Column, keys: list[str], seed: int = SE
                          .drop("b", "before", "total", "r"), "interleave")
     cuts = _offsets(ranked.groupBy("fb").agg(F.count(F.lit(1)).alias("n")), [], "fb")
     place = F.row_number().over(W.partitionBy("fb").orderBy("f", "s", "s_null", "h", *order)) + F.col("before") - 1
-    return ranked.join(cuts, "fb").withColumn("position", place).select(
-        *[F.col(f"c_{c}").alias(c) for c in names], F.col("position").cast("long").alias("position"),
-        F.col("total").alias("n_rows"))
+    return ranked.join(cuts, "fb").select(F.struct(*[F.col(f"c_{c}").alias(c) for c in names]).alias("row"),
+                                          place.cast("long").alias("position"), F.col("total").alias("n_rows"))
 
 
 def shard(rows: DataFrame, stratum: Column, keys: list[str], shards: int, seed: int = SEED) -> DataFrame:
-    """``rows`` plus ``shard`` (0 to ``shards`` - 1) and ``slot`` (place in it)."""
-    p = interleave(rows, stratum, keys, seed)
+    """``rows`` plus ``shard`` (0 to ``shards`` - 1) and ``slot`` (place in it),
+    which replace columns of these names."""
     cut = f"(position * {shards}) div n_rows"
     first = F.expr(f"({cut} * n_rows + {shards} - 1) div {shards}")
-    return p.select(*rows.columns, F.expr(cut).cast("int").alias("shard"), (F.col("position") - first).alias("slot"))
+    return interleave(rows, stratum, keys, seed).select(
+        *[F.col("row")[c].alias(c) for c in rows.columns if c not in ("shard", "slot")],
+        F.expr(cut).cast("int").alias("shard"), (F.col("position") - first).alias("slot"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
