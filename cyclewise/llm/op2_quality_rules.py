@@ -10,8 +10,9 @@ their own text into boilerplate.  A line in more than ``LINE_SHARE`` per cent of
 the host's documents, and in more than ``LINE_DOCUMENTS``, is removed; a
 document that keeps under ``KEPT_SHARE`` per cent of its words is depleted and rejected.
 
-Only hashes are shuffled, in two steps: plain counts (with map-side sums) leave the few lines
-that can pass the limit at all, and distinct texts are counted for those alone.
+Texts are read once and only hashes are shuffled, in two steps: plain counts (with map-side
+sums) leave the few lines that can pass the limit at all, and distinct texts are counted for those
+alone.  A host's frequent lines are a short array (see ``frequent_lines``) that joins its rows.
 
 Cases: a null or empty text has no words, fails the base rules and has no lines; lines without a word do not count;
 a null host is a host of its own; rows repeated exactly are judged each, and alike; an empty table gives
@@ -22,7 +23,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cyclewise.llm.common import SEPARATORS, WORD_REGEX, ascii_lower, materialise, read_table, words
+from cyclewise.llm.common import (
+    SEP_REGEX, SEPARATORS, WORD_REGEX, ascii_lower, materialise, n_words, read_table, words,
+)
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -30,7 +33,6 @@ REPEAT_SHARE = 30
 LINE_SHARE = 10
 LINE_DOCUMENTS = 50
 KEPT_SHARE = 30
-IDENTITY = ["doc_id", "host", "no_host", "t"]
 SYMBOLS = "#*$%&|<>"
 
 
@@ -42,37 +44,40 @@ def _let(value: Column, body) -> Column:
 def _repeat_words(w: Column) -> Column:
     """Words covered by windows whose hash occurs twice or more in the array ``w``.
 
-    Windows are sorted by (hash, place); those equal to a neighbour are repeated,
-    and their places, sorted, cover min(WINDOW, step to the next place) words each."""
-    def windows(ws: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(ws) - WINDOW), lambda i: F.struct(
-            F.xxhash64(*[ws[i + k] for k in range(WINDOW)]).alias("h"), i.alias("i")))
+    Most texts have no such window, and that is seen from the distinct hashes alone. Else windows
+    are sorted by (hash, place); those equal to a neighbour are repeated, and
+    their places, sorted, cover min(WINDOW, step to the next place) words each."""
+    def windows(hw: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(hw) - WINDOW),
+                           lambda i: F.xxhash64(*[hw[i + k] for k in range(WINDOW)]))
 
     def places(s: Column) -> Column:
         def twice(x: Column, k: Column) -> Column:
             before = F.when(k > 0, s[k - 1]["h"] == x["h"]).otherwise(False)
             after = F.when(k + 1 < F.size(s), s[k + 1]["h"] == x["h"]).otherwise(False)
             return before | after
-        return F.array_sort(F.transform(F.filter(s, twice), lambda x: x["i"]))
+        return F.sort_array(F.transform(F.filter(s, twice), lambda x: x["i"]))
 
     def covered(p: Column) -> Column:
         return F.aggregate(p, F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")), lambda acc, i: F.struct(
             (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n"), i.alias("last")))["n"]
 
-    def several(ws: Column) -> Column:
-        return _let(F.array_sort(windows(ws)), lambda s: _let(places(s), covered))
+    def repeated(h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(
+            _let(pairs, lambda s: _let(places(s), covered)))
 
-    return F.when(F.size(w) < WINDOW, F.lit(0)).otherwise(several(w))
+    return F.when(F.size(w) < WINDOW, F.lit(0)).otherwise(
+        _let(F.transform(w, lambda x: F.xxhash64(x)), lambda hw: _let(windows(hw), repeated)))
 
 
-def base_rules(docs: DataFrame) -> DataFrame:
+def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_REGEX))
+    text = F.coalesce(F.col(text).cast("string"), F.lit(""))
     kept = docs.columns
     one = _let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"),
                                                _repeat_words(w).cast("long").alias("n_repeat_words")))
-    two = _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    two = _let(_lines(text), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
     out = docs.select(
         *kept, one.alias("_w"), F.length(F.translate(text, SEPARATORS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -82,50 +87,95 @@ def base_rules(docs: DataFrame) -> DataFrame:
                       F.col("_w.n_repeat_words").alias("n_repeat_words"), failed.alias("base_failed"))
 
 
+def _lines(text: Column) -> Column:
+    """Lines that hold a word."""
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_REGEX))
+
+
 def _normalised(line: Column) -> Column:
-    return F.array_join(words(ascii_lower(line)), " ")
-
-
-def _identity(docs: DataFrame) -> DataFrame:
-    """doc_id, text, host, no_host and text hash t: rows alike in these are judged alike."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.coalesce("source", F.lit("")).alias("host"),
-                       F.col("source").isNull().alias("no_host"), F.xxhash64(F.lit(7), text).alias("t"))
-
-
-def document_lines(docs: DataFrame) -> DataFrame:
-    """Normalised lines that hold a word: doc_id, host, no_host, t, place, line
-    hash (a, b) and words n."""
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD_REGEX))
-    each = _identity(docs).select(*IDENTITY, F.posexplode(F.transform(lines, _normalised)).alias("place", "line"))
-    return each.select(*IDENTITY, "place", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"),
-                       F.regexp_count("line", F.lit(WORD_REGEX)).alias("n"))
-
-
-def frequent_lines(docs: DataFrame, share: int = LINE_SHARE, least: int = LINE_DOCUMENTS) -> DataFrame:
-    """host, no_host, a, b of the lines above the limit."""
-    line, host = ["host", "no_host", "a", "b"], ["host", "no_host"]
-    texts = _identity(docs).select(*host, "t")
-    hosts = texts.distinct().groupBy(*host).agg(F.count(F.lit(1)).alias("n_docs"))
-    rows = document_lines(docs)
-    often = rows.groupBy(*line).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > least)
-    over = lambda c: 100 * F.col(c) > share * F.col("n_docs")
-    often = materialise(often.join(hosts, host).where(over("c")), "often-lines")
-    exact = rows.join(often.select(*line, "n_docs"), line).select(*line, "n_docs", "t").distinct()
-    exact = exact.groupBy(*line, "n_docs").agg(F.count(F.lit(1)).alias("d"))
-    return materialise(exact.where((F.col("d") > least) & over("d")).select(*line), "frequent-lines")
-
-
-def judge(docs: DataFrame) -> DataFrame:
-    """One row per document: the base figures, base_failed, n_line_words_removed, depleted, kept."""
-    lines = document_lines(docs).join(frequent_lines(docs), ["host", "no_host", "a", "b"])
-    removed = lines.groupBy(*IDENTITY, "place").agg(F.max("n").alias("n")).groupBy(*IDENTITY).agg(F.sum("n").alias("r"))
-    base = base_rules(_identity(docs)).drop("text")
-    out = base.join(removed, IDENTITY, "left")
-    gone = F.coalesce("r", F.lit(0)).cast("long")
-    out = out.withColumn("n_line_words_removed", gone).drop("r", "host", "no_host", "t")
-    out = out.withColumn("depleted", 100 * (F.col("n_words") - F.col("n_line_words_removed")) < KEPT_SHARE * F.col("n_words"))
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
+    return F.trim(F.regexp_replace(ascii_lower(line), SEP_REGEX, " "))
+
+
+def _key(line: Column) -> Column:
+    """128-bit key of a line."""
+    return _let(_normalised(line), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text, host, no_host and the text's hash t."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select("doc_id", text.alias("text"), *_host(), F.xxhash64(F.lit(7), text).alias("t"))
+
+
+def _host() -> list[Column]:
+    return [F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.col("source").isNull().alias("no_host")]
+
+
+def line_keys(text: str = "text") -> Column:
+    """array<struct<k, n>>: key and words of each line of a document that holds a word."""
+    return F.transform(_lines(F.col(text)), lambda x: F.struct(
+        _key(x).alias("k"), F.regexp_count(x, F.lit(WORD_REGEX)).alias("n")))
+
+
+def frequent_lines(rows: DataFrame, share: int = LINE_SHARE, least: int = LINE_DOCUMENTS) -> DataFrame:
+    """host, no_host, frequent: the keys of each host's lines above the limit.
+
+    ``rows`` has host, no_host, t and lines (``line_keys``).  A host's array is bounded: each of its lines
+    stands in over ``share`` per cent of its documents, so there are fewer than 100 / share times
+    the lines of a mean document."""
+    host = ["host", "no_host"]
+    hosts = rows.select(*host, "t").distinct().groupBy(*host).agg(F.count(F.lit(1)).alias("n_docs"))
+    keys = rows.select(*host, "t", F.explode(F.array_distinct(F.transform("lines", lambda x: x["k"]))).alias("k"))
+    keys = keys.select(*host, "t", "k.a", "k.b")
+    over = lambda c: (F.col(c) > least) & (100 * F.col(c) > share * F.col("n_docs"))
+    often = keys.groupBy(*host, "a", "b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > least)
+    often = materialise(often.join(hosts, host).where(over("c")).select(*host, "a", "b", "n_docs"), "often-lines")
+    exact = keys.join(often, [*host, "a", "b"]).distinct().groupBy(*host, "a", "b", "n_docs").agg(
+        F.count(F.lit(1)).alias("d"))
+    found = exact.where(over("d")).groupBy(*host).agg(F.collect_list(F.struct("a", "b")).alias("frequent"))
+    return materialise(found, "frequent-lines")
+
+
+def _removed_words(lines: Column, frequent: Column) -> Column:
+    return F.when(frequent.isNull(), F.lit(0)).otherwise(F.aggregate(
+        lines, F.lit(0), lambda acc, x: acc + F.when(F.array_contains(frequent, x["k"]), x["n"]).otherwise(0))).cast("long")
+
+
+def _depleted(n_words: str, removed: str) -> Column:
+    return 100 * (F.col(n_words) - F.col(removed)) < KEPT_SHARE * F.col(n_words)
+
+
+def judge(docs: DataFrame, share: int = LINE_SHARE, least: int = LINE_DOCUMENTS) -> DataFrame:
+    """One row per row of ``docs``: the base figures, base_failed,
+    n_line_words_removed, depleted, kept.  The texts are read once."""
+    rows = base_rules(identified(docs).withColumn("lines", line_keys())).drop("text")
+    rows = materialise(rows, "line-keys")
+    out = rows.join(frequent_lines(rows, share, least), ["host", "no_host"], "left")
+    out = out.withColumn("n_line_words_removed", _removed_words(F.col("lines"), F.col("frequent")))
+    out = out.withColumn("depleted", _depleted("n_words", "n_line_words_removed"))
+    out = out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
+    return out.drop("lines", "frequent", "host", "no_host", "t")
+
+
+def clean(docs: DataFrame, share: int = LINE_SHARE, least: int = LINE_DOCUMENTS) -> DataFrame:
+    """The kept rows of ``docs``, without the lines above the limit; texts are not shuffled
+    but for the join with the hosts where their table is large."""
+    names = docs.columns
+    lines = materialise(identified(docs).select("host", "no_host", "t", line_keys().alias("lines")), "line-keys")
+    plain = docs.select(*[F.col(c).alias(f"c_{c}") for c in names], *_host())
+    rows = base_rules(plain.join(frequent_lines(lines, share, least), ["host", "no_host"], "left"), "c_text")
+    rows = rows.where(~F.col("base_failed"))
+    text = F.coalesce(F.col("c_text").cast("string"), F.lit(""))
+    left = F.when(F.col("frequent").isNull(), text).otherwise(F.array_join(F.filter(
+        F.split(text, "\n"), lambda x: ~(x.rlike(WORD_REGEX) & F.array_contains(F.col("frequent"), _key(x)))), "\n"))
+    rows = rows.withColumn("left", left).withColumn("removed", F.col("n_words") - n_words(F.col("left")))
+    rows = rows.where(~_depleted("n_words", "removed"))
+    changed = F.col("removed") > 0
+    value = {c: F.col(f"c_{c}") for c in names}
+    value["text"] = F.when(changed, F.col("left")).otherwise(F.col("c_text"))
+    if "n_chars" in value:
+        value["n_chars"] = F.when(changed, F.length("left")).otherwise(value["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[value[c].alias(c) for c in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
