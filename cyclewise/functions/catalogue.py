@@ -51,26 +51,14 @@ DATASET_NAME_MUST_CONTAIN = "LOG"
 DATASET_LISTING_SKIP = "IN-CAT"
 DATASETS_KEPT_PER_QUALIFIER = 90
 
-# FIXED VALUES: lines read by the restart-info helper
-IPLINFO_LINE_LIMIT = 100000
-
-# FIXED VALUES: resume CSV discovery and header-only size guards (bytes)
-RESUME_FILE_GLOB = "*resume*.CSV"
-RESUME_MIN_BYTES_INCREMENTAL = 205
-RESUME_MIN_BYTES_FIRST_LOAD = 800
+# FIXED VALUES: names of resume files (any case)
+RESUME_FILE_PATTERN = "(?i)resume.*[.]csv$"
+RESUME_FILE_GLOB = "*[rR][eE][sS][uU][mM][eE]*.[cC][sS][vV]"
 
 # FIXED VALUES: pseudo-epoch weights (seconds per year / month / day)
 SECONDS_PER_YEAR_APPROX = 31557600
 SECONDS_PER_MONTH_APPROX = 2629800
 
-# FIXED VALUES: report page sizes
-RESULTS_PAGE_SIZE = 50
-DEFAULT_PAGE_SIZE = 10
-
-# Class labels in precedence order (used by classify and tests)
-CLASS_ORDER = [SHUTDOWN_BEGIN, END_OF_SHUTDOWN, IPL_BEGIN, IPL_END, PRE_IPL,
-               POST_IPL, SYSTEM_IPLED]
-
 
 def prefilter_regex() -> str:
     """All message patterns OR-ed into one regular expression."""

@@ -9,40 +9,39 @@ F1 is an ordered fold: in log order, keep
 * ipl_end        = max of IPL END times later than the running ipl_begin.
 
 Each level is a prefix scan whose filter depends on the previous level's
-running value at the same row.  A single window partitioned by dataset would
-put a whole log dataset into one task, so a dataset holding a third of all
-rows would be one straggler.  Instead the scan is a two-level parallel prefix
-scan:
-
-1. rows are hash-partitioned once by ``(log_dataset, chunk)`` where a chunk is
-   at most ``chunk_lines`` consecutive log positions, so every window
-   partition is bounded;
-2. per level, a running window inside each chunk gives the local prefix, a
-   per-chunk aggregate (map-side, no extra shuffle: the rows are already
-   partitioned by the chunk key) gives the chunk summary, and a window over
-   the small chunk table gives the carry from all earlier chunks;
-3. the carry is joined back on the chunk key (the big side keeps its
-   partitioning; AQE broadcasts the chunk table when its measured size is
-   small) and ``least(carry, local)`` is the exact running value.
-
-The final per-dataset values are plain partial aggregates (min/max/max_by),
-so hot datasets are combined map-side before the last shuffle.
+running value at the same row.  A window partitioned by dataset would put a
+whole log dataset into one task, so the scan is a two-level prefix scan, always:
+
+1. the class rows (nothing else takes part) are written once to the shared
+   folder, with a chunk number; a chunk is ``chunk_lines`` consecutive log
+   positions, so it never holds more rows than that;
+2. per level, a running window inside each chunk gives the local prefix; the
+   chunk minima and a window over the small chunk table give the carry from
+   all earlier chunks;
+3. the carries found so far stand in one chunk table, joined back on the chunk
+   key; ``least(carry, local)`` is the exact running value.
+
+The source is scanned and parsed once; three levels take three joins with the
+chunk table.  The final per-dataset values are plain partial aggregates
+(min/max/max_by), so hot datasets are combined map-side before the last shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalogue as cat
+from ..session import written
 
-# Rows of one dataset that share a window partition, at most (log positions).
-DEFAULT_CHUNK_LINES = 1 << 20
+# Log positions of one dataset that share a window partition.
+DEFAULT_CHUNK_LINES = 1 << 13
 # Position of a line inside a multi-part log: part number in the high bits.
 PART_SHIFT = 1 << 40
 
 _KEY = ["log_dataset", "_chunk"]
+# (class, running value), each filtered by the one before
+_LEVELS = [(cat.SHUTDOWN_BEGIN, "_sb"), (cat.END_OF_SHUTDOWN, "_se"), (cat.IPL_BEGIN, "_ib"), (cat.IPL_END, "_ie")]
 
 
 def with_position(detail: DataFrame, chunk_lines: int = DEFAULT_CHUNK_LINES) -> DataFrame:
@@ -59,110 +58,90 @@ def _ts_of(type_name: str) -> Column:
                   F.col("event_ts"))
 
 
-def _carry(rows: DataFrame, cand: str, name: str, fn) -> DataFrame:
-    """Chunk table ``(log_dataset, _chunk, name)``: ``fn`` over the candidates
-    of all *earlier* chunks of the same dataset."""
-    chunks = rows.groupBy(*_KEY).agg(fn(cand).alias("_m"))
-    earlier = (Window.partitionBy("log_dataset").orderBy("_chunk")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    return chunks.select(*_KEY, fn("_m").over(earlier).alias(name))
-
-
-def _accept_levels(r: DataFrame, window, carry) -> DataFrame:
-    """The four running-accept levels over ``window``; ``carry(r, col, name)``
-    (chunked scan) returns the carry table of a level, or is None."""
-    ts = F.col("event_ts")
+def _running(rows: DataFrame, carries: DataFrame | None, levels: int) -> DataFrame:
+    """``rows`` with ``<level>_x`` (accepted candidate) for the first ``levels``
+    levels and the running value of those whose carry is known."""
+    window = (Window.partitionBy(*_KEY).orderBy("_pos")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    known = []
+    if carries is not None:
+        known = [c for c in carries.columns if c not in _KEY]
+        rows = rows.join(carries, _KEY)
     prev = None
-    for cls, name, fn in ((cat.SHUTDOWN_BEGIN, "_sb", F.min),
-                          (cat.END_OF_SHUTDOWN, "_se", F.min),
-                          (cat.IPL_BEGIN, "_ib", F.min),
-                          (cat.IPL_END, "_ie", None)):
+    for cls, name in _LEVELS[:levels]:
         cand = _ts_of(cls)
         if prev is not None:
-            cand = F.when(cand.isNotNull() & (F.col(prev).isNull() | (ts > F.col(prev))), ts)
-        r = r.withColumn(f"{name}_x", cand)
-        if fn is None:
-            break
-        if carry is None:
-            r = r.withColumn(name, fn(f"{name}_x").over(window))
-        else:
-            r = r.withColumn(f"{name}_loc", fn(f"{name}_x").over(window))
-            r = (r.join(carry(r, f"{name}_x", f"{name}_c", fn), _KEY)
-                 .withColumn(name, F.least(f"{name}_c", f"{name}_loc")))
+            cand = F.when(cand.isNotNull() & (F.col(prev).isNull() | (F.col("event_ts") > F.col(prev))),
+                          F.col("event_ts"))
+        rows = rows.withColumn(f"{name}_x", cand)
+        if f"{name}_c" in known:
+            rows = rows.withColumn(name, F.least(f"{name}_c", F.min(f"{name}_x").over(window)))
         prev = name
-    return r
+    return rows.drop(*known)
 
 
-def running_boundaries(detail: DataFrame, chunk_lines: int = DEFAULT_CHUNK_LINES,
-                       strategy: str = "chunked") -> DataFrame:
-    """G1: every class row with the accepted candidates of each level.
+def running_boundaries(detail: DataFrame, chunk_lines: int = DEFAULT_CHUNK_LINES) -> DataFrame:
+    """G1: every row of ``detail`` with the accepted candidates of each level.
 
     Adds ``_sb_x``, ``_se_x``, ``_ib_x``, ``_ie_x`` (the row's time when the
     row is of that class *and* accepted by the running-accept rule, else
     NULL) and the running values ``_sb``, ``_se``, ``_ib`` at the row.
-
-    ``strategy='single'``: one window partition per dataset (only valid when
-    every dataset is known to hold at most ``chunk_lines`` rows; one shuffle,
-    one sort, one stage).  ``strategy='chunked'``: the two-level scan.
     """
-    rows = with_position(detail, chunk_lines)
-    if strategy == "single":
-        w = (Window.partitionBy("log_dataset").orderBy("_pos")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return _accept_levels(rows, w, None)
-    local = (Window.partitionBy(*_KEY).orderBy("_pos")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # One shuffle of the class rows by chunk key, sorted in log order and kept
-    # (memory, spilling to disk; lost blocks are recomputed from lineage), so
-    # every level reads it without re-running the scan and the parse.
-    base = (rows.repartition(*_KEY).sortWithinPartitions(*_KEY, "_pos")
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    return _accept_levels(base, local, _carry)
-
-
-def choose_strategy(classed: DataFrame, chunk_lines: int = DEFAULT_CHUNK_LINES) -> str:
-    """Measured bound: ``single`` when no dataset holds more than
-    ``chunk_lines`` class rows (partial count per dataset, one small job),
-    else ``chunked`` so that hot datasets are split across tasks."""
-    biggest = (classed.groupBy("log_dataset").count()
-               .agg(F.max("count").alias("m")).first()["m"])
-    return "single" if (biggest or 0) <= chunk_lines else "chunked"
+    rows = written(with_position(detail, chunk_lines), "class-rows")
+    earlier = (Window.partitionBy("log_dataset").orderBy("_chunk")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    carries = None
+    for level in range(1, len(_LEVELS)):
+        name = _LEVELS[level - 1][1]
+        found = [c for c in (carries.columns if carries is not None else []) if c not in _KEY]
+        chunks = _running(rows, carries, level).groupBy(*_KEY).agg(F.min(f"{name}_x").alias("_m"))
+        carry = chunks.select(*_KEY, F.min("_m").over(earlier).alias(f"{name}_c"))
+        if carries is not None:
+            carry = carry.join(carries, _KEY)
+        carries = written(carry.select(*_KEY, *found, f"{name}_c"), "chunk-carries")
+    return _running(rows, carries, len(_LEVELS))
 
 
 BOUNDARY_COLUMNS = ["pre_ipl_ts", "shutdown_begin_ts", "shutdown_end_ts",
                     "ipl_begin_ts", "ipl_end_ts", "post_ipl_ts", "last_ipl_ts"]
 
 
-def cycle_boundaries(detail: DataFrame, chunk_lines: int = DEFAULT_CHUNK_LINES,
-                     strategy: str = "auto") -> DataFrame:
+def _class_rows(detail: DataFrame) -> DataFrame:
+    return detail.filter(F.col("type").isNotNull()).select(
+        "log_dataset", "sysname", "log_id", *(["part_no"] if "part_no" in detail.columns else []),
+        "type", "event_ts", "last_ipl_ts")
+
+
+def _plain() -> dict[str, Column]:
+    """F2, F3 and the D11 flag: plain aggregates of class rows with ``_pos``."""
+    ipled = F.when((F.col("type") == cat.SYSTEM_IPLED) & F.col("last_ipl_ts").isNotNull(), F.col("_pos"))
+    return {"sysname": F.max("sysname"), "pre_ipl_ts": F.min(_ts_of(cat.PRE_IPL)),
+            "post_ipl_ts": F.max(_ts_of(cat.POST_IPL)), "last_ipl_ts": F.max_by("last_ipl_ts", ipled),
+            "has_ipl": F.max(F.col("type").rlike(cat.DATASET_KEEP_TYPE_PATTERN))}
+
+
+def dataset_spans(detail: DataFrame) -> DataFrame:
+    """F2 + F3 + D11 flag without the fold: sysname, log_dataset, pre_ipl_ts,
+    post_ipl_ts, last_ipl_ts (the last SYSTEM IPLED time in log order), has_ipl."""
+    rows = with_position(_class_rows(detail))
+    return rows.groupBy("log_dataset").agg(*[v.alias(k) for k, v in _plain().items()])
+
+
+def cycle_boundaries(detail: DataFrame, chunk_lines: int = DEFAULT_CHUNK_LINES) -> DataFrame:
     """F1 + F2 + F3 (+ D11 flag): one row per log dataset.
 
     Columns: sysname, log_dataset, pre_ipl_ts, shutdown_begin_ts,
-    shutdown_end_ts, ipl_begin_ts, ipl_end_ts, post_ipl_ts, last_ipl_ts
-    (the last SYSTEM IPLED time in log order), has_ipl (D11).
+    shutdown_end_ts, ipl_begin_ts, ipl_end_ts, post_ipl_ts, last_ipl_ts, has_ipl.
     Only class rows take part (rows without a type are dropped before the
-    first shuffle, so they never reach the scan).  ``strategy`` is ``auto``
-    (measured choice, see ``choose_strategy``), ``single`` or ``chunked``.
+    first shuffle, so they never reach the scan).
     """
-    classed = detail.filter(F.col("type").isNotNull()).select(
-        "log_dataset", "sysname", "log_id", *(["part_no"] if "part_no" in detail.columns else []),
-        "type", "event_ts", "last_ipl_ts")
-    if strategy == "auto":
-        classed = classed.persist(StorageLevel.MEMORY_AND_DISK)
-        strategy = choose_strategy(classed, chunk_lines)
-    r = running_boundaries(classed, chunk_lines, strategy)
-    ipled_pos = F.when((F.col("type") == cat.SYSTEM_IPLED)
-                       & F.col("last_ipl_ts").isNotNull(), F.col("_pos"))
+    r = running_boundaries(_class_rows(detail), chunk_lines)
     return (r.groupBy("log_dataset").agg(
-        F.max("sysname").alias("sysname"),
-        F.min(_ts_of(cat.PRE_IPL)).alias("pre_ipl_ts"),
+        *[v.alias(k) for k, v in _plain().items()],
         F.min("_sb_x").alias("shutdown_begin_ts"),
         F.min("_se_x").alias("shutdown_end_ts"),
         F.min("_ib_x").alias("ipl_begin_ts"),
         F.max("_ie_x").alias("ipl_end_ts"),
-        F.max(_ts_of(cat.POST_IPL)).alias("post_ipl_ts"),
-        F.max_by("last_ipl_ts", ipled_pos).alias("last_ipl_ts"),
-        F.max(F.col("type").rlike(cat.DATASET_KEEP_TYPE_PATTERN)).alias("has_ipl"),
     ).select("sysname", "log_dataset", *BOUNDARY_COLUMNS, "has_ipl"))
 
 
@@ -171,6 +150,12 @@ def datasets_with_ipl(boundaries: DataFrame) -> DataFrame:
     return boundaries.filter(F.col("has_ipl"))
 
 
+def detail_with_ipl(detail: DataFrame) -> DataFrame:
+    """D11 on detail rows: those of datasets that show an IPL-type row."""
+    kept = detail.filter(F.col("type").rlike(cat.DATASET_KEEP_TYPE_PATTERN)).select("log_dataset").distinct()
+    return detail.join(kept, "log_dataset", "left_semi")
+
+
 def first_last_boundaries(detail: DataFrame) -> DataFrame:
     """interactive variant: first SHUTDOWN BEGIN, last END OF SHUTDOWN,
     first IPL BEGIN, first IPL END, by file order, no ordering checks."""
@@ -195,15 +180,16 @@ def lines_processed(detail: DataFrame) -> DataFrame:
         F.max(F.col("log_id").cast("bigint")).alias("lines_processed"))
 
 
-def union_log_parts(lines: DataFrame, parts: DataFrame) -> DataFrame:
+def union_log_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """Join several log datasets into one, in part order.
 
-    ``parts`` maps ``log_dataset`` -> ``(group_name, part_no)``; the joined
-    log is named after its first part (``group_name``) and ordered by
-    ``(part_no, line_no)``.  Line numbers restart in every part, as each
-    part is numbered on its own.  ``parts`` has one row per dataset; the join
-    is left to AQE (broadcast when its measured size is small).
+    ``rows`` are detail rows (parsed before they are joined: class rows are few,
+    raw lines are not).  ``parts`` maps ``log_dataset`` -> ``(group_name,
+    part_no)``; the joined log is named after its first part (``group_name``)
+    and ordered by ``(part_no, line number)``.  Line numbers restart in every
+    part, as each part is numbered on its own.  ``parts`` has one row per
+    dataset; the join is left to AQE (broadcast when its measured size is small).
     """
-    return (lines.join(parts, "log_dataset")
+    return (rows.join(parts, "log_dataset")
             .drop("log_dataset")
             .withColumnRenamed("group_name", "log_dataset"))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sinks import append_table
+
 MIGRATE_COLUMNS = ["lpar", "hostname", "dataset", "username", "enable"]
 
 
@@ -52,9 +54,13 @@ def insert_if_absent(lpar: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def update_rows(lpar: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
-    """E5: batch merge by key: non-null update values replace old ones."""
+    """E5: batch merge by key: non-null update values replace old ones.  A key
+    that stands in ``updates`` twice fails the job (it would multiply rows)."""
     cols = [c for c in updates.columns if c != key]
-    u = updates.select(key, *[F.col(c).alias(f"_u_{c}") for c in cols])
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(
+        F.lit(f"repeated {key} in updates: "), F.first(key).cast("string"))))
+    u = updates.groupBy(key).agg(F.first(F.struct(*cols)).alias("_v"), once.alias("_once"))
+    u = u.select(key, *[F.when(F.col("_once").isNull(), F.col("_v")[c]).alias(f"_u_{c}") for c in cols])
     joined = lpar.join(u, key, "left")
     return joined.select(*[
         F.coalesce(F.col(f"_u_{c}"), F.col(c)).alias(c) if c in cols else F.col(c)
@@ -66,6 +72,9 @@ def delete_by_key(frame: DataFrame, keys: DataFrame, key: str = "id") -> DataFra
     return frame.join(keys.select(key).distinct(), key, "left_anti")
 
 
-def migrate_inventory(legacy: DataFrame) -> DataFrame:
-    """The five columns copied from the legacy table."""
-    return legacy.select(*MIGRATE_COLUMNS)
+def migrate_inventory(legacy: DataFrame, table: str) -> DataFrame:
+    """Append the five columns of the legacy table to the new ``table``
+    (name or path); returns the rows inserted."""
+    rows = legacy.select(*MIGRATE_COLUMNS)
+    append_table(rows, table)
+    return rows

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalogue as cat
-from ..functions.timefmt import event_timestamp, julian_to_date, normalize_time
+from ..functions.timefmt import event_timestamp, ipled_timestamp, julian_to_date, normalize_time
 
 DIGITS = "^[0-9]+$"
 
@@ -31,9 +31,10 @@ def _word(words: str, i: int) -> str:
     return f"coalesce(get({words}, {i}), '')"
 
 
-def message_prefilter(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """Keep lines matching any of the catalogue patterns."""
-    return lines.filter(F.col(line_col).rlike(cat.prefilter_regex()))
+def message_prefilter(lines: DataFrame, line_col: str = "line", patterns: str | None = None) -> DataFrame:
+    """Keep lines matching any of the patterns (``patterns``: one regex, as
+    ``load_patterns`` returns it; else the fixed catalogue)."""
+    return lines.filter(F.col(line_col).rlike(patterns or cat.prefilter_regex()))
 
 
 def tokenize(line: Column) -> Column:
@@ -69,19 +70,9 @@ def record_layout_sql(line: str = "line", words: str = "_w") -> str:
             f"WHEN {d(2)} AND {d(3)} THEN 7 ELSE 8 END")
 
 
-def classify(line: Column, words: Column) -> Column:
-    """C4 over columns named ``line`` and ``_w``."""
-    return F.expr(classify_sql())
-
-
-def record_layout(line: Column, words: Column) -> Column:
-    """C2 over columns named ``line`` and ``_w``."""
-    return F.expr(record_layout_sql())
-
-
 _W = "_w"
-SYSTEM_OK_SQL = (f"CASE WHEN layout = 1 THEN contains({_word(_W, 2)}, coalesce(sysname, '')) "
-                 f"WHEN layout = 3 THEN contains({_word(_W, 1)}, coalesce(sysname, '')) ELSE true END")
+SYSTEM_OK_SQL = (f"CASE WHEN layout = 1 THEN contains({_word(_W, 2)}, sysname) "
+                 f"WHEN layout = 3 THEN contains({_word(_W, 1)}, sysname) ELSE true END")
 DATE_RAW_SQL = (f"CASE WHEN layout = 1 THEN {_word(_W, 3)} WHEN layout = 3 THEN {_word(_W, 2)} "
                 f"WHEN layout IN (4, 5, 6) THEN {_word(_W, 1)} WHEN layout = 7 THEN {_word(_W, 2)} END")
 TIME_RAW_SQL = (f"CASE WHEN layout = 1 THEN {_word(_W, 4)} WHEN layout = 3 THEN {_word(_W, 3)} "
@@ -90,16 +81,16 @@ TYPE_SQL = f"CASE WHEN layout = 2 THEN {_sq(cat.SYSTEM_IPLED)} WHEN layout <> 8
 ERROR_SQL = f"CASE WHEN type IS NULL AND layout <> 8 AND {_any_contains('line', cat.ERROR_TOKENS)} THEN 'y' END"
 
 
-def parse_lines(lines: DataFrame, prefilter: bool = True) -> DataFrame:
+def parse_lines(lines: DataFrame, prefilter: bool = True, patterns: str | None = None) -> DataFrame:
     """Syslog lines -> detail rows.
 
     Columns out: log_dataset, sysname, log_id, [part_no], layout, date_raw,
     time_raw, event_date, event_time, event_ts, type, error, last_ipl_ts, msg.
     Layouts 1 and 3 carry a system word that must contain the dataset's
-    system name (C3); lines failing it produce no row.  Four projections of
+    system name (C3); lines failing it, or of an unknown system, produce no row.  Four projections of
     built-in expressions, all inside one whole-stage-codegen span.
     """
-    src = message_prefilter(lines) if prefilter else lines
+    src = message_prefilter(lines, patterns=patterns) if prefilter else lines
     extra = [c for c in ("part_no",) if c in lines.columns]
     # Words come out of a one-row generator: a filter on them (C3) cannot be
     # pushed below it, so Catalyst does not inline the split into every word
@@ -112,8 +103,7 @@ def parse_lines(lines: DataFrame, prefilter: bool = True) -> DataFrame:
         "log_dataset", "sysname", F.col("line_no").alias("log_id"), *extra, "layout", "line",
         F.expr(DATE_RAW_SQL).alias("date_raw"), F.expr(TIME_RAW_SQL).alias("time_raw"),
         F.expr(TYPE_SQL).alias("type"),
-        F.expr(f"CASE WHEN layout = 2 THEN try_to_timestamp(concat_ws(' ', {_word(_W, 8)}, "
-               f"{_word(_W, 6)}), 'MM/dd/yyyy HH.mm.ss') END").alias("last_ipl_ts"))
+        F.when(F.col("layout") == 2, ipled_timestamp(F.expr(_word(_W, 6)), F.expr(_word(_W, 8)))).alias("last_ipl_ts"))
     dated = typed.select(
         "*", julian_to_date(F.col("date_raw")).alias("event_date"),
         normalize_time(F.col("time_raw")).alias("event_time"),
@@ -130,11 +120,6 @@ def error_lines(detail: DataFrame) -> DataFrame:
     return detail.filter(F.col("error") == "y")
 
 
-def class_rows(detail: DataFrame) -> DataFrame:
-    """Detail rows that carry a class (the only rows the reducer needs)."""
-    return detail.filter(F.col("type").isNotNull())
-
-
 def jes_level(lines: DataFrame, single_dataset: bool = False) -> DataFrame:
     """JES level words from allocation messages of the syslog.
 

@@ -52,8 +52,15 @@ def sort_last_ipl(last: DataFrame) -> DataFrame:
     return last.orderBy("sysname", "last_ipl")
 
 
-def page(report: DataFrame, order_cols, page_no: int = 1, page_size: int = 50) -> DataFrame:
-    """H3: one page of a report in a total order (``order_cols`` must form a
-    unique key, so pages are stable).  A global sort is a range shuffle; only
-    the requested page is returned."""
-    return report.orderBy(*order_cols).offset((page_no - 1) * page_size).limit(page_size)
+def page(report: DataFrame, order_cols, page_size: int, after=None) -> DataFrame:
+    """H3: the page that follows the key ``after`` (values of ``order_cols`` of
+    the last row seen; None for the first page) in a total order; ``order_cols``
+    must form a unique key without NULLs.  A page of any depth costs one filter
+    and a top-``page_size``, no offset is held by a task."""
+    if after is not None:
+        beyond = F.lit(False)
+        for k in reversed(range(len(order_cols))):
+            c = F.col(order_cols[k])
+            beyond = (c > F.lit(after[k])) | ((c == F.lit(after[k])) & beyond)
+        report = report.filter(beyond)
+    return report.orderBy(*order_cols).limit(page_size)

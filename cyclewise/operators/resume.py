@@ -19,6 +19,12 @@ PHASES = [
     ("total_elapsed", "pre_ipl_ts", "post_ipl_ts"),
 ]
 
+# (duration, start boundary, end boundary)
+SPANS = [("shutdown_duration", "shutdown_begin_ts", "shutdown_end_ts"),
+         ("poweroff_duration", "shutdown_end_ts", "ipl_begin_ts"),
+         ("load_ipl", "ipl_begin_ts", "ipl_end_ts"),
+         ("total_duration", "shutdown_begin_ts", "ipl_end_ts")]
+
 SIX = ["pre_ipl_ts", "shutdown_begin_ts", "shutdown_end_ts", "ipl_begin_ts",
        "ipl_end_ts", "post_ipl_ts"]
 
@@ -29,12 +35,6 @@ def _elapsed(start: str, end: str, mode: str) -> Column:
     return elapsed_seconds(start, end)
 
 
-def phase_elapsed_seconds(boundaries: DataFrame, mode: str = "exact") -> DataFrame:
-    """J7 in seconds (BIGINT, NULL when either end is missing)."""
-    return boundaries.select("*", *[
-        _elapsed(s, e, mode).alias(f"{name}_seconds") for name, s, e in PHASES])
-
-
 def resume_rows(boundaries: DataFrame, mode: str = "exact") -> DataFrame:
     """F4 + J7: one 15-column text row per dataset.
 
@@ -60,13 +60,5 @@ def phase_durations(frame: DataFrame) -> DataFrame:
 
     Adds ``*_seconds`` (BIGINT) and the formatted ``HH:MM:SS`` text.
     """
-    spans = [("shutdown_duration", "shutdown_begin_ts", "shutdown_end_ts"),
-             ("poweroff_duration", "shutdown_end_ts", "ipl_begin_ts"),
-             ("load_ipl", "ipl_begin_ts", "ipl_end_ts"),
-             ("total_duration", "shutdown_begin_ts", "ipl_end_ts")]
-    out = frame
-    for name, s, e in spans:
-        out = out.withColumn(f"{name}_seconds", elapsed_seconds(s, e))
-    for name, _, _ in spans:
-        out = out.withColumn(name, format_hms(f"{name}_seconds"))
-    return out
+    timed = frame.withColumns({f"{name}_seconds": elapsed_seconds(s, e) for name, s, e in SPANS})
+    return timed.withColumns({name: format_hms(f"{name}_seconds") for name, _, _ in SPANS})

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timefmt import (elapsed_seconds, format_hms, ipl_date_label,
-                                 is_datetime, parse_datetime_text)
+from ..functions.timefmt import ipl_date_label, is_datetime, parse_datetime_text
 from ..schemas import DONE_COLUMNS, FAIL_COLUMNS, LAST_IPL_COLUMNS
+from .resume import SPANS, phase_durations
 
 FOUR = ["shutdown_begin", "shutdown_end", "ipl_begin", "ipl_end"]
 RULES = ("unified", "spark", "pandas", "refactor")
@@ -86,21 +86,10 @@ def route(resume: DataFrame, rule: str = "unified") -> DataFrame:
 
 def done_rows(resume: DataFrame) -> DataFrame:
     """D3 + J6 + C11: rows for ``results_done`` (durations exact, J1)."""
-    ts = {c: parse_datetime_text(c) for c in FOUR}
-    secs = {
-        "shutdown_duration": elapsed_seconds(ts["shutdown_begin"], ts["shutdown_end"]),
-        "poweroff_duration": elapsed_seconds(ts["shutdown_end"], ts["ipl_begin"]),
-        "load_ipl": elapsed_seconds(ts["ipl_begin"], ts["ipl_end"]),
-        "total_duration": elapsed_seconds(ts["shutdown_begin"], ts["ipl_end"]),
-    }
-    return (resume.filter(done_condition()).select(
-        "sysname",
-        ipl_date_label(ts["shutdown_begin"]).alias("ipl_date"),
-        "log_dataset", *FOUR,
-        F.col("pre_ipl").alias("pre_ipl"),
-        F.col("post_ipl").alias("pos_ipl"),
-        *[format_hms(v).alias(k) for k, v in secs.items()])
-        .select(*DONE_COLUMNS))
+    typed = resume.filter(done_condition()).withColumns({f"{c}_ts": parse_datetime_text(c) for c in FOUR})
+    return phase_durations(typed).select(
+        "sysname", ipl_date_label("shutdown_begin_ts").alias("ipl_date"), "log_dataset", *FOUR, "pre_ipl",
+        F.col("post_ipl").alias("pos_ipl"), *[name for name, _, _ in SPANS]).select(*DONE_COLUMNS)
 
 
 def _boundary_rows(resume: DataFrame, cond: Column) -> DataFrame:
@@ -126,22 +115,30 @@ def last_ipl_rows(resume: DataFrame, rule: str = "unified") -> DataFrame:
 
 
 # ------------------------------------------------------------- E1 / E2 / E3
-def unseen_rows(new: DataFrame, known: DataFrame, key: str = "log_dataset") -> DataFrame:
-    """Rows of ``new`` whose key is not in ``known``, each row once.
+def _same(a: DataFrame, b: DataFrame, keys) -> Column:
+    """Null-safe equality of the key columns."""
+    return _all([a[k].eqNullSafe(b[k]) for k in keys])
+
+
+def unseen_rows(new: DataFrame, known: DataFrame, key="log_dataset") -> DataFrame:
+    """Rows of ``new`` whose key (one column or several) is not in
+    ``known``, each row once.
 
     A left-anti join on the key: the known side is projected to its distinct
     keys first (partial aggregation before the shuffle); AQE turns the join
-    into a broadcast only when the measured key set is small.  Q8: rows of
-    one batch that repeat exactly are stored once (``dropDuplicates``).
+    into a broadcast only when the measured key set is small.  NULL keys are
+    equal to each other.  Q8: rows of one batch that repeat exactly are stored once.
     """
-    keys = known.select(key).distinct()
-    return new.join(keys, key, "left_anti").dropDuplicates()
+    keys = [key] if isinstance(key, str) else list(key)
+    seen = known.select(*keys).distinct()
+    return new.join(seen, _same(new, seen, keys), "left_anti").dropDuplicates()
 
 
 def rows_for_systems(raw: DataFrame, new_rows: DataFrame) -> DataFrame:
-    """Raw rows of the systems that received new data (left-semi join)."""
+    """Raw rows of the systems that received new data (left-semi join; a
+    missing system name is a system of its own)."""
     systems = new_rows.select("sysname").distinct()
-    return raw.join(systems, "sysname", "left_semi")
+    return raw.join(systems, _same(raw, systems, ["sysname"]), "left_semi")
 
 
 RAW_SCAN_COLUMNS = ["sysname", "log_dataset", "shutdown_begin", "shutdown_end",
@@ -153,7 +150,7 @@ def scan_raw_results(raw: DataFrame, systems=None) -> DataFrame:
     out = raw.select(*RAW_SCAN_COLUMNS)
     if systems is not None:
         if isinstance(systems, DataFrame):
-            out = out.join(systems.select("sysname").distinct(), "sysname", "left_semi")
+            out = rows_for_systems(out, systems)
         else:
             out = out.filter(F.col("sysname").isin(list(systems)))
     return out

@@ -22,10 +22,9 @@ from ..operators import reports as R
 from ..operators import routing as RT
 from ..operators.parse import error_lines, jes_level, message_prefilter, parse_lines, tokenize
 from ..operators.resume import phase_durations, resume_rows
-from ..session import shared_path, table_path
+from ..session import shared_path, table_path, written
 from ..sources.events_log import syslog_from_tables
-from ..sources.syslog import (latest_n_per_key, scan_iplinfo, scan_syslog,
-                              select_log_datasets, write_syslog_text)
+from ..sources.syslog import first_last_log_datasets, select_log_datasets
 from . import oracle as O
 
 REGISTRY: dict = {}
@@ -55,6 +54,10 @@ def bounds(s, sf):
     return B.datasets_with_ipl(bounds_all(s, sf))
 
 
+def spans(s, sf):
+    return B.dataset_spans(detail(s, sf))
+
+
 def resume(s, sf):
     return resume_rows(bounds(s, sf))
 
@@ -145,7 +148,7 @@ def q_detail_row(s, sf):
 
 @q("dataset_name", sql("SELECT sysname, log_dataset, regexp_replace(sysname || '_' || log_dataset || '.CSV', '\\.CSV$', '') AS output_name FROM bounds"))
 def q_dataset_name(s, sf):
-    return bounds_all(s, sf).select("sysname", "log_dataset", dataset_name(
+    return spans(s, sf).select("sysname", "log_dataset", dataset_name(
         F.col("sysname"), F.concat(F.col("log_dataset"), F.lit(".CSV"))).alias("output_name"))
 
 
@@ -155,15 +158,21 @@ def q_jes(s, sf):
     return jes_level(lines(s, sf))
 
 
+@q("jes_level_single", sql("""SELECT DISTINCT log_dataset, coalesce(string_split_regex(regexp_replace(line, '^[ \\t]+', ''), '[ \\t]+')[9], '') AS jes_level
+  FROM syslog WHERE contains(line, 'JES') AND contains(line, 'SYSLOG')"""))
+def q_jes_single(s, sf):
+    return jes_level(lines(s, sf), single_dataset=True)
+
+
 # -------------------------------------------------------------- reduction
-RUN_CHUNK = 1 << 13   # small chunks here so the oracle checks cross-chunk carries
+RUN_CHUNK = 512   # small chunks here so the oracle checks many cross-chunk carries
 
 
 @q("running_boundaries", sql(f"""SELECT log_dataset, log_id, type, {O.bt('sb_run')} AS sb_run,
   {O.bt('se_run')} AS se_run, {O.bt('ib_run')} AS ib_run, {O.bt('ie_x')} AS ie_accepted FROM g6"""))
 def q_running(s, sf):
     classed = detail(s, sf).filter(F.col("type").isNotNull())
-    r = B.running_boundaries(classed, chunk_lines=RUN_CHUNK, strategy="chunked")
+    r = B.running_boundaries(classed, chunk_lines=RUN_CHUNK)
     return r.select("log_dataset", "log_id", "type", boundary_text("_sb").alias("sb_run"),
                     boundary_text("_se").alias("se_run"), boundary_text("_ib").alias("ib_run"),
                     boundary_text("_ie_x").alias("ie_accepted"))
@@ -180,20 +189,20 @@ def q_cycle(s, sf):
 @q("cycle_boundaries_chunked", sql(f"""SELECT sysname, log_dataset, {O.bt('shutdown_begin_ts')} AS shutdown_begin,
   {O.bt('shutdown_end_ts')} AS shutdown_end, {O.bt('ipl_begin_ts')} AS ipl_begin, {O.bt('ipl_end_ts')} AS ipl_end FROM bounds"""))
 def q_cycle_chunked(s, sf):
-    b = B.cycle_boundaries(detail(s, sf), chunk_lines=RUN_CHUNK, strategy="chunked")
+    b = B.cycle_boundaries(detail(s, sf), chunk_lines=RUN_CHUNK)
     return b.select("sysname", "log_dataset", *[boundary_text(f"{c}_ts").alias(c) for c in
                                                 ("shutdown_begin", "shutdown_end", "ipl_begin", "ipl_end")])
 
 
 @q("pre_post_ipl", sql(f"SELECT log_dataset, {O.bt('pre_ipl_ts')} AS pre_ipl, {O.bt('post_ipl_ts')} AS post_ipl FROM bounds"))
 def q_pre_post(s, sf):
-    return bounds_all(s, sf).select("log_dataset", boundary_text("pre_ipl_ts").alias("pre_ipl"),
+    return spans(s, sf).select("log_dataset", boundary_text("pre_ipl_ts").alias("pre_ipl"),
                                     boundary_text("post_ipl_ts").alias("post_ipl"))
 
 
 @q("last_ipled", sql(f"SELECT log_dataset, {O.it('last_ipl_ts')} AS last_ipl FROM bounds"))
 def q_last_ipled(s, sf):
-    return bounds_all(s, sf).select("log_dataset", ipled_text("last_ipl_ts").alias("last_ipl"))
+    return spans(s, sf).select("log_dataset", ipled_text("last_ipl_ts").alias("last_ipl"))
 
 
 @q("resume_row", sqlr("SELECT * FROM resume"))
@@ -215,7 +224,7 @@ def q_first_last(s, sf):
 
 @q("datasets_with_ipl", sql("SELECT log_dataset FROM kept_bounds"))
 def q_with_ipl(s, sf):
-    return bounds(s, sf).select("log_dataset")
+    return B.datasets_with_ipl(spans(s, sf)).select("log_dataset")
 
 
 @q("lines_processed", sql("SELECT log_dataset, max(log_id) AS lines_processed FROM detail GROUP BY 1"))
@@ -225,11 +234,15 @@ def q_lines_processed(s, sf):
 
 @q("dataset_count", sql("SELECT count(*) AS n_datasets FROM kept_bounds"))
 def q_dataset_count(s, sf):
-    return bounds(s, sf).agg(F.count(F.lit(1)).alias("n_datasets"))
+    return B.datasets_with_ipl(spans(s, sf)).agg(F.count(F.lit(1)).alias("n_datasets"))
+
+
+MAIN_LOG = "[.]W[0-9]+$"   # the weekly logs of the fixture, one a system and week
 
 
 def _parts(ln: DataFrame) -> DataFrame:
-    ds = ln.select("log_dataset", "sysname", week().alias("part_no")).distinct()
+    ds = ln.filter(F.col("log_dataset").rlike(MAIN_LOG)).select(
+        "log_dataset", "sysname", week().alias("part_no")).distinct()
     first = ds.groupBy("sysname").agg(F.min_by("log_dataset", "part_no").alias("group_name"))
     return ds.join(first, "sysname").select("log_dataset", "group_name", "part_no")
 
@@ -238,7 +251,7 @@ UNION_SQL = sql(f"""SELECT max(sysname) AS sysname, grp AS log_dataset,
   {O.bt("min(CASE WHEN type = 'SHUTDOWN BEGIN' THEN event_ts END)")} AS shutdown_begin,
   {O.bt('min(se_x)')} AS shutdown_end, {O.bt('min(ib_x)')} AS ipl_begin, {O.bt('max(ie_x)')} AS ipl_end
   FROM u6 GROUP BY grp""", extra=f"""
-grp_map AS (SELECT DISTINCT log_dataset, sysname, {SQL_WEEK} AS part_no FROM syslog),
+grp_map AS (SELECT DISTINCT log_dataset, sysname, {SQL_WEEK} AS part_no FROM syslog WHERE regexp_matches(log_dataset, '{MAIN_LOG}')),
 grp_first AS (SELECT sysname, arg_min(log_dataset, part_no) AS grp FROM grp_map GROUP BY sysname),
 ucls AS (SELECT c.*, m.part_no, f.grp FROM cls c JOIN grp_map m USING (log_dataset) JOIN grp_first f ON f.sysname = m.sysname),
 u1 AS (SELECT *, min(CASE WHEN type = 'SHUTDOWN BEGIN' AND event_ts IS NOT NULL THEN event_ts END) OVER uw AS sb_run FROM ucls
@@ -252,16 +265,15 @@ u6 AS (SELECT *, CASE WHEN type = 'IPL END' AND event_ts IS NOT NULL AND (ib_run
 
 @q("union_log_parts", UNION_SQL)
 def q_union_parts(s, sf):
-    ln = lines(s, sf)
-    joined = B.union_log_parts(ln, _parts(ln))
-    b = B.cycle_boundaries(parse_lines(joined))
+    classed = detail(s, sf).filter(F.col("type").isNotNull())
+    b = B.cycle_boundaries(B.union_log_parts(classed, _parts(lines(s, sf))))
     return b.select("sysname", "log_dataset", *[boundary_text(f"{c}_ts").alias(c) for c in
                                                 ("shutdown_begin", "shutdown_end", "ipl_begin", "ipl_end")])
 
 
 # ---------------------------------------------------- listing / top-n
 LISTING_SQL_CTE = f"""
-ds AS (SELECT DISTINCT sysname, log_dataset, {SQL_WEEK} AS wk FROM syslog),
+ds AS (SELECT DISTINCT sysname, log_dataset, {SQL_WEEK} AS wk FROM syslog WHERE regexp_matches(log_dataset, '{MAIN_LOG}')),
 listing AS (
   SELECT sysname AS qualifier, wk * 3 AS list_pos, 'SYSLOG.' || log_dataset AS name FROM ds
   UNION ALL SELECT sysname, wk * 3 + 1, 'INDEX.' || log_dataset FROM ds
@@ -271,7 +283,8 @@ listed AS (SELECT *, row_number() OVER (PARTITION BY qualifier ORDER BY list_pos
 
 
 def listing(s, sf):
-    ds = lines(s, sf).select("sysname", "log_dataset", week().alias("wk")).distinct()
+    ds = lines(s, sf).filter(F.col("log_dataset").rlike(MAIN_LOG)).select(
+        "sysname", "log_dataset", week().alias("wk")).distinct()
     parts = [ds.select(F.col("sysname").alias("qualifier"), (F.col("wk") * 3 + k).alias("list_pos"),
                        F.concat(F.lit(p), F.col("log_dataset")).alias("name"))
              for k, p in enumerate(["SYSLOG.", "INDEX.", "IN-CAT.SYSLOG."])]
@@ -280,7 +293,7 @@ def listing(s, sf):
 
 @q("select_log_datasets", sql("SELECT qualifier, list_pos, name FROM listed WHERE rn <= 90", LISTING_SQL_CTE))
 def q_select_ds(s, sf):
-    return select_log_datasets(listing(s, sf)).select("qualifier", "list_pos", "name")
+    return select_log_datasets(listing(s, sf), cat.DATASETS_KEPT_PER_QUALIFIER).select("qualifier", "list_pos", "name")
 
 
 @q("latest_n_per_key", sql("SELECT qualifier, list_pos, name FROM listed WHERE rn <= 3", LISTING_SQL_CTE))
@@ -288,9 +301,11 @@ def q_latest_n(s, sf):
     return select_log_datasets(listing(s, sf), 3).select("qualifier", "list_pos", "name")
 
 
-@q("first_last_n", sql("SELECT qualifier, list_pos, name FROM listed WHERE rn <= 1", LISTING_SQL_CTE))
+@q("first_last_n", sql("""SELECT qualifier, list_pos, name, 'last' AS side FROM listed WHERE rn <= 2
+  UNION ALL SELECT qualifier, list_pos, name, 'first' FROM
+    (SELECT *, row_number() OVER (PARTITION BY qualifier ORDER BY list_pos) AS up FROM listed) WHERE up <= 2""", LISTING_SQL_CTE))
 def q_first_last_n(s, sf):
-    return select_log_datasets(listing(s, sf), 1).select("qualifier", "list_pos", "name")
+    return first_last_log_datasets(listing(s, sf), 2)
 
 
 # ------------------------------------------------------------- durations
@@ -431,6 +446,28 @@ def q_route_counts(s, sf):
     return RT.route_counts(resume(s, sf))
 
 
+# The three historical rules, as the sinks they fill.
+VALID4 = ALL4   # boundary text of the reducer is valid where it is set
+RULE_SQL = {
+    "spark": {"fail": f"NOT ({VALID4}) AND last_ipl IS NULL", "garbage": "false", "last_ipl": "last_ipl IS NOT NULL"},
+    "pandas": {"fail": f"NOT ({VALID4})", "garbage": "false", "last_ipl": "last_ipl IS NOT NULL"},
+    "refactor": {"fail": f"NOT ({VALID4}) AND ({ANY4})", "garbage": f"NOT ({ANY4})", "last_ipl": "last_ipl IS NOT NULL"},
+}
+
+
+@q("route_rules", sqlr(" UNION ALL ".join(
+    f"SELECT '{rule}' AS rule, '{sink}' AS sink, sysname, log_dataset FROM resume WHERE {cond}"
+    for rule, sinks in RULE_SQL.items() for sink, cond in sinks.items())))
+def q_route_rules(s, sf):
+    r = written(resume(s, sf), "resume")
+    out = None
+    for rule in RULE_SQL:
+        for sink, fn in (("fail", RT.fail_rows), ("garbage", RT.garbage_rows), ("last_ipl", RT.last_ipl_rows)):
+            one = fn(r, rule).select(F.lit(rule).alias("rule"), F.lit(sink).alias("sink"), "sysname", "log_dataset")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 @q("new_raw_rows", sqlr(f"SELECT * FROM resume WHERE log_dataset NOT IN (SELECT log_dataset FROM resume WHERE {SQL_WEEK} % 2 = 0)"))
 def q_new_raw(s, sf):
     r = resume(s, sf)
@@ -568,7 +605,9 @@ def q_delete(s, sf):
 
 @q("migrate_inventory", isql("SELECT lpar, hostname, dataset, username, enable FROM lpar"))
 def q_migrate(s, sf):
-    return INV.migrate_inventory(lpar(s, sf))
+    path = shared_path(s, "lpar")
+    INV.migrate_inventory(lpar(s, sf), path)
+    return s.read.parquet(path)
 
 
 @q("short_host", isql("SELECT id, lower(split_part(hostname, '.', 1)) AS host FROM lpar"))
@@ -627,4 +666,7 @@ def q_sort_last(s, sf):
 
 @q("page", sqlr("SELECT * FROM done ORDER BY sysname, log_dataset LIMIT 10 OFFSET 10", DONE_CTE))
 def q_page(s, sf):
-    return R.page(R.report_done(done(s, sf)), ["sysname", "log_dataset"], page_no=2, page_size=10)
+    """The second page: the one after the last key of the first."""
+    report, keys = written(R.report_done(done(s, sf)), "report"), ["sysname", "log_dataset"]
+    first = R.page(report, keys, 10).select(*keys).collect()
+    return R.page(report, keys, 10, after=tuple(first[-1]) if first else None)

@@ -6,8 +6,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators.boundaries import cycle_boundaries, datasets_with_ipl
+from ..functions.timefmt import dataset_name
+from ..operators.boundaries import cycle_boundaries, datasets_with_ipl, detail_with_ipl
 from ..operators.parse import parse_lines
 from ..operators.reports import (report_done, report_fail, report_format,
                                   report_last_ipl)
@@ -15,25 +17,34 @@ from ..operators.resume import resume_rows
 from ..operators.routing import (done_rows, fail_rows, garbage_rows,
                                  last_ipl_rows, rows_for_systems, unseen_rows)
 from ..schemas import DONE, FAIL, GARB, LAST_IPL, RESUME
-from ..sinks import append_parquet, write_detail
-from ..sources.resume import read_parquet
+from ..session import written
+from ..sinks import clustered, write_detail
+from ..sources.resume import read_detail, read_parquet
 from ..sources.syslog import scan_syslog
 
 SINKS = {"results_done": DONE, "results_fail": FAIL, "results_garb": GARB,
          "results_last_ipl": LAST_IPL}
+TABLES = {"raw_results": RESUME, **SINKS}
 VIEWS = {"done": "results_done", "fail": "results_fail", "last_ipl": "results_last_ipl",
          "garbage": "results_garb"}
+#: Stored tables are partitioned by a hash bucket of the system: a bounded
+#: number of folders, and NULL, empty and numeric names stay as they are.
+BUCKET = "system_bucket"
+BUCKETS = 64
 
 
 def parse_logs(spark: SparkSession, syslog_path: str, detail_path: str | None = None,
-               sysname: str | None = None) -> DataFrame:
-    """M1: syslog text -> numbered lines -> prefilter -> detail rows (B1 when
-    ``detail_path`` is given; the detail is then read back from there)."""
-    detail = parse_lines(scan_syslog(spark, syslog_path, sysname=sysname))
+               sysname: str | None = None, patterns: str | None = None) -> DataFrame:
+    """M1: syslog text -> numbered lines -> prefilter -> detail rows of the
+    datasets that show an IPL message (D11), named ``<system>_<dataset>`` (C10).
+    With ``detail_path`` they are written there (B1) and read back, so that
+    what follows does not parse the text again."""
+    detail = parse_lines(scan_syslog(spark, syslog_path, sysname=sysname), patterns=patterns)
+    detail = detail_with_ipl(detail).withColumn("log_dataset", dataset_name("sysname", "log_dataset"))
     if detail_path is None:
         return detail
     write_detail(detail, detail_path)
-    return detail
+    return read_detail(spark, detail_path)
 
 
 def build_resume(detail: DataFrame, mode: str = "exact") -> DataFrame:
@@ -45,46 +56,54 @@ def _path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
 
 
+def _bucket():
+    return F.pmod(F.xxhash64(F.col("sysname")), F.lit(BUCKETS)).cast("int")
+
+
+def stored(spark: SparkSession, store_root: str, table: str) -> DataFrame:
+    """A stored table with its partition column."""
+    schema = T.StructType([*TABLES[table].fields, T.StructField(BUCKET, T.IntegerType())])
+    return read_parquet(spark, _path(store_root, table), schema)
+
+
 def ingest_results(spark: SparkSession, resume: DataFrame, store_root: str,
                    rule: str = "unified") -> dict:
     """M3: idempotent ingest of resume rows into raw + result tables.
 
-    E1: only datasets not yet in ``raw_results`` (anti-join; Q8 dedupe),
-    appended; E3: raw rows of the systems that got new data; D3-D6 routing;
-    E2: per sink, only datasets not yet in that sink; appended.  The raw delta
-    is used again after its table has grown, so it is checkpointed (reliable
-    checkpoint in the shared folder) before the append: it is never
-    re-evaluated against the grown table, and a lost executor recomputes from
-    the checkpoint.  Running it twice with the same input changes nothing.
+    The batch is written once to the shared folder.  Candidates are the batch
+    and the raw rows of its systems (E3), so results that an earlier run failed
+    to store are found again; they are routed (D3-D6), and each table takes the
+    rows whose (system, dataset) it does not hold yet (E1, E2; Q8 dedupe).  Raw
+    is appended last: a run that dies before leaves its batch new.  Running it
+    twice with the same input changes nothing, and each table is complete
+    after any run that ends, whatever earlier runs left.
+
+    Tables are read through a literal filter on the buckets of the batch's
+    systems (at most ``BUCKETS`` numbers), so a run costs its systems, not the history.
     """
-    raw_path = _path(store_root, "raw_results")
-    raw = read_parquet(spark, raw_path, RESUME)
-    new = unseen_rows(resume.select(*RESUME.fieldNames()), raw).checkpoint()
-    # raw results are partitioned by system: the semi-join of E3 below reads
-    # only the partitions of systems with new data (dynamic partition pruning)
-    new.write.mode("append").partitionBy("sysname").parquet(raw_path)
-    candidates = rows_for_systems(
-        spark.read.parquet(raw_path).select(*RESUME.fieldNames()), new)
+    batch = written(resume.select(*RESUME.fieldNames()).dropDuplicates().withColumn(BUCKET, _bucket()), "batch")
+    touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]
+
+    def held(table: str) -> DataFrame:
+        return stored(spark, store_root, table).where(F.col(BUCKET).isin(touched))
+
+    raw = rows_for_systems(held("raw_results"), batch)
+    candidates = written(raw.unionByName(batch).dropDuplicates(RESUME.fieldNames()).drop(BUCKET), "candidates")
     deltas = {
         "results_done": done_rows(candidates),
         "results_fail": fail_rows(candidates, rule),
         "results_garb": garbage_rows(candidates, rule),
         "results_last_ipl": last_ipl_rows(candidates, rule),
+        "raw_results": batch.drop(BUCKET),
     }
-    written = {"raw_results": raw_path}
     for table, delta in deltas.items():
-        path = _path(store_root, table)
-        existing = read_parquet(spark, path, SINKS[table])
-        # evaluated once, by its own append job, against the sink's file
-        # listing taken before that write: no checkpoint needed here
-        append_parquet(unseen_rows(delta, existing), path)
-        written[table] = path
-    return written
+        new = unseen_rows(delta, held(table), ["sysname", "log_dataset"]).withColumn(BUCKET, _bucket())
+        clustered(new, BUCKET).write.mode("append").partitionBy(BUCKET).parquet(_path(store_root, table))
+    return {table: _path(store_root, table) for table in deltas}
 
 
 def result_table(spark: SparkSession, store_root: str, table: str) -> DataFrame:
-    schema = SINKS.get(table, RESUME)
-    return read_parquet(spark, _path(store_root, table), schema).select(*schema.fieldNames())
+    return stored(spark, store_root, table).select(*TABLES[table].fieldNames())
 
 
 def report_view(spark: SparkSession, store_root: str, view: str, formatted: bool = True) -> DataFrame:
@@ -93,13 +112,3 @@ def report_view(spark: SparkSession, store_root: str, view: str, formatted: bool
     rep = {"done": report_done, "fail": report_fail, "garbage": report_fail,
            "last_ipl": report_last_ipl}[view](table)
     return report_format(rep) if formatted else rep
-
-
-def route_summary(spark: SparkSession, store_root: str) -> DataFrame:
-    """Rows per result table (one small job per table listing)."""
-    frames = [result_table(spark, store_root, t).select(F.lit(t).alias("table"))
-              for t in ["raw_results", *SINKS]]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.groupBy("table").agg(F.count(F.lit(1)).alias("n_rows"))

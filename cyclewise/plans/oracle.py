@@ -25,30 +25,43 @@ DIGITS = "'^[0-9]+$'"
 
 BASE = f"""
 ev AS (
-  SELECT event_id, ts, 'SYS' || CAST(user_id % 5 AS VARCHAR) AS sysname,
+  SELECT event_id, ts, 'SYS' || CAST(user_id % 5 AS VARCHAR) AS sysname, event_id % 40 AS k,
          CAST(floor(value) AS BIGINT) AS v, event_type,
          CAST((dayofyear(ts) - 1) // 7 AS BIGINT) AS wk
   FROM events),
 msgs AS (
-  SELECT *, sysname || '.W' || CAST(wk AS VARCHAR) AS log_dataset,
-    CASE event_type
+  SELECT *, sysname || '.' || CASE k WHEN 36 THEN 'G' WHEN 37 THEN 'S' WHEN 38 THEN 'L' WHEN 39 THEN 'P' ELSE '' END
+      || 'W' || CAST(wk AS VARCHAR) AS log_dataset,
+    CASE WHEN event_id % 41 = 3 THEN 'ZZ9' ELSE sysname END AS word,
+    CASE WHEN event_id % 37 = 5 THEN strftime(ts, '%y%j') ELSE strftime(ts, '%Y%j') END AS day,
+    CASE WHEN event_id % 43 = 9 THEN '99:99:99' ELSE strftime(ts, '%H:%M:%S') END AS clock,
+    CASE WHEN k = 36 THEN 'IPLTRK01I START'
+      WHEN k = 37 THEN 'TSO IS SHUTTING DOWN'
+      WHEN k = 38 THEN 'SYSTEM IPLED'
+      WHEN k = 39 THEN CASE WHEN (event_id // 40) % 2 = 0 THEN 'TSO IS SHUTTING DOWN' ELSE 'IEA371I PARMLIB' END
+      WHEN event_id % 53 = 7 THEN 'ROUTINE MESSAGE'
+      WHEN event_id % 97 = 11 THEN 'IEF237I JES2 ALLOCATED LVL' || CAST(v % 3 AS VARCHAR) || ' SYSLOG'
+      ELSE CASE event_type
       WHEN 'error' THEN CASE WHEN v % 2 = 0 THEN 'TSO IS SHUTTING DOWN' ELSE 'DSI039I TASK ENDED' END
       WHEN 'view' THEN CASE v % 4 WHEN 0 THEN 'IXC371D CONFIRM' WHEN 1 THEN 'JES2 TERMINATION COMPLETE'
                                   WHEN 2 THEN 'Z EOD' ELSE 'HASP ABEND NOT FOUND' END
       WHEN 'click' THEN 'IEA371I PARMLIB'
       WHEN 'purchase' THEN CASE v % 3 WHEN 0 THEN 'HZS0103I CHECKS' WHEN 1 THEN 'S TN3270' ELSE 'IPLTRK02I DONE' END
       WHEN 'signup' THEN CASE v % 3 WHEN 0 THEN 'IPLTRK01I START' WHEN 1 THEN 'TSO LOGON' ELSE 'SYSTEM IPLED' END
-    END AS msg
+    END END AS msg
   FROM ev),
 syslog AS (
-  SELECT log_dataset, sysname, wk, CAST((event_id * 7919) % 1000003 AS BIGINT) AS line_no,
+  SELECT log_dataset, sysname, wk, xor(event_id, 174763) AS line_no,
     CASE WHEN msg = 'SYSTEM IPLED'
            THEN 'D C000000 045 SYSTEM IPLED AT ' || strftime(ts, '%H.%M.%S') || ' ON ' || strftime(ts, '%m/%d/%Y')
-         WHEN event_id % 3 = 0
-           THEN 'N 4000000 ' || sysname || ' ' || strftime(ts, '%Y%j') || ' ' || strftime(ts, '%H:%M:%S') || '.00 ' || msg
-         WHEN event_id % 3 = 1
-           THEN 'N ' || sysname || ' ' || strftime(ts, '%Y%j') || ' ' || strftime(ts, '%H:%M:%S') || '.00 ' || msg
-         ELSE 'N ' || strftime(ts, '%Y%j') || ' ' || strftime(ts, '%H%M%S') || '00 ' || msg
+         WHEN k = 36 THEN 'N ' || day || ' ' || msg
+         WHEN event_id % 12 IN (0, 3, 6) THEN 'N 4000000 ' || word || ' ' || day || ' ' || clock || '.00 ' || msg
+         WHEN event_id % 12 IN (1, 4, 7) THEN 'N ' || word || ' ' || day || ' ' || clock || '.00 ' || msg
+         WHEN event_id % 12 = 8 THEN 'N ' || day || ' ' || replace(clock, ':', '') || '00 X R=1 ' || msg
+         WHEN event_id % 12 = 9 THEN 'N ' || day || ' ' || msg
+         WHEN event_id % 12 = 10 THEN 'N A ' || day || ' ' || replace(clock, ':', '') || '00 ' || msg
+         WHEN event_id % 12 = 11 THEN msg
+         ELSE 'N ' || day || ' ' || replace(clock, ':', '') || '00 ' || msg
     END AS line
   FROM msgs),
 kept AS (

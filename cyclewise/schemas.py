@@ -1,5 +1,7 @@
 """Table schemas (T1-T10).  Analytic columns are text, as in the source data
-model; typed timestamps are derived where computation needs them."""
+model; typed timestamps are derived where computation needs them.
+
+FIXED VALUES: table and column names must equal the source application's."""
 
 from pyspark.sql import types as T
 
@@ -14,15 +16,9 @@ RESUME_COLUMNS = [
 # T4 / T5: resume CSV and the raw results table, all text
 RESUME = T.StructType([T.StructField(c, S, True) for c in RESUME_COLUMNS])
 
-# Syslog lines
-SYSLOG_LINES = T.StructType([
-    T.StructField("log_dataset", S, True), T.StructField("sysname", S, True),
-    T.StructField("line_no", T.LongType(), True), T.StructField("line", S, True)])
-
 # Detail rows as written to the ';' CSV (9 named columns)
 DETAIL_COLUMNS = ["log_name", "log_id", "date", "time", "system", "type",
                   "error", "last_ipl", "msg"]
-DETAIL = T.StructType([T.StructField(c, S, True) for c in DETAIL_COLUMNS])
 
 # Result tables (storage surrogate id omitted)
 DONE_COLUMNS = ["sysname", "ipl_date", "log_dataset", "shutdown_begin",
@@ -38,15 +34,3 @@ DONE = T.StructType([T.StructField(c, S, True) for c in DONE_COLUMNS])
 FAIL = T.StructType([T.StructField(c, S, True) for c in FAIL_COLUMNS])
 GARB = FAIL
 LAST_IPL = T.StructType([T.StructField(c, S, True) for c in LAST_IPL_COLUMNS])
-
-# Lpar inventory
-LPAR_COLUMNS = ["id", "lpar", "hostname", "dataset", "username", "enable", "schedule"]
-LPAR = T.StructType([
-    T.StructField("id", T.LongType(), True), T.StructField("lpar", S, True),
-    T.StructField("hostname", S, True), T.StructField("dataset", S, True),
-    T.StructField("username", S, True), T.StructField("enable", T.IntegerType(), True),
-    T.StructField("schedule", S, True)])
-
-RESULT_SCHEMAS = {"results_done": DONE, "results_fail": FAIL,
-                  "results_garb": GARB, "results_last_ipl": LAST_IPL,
-                  "raw_results": RESUME}

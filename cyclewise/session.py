@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
@@ -35,8 +35,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a folder every executor can reach, and it
-    is only read here.  Only when it is unset (local tests) a folder of our own
-    is set up so that ``checkpoint()`` and scratch tables still work.
+    is only read here; without it the call fails.  A plain local session (one
+    process, as in tests) gets a folder of its own when the setting is missing.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -44,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="cyclewise-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
@@ -60,17 +62,9 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def ensure_parallelism(df, spark: SparkSession | None = None):
-    """Spread a scan that plans fewer partitions than the cluster has cores.
-
-    Large inputs already split into many more partitions than cores and are
-    returned unchanged (no shuffle).  A tiny input (e.g. one parquet row
-    group) would otherwise run every downstream expression in one task; the
-    round-robin shuffle it gets here is as small as the input itself.  The
-    decision uses the planned partition count only, no action.
-    """
-    spark = spark or df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df._jdf.rdd().getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to a fresh shared table and read it back: what uses it
+    several times neither recomputes it nor depends on the executors that made it."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,5 +1,9 @@
-"""Writers: B1-B8, B10.  One write per sink per run (never one file per row);
-``partitionBy`` gives per-system / per-dataset folders and partition pruning."""
+"""Writers: B1-B8, B10.  One write per sink per run (never one file per row).
+
+Partitioned outputs are clustered first (``rebalance``): rows of a folder come
+together into one file, and AQE splits a folder only where it exceeds the
+advisory partition size, so neither many small files nor one huge task arise.
+Text is written unchanged (no trimming, quotes doubled)."""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.timefmt import ipled_text
 from ..schemas import DETAIL_COLUMNS
+from ..sources.resume import CSV_OPTIONS
 
 
 def detail_text(detail: DataFrame) -> DataFrame:
@@ -24,22 +29,51 @@ def detail_text(detail: DataFrame) -> DataFrame:
         "msg").select(*DETAIL_COLUMNS)
 
 
-def _csv(df: DataFrame, path: str, partition_by=None, mode: str = "overwrite") -> str:
-    w = df.write.mode(mode).option("sep", ";").option("header", True)
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.csv(path)
+def clustered(df: DataFrame, column: str) -> DataFrame:
+    """Rows of one value of ``column`` together, large values split by size."""
+    return df.hint("rebalance", F.col(column))
+
+
+def _csv(df: DataFrame, path: str, folder: str | None = None, of: str | None = None) -> str:
+    """CSV below ``path``; with ``folder``, one folder ``<folder>=<value of the
+    column of>`` each, the files keeping all columns."""
+    if folder:
+        df = clustered(df.withColumn(folder, F.col(of)), folder)
+    w = df.write.mode("overwrite").options(**CSV_OPTIONS)
+    (w.partitionBy(folder) if folder else w).csv(path)
     return path
 
 
 def write_detail(detail: DataFrame, path: str) -> str:
-    """B1: one ``;`` CSV folder with header per log dataset."""
-    return _csv(detail_text(detail), path, "log_name")
+    """B1: one ``;`` CSV folder with header per log dataset (``dataset=<name>``);
+    ``sources.resume.read_detail`` reads it back."""
+    return _csv(detail_text(detail), path, "dataset", "log_name")
 
 
 def write_resume(resume: DataFrame, path: str) -> str:
-    """B2: resume CSV, one folder per system."""
-    return _csv(resume, path, "sysname")
+    """B2: resume CSV, one folder per system (``system=<name>``)."""
+    return _csv(resume, path, "system", "sysname")
+
+
+def name_files(spark: SparkSession, path: str, suffix: str) -> list[str]:
+    """Give the part files of each ``<key>=<value>`` folder of ``path`` the name
+    ``<value><suffix>`` (``<value>.<k><suffix>`` if a folder holds several), as
+    discovery by file name expects it; returns the new paths."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    named = []
+    for folder in fs.listStatus(root):
+        value = folder.getPath().getName().partition("=")[2]
+        if not folder.isDirectory() or not value:
+            continue
+        files = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+        for k, file in enumerate(sorted(files, key=lambda f: f.getName())):
+            target = jvm.org.apache.hadoop.fs.Path(folder.getPath(), f"{value}{f'.{k}' if k else ''}{suffix}")
+            if not fs.rename(file, target):
+                raise OSError(f"cannot name {target}")
+            named.append(str(target))
+    return named
 
 
 def append_parquet(df: DataFrame, path: str) -> str:
@@ -51,25 +85,29 @@ def append_parquet(df: DataFrame, path: str) -> str:
 def overwrite_parquet(df: DataFrame, path: str, partition_by=None) -> str:
     """Full overwrite; with ``partition_by`` only the partitions present
     in ``df`` are replaced (dynamic partition overwrite)."""
-    w = df.write.mode("overwrite")
+    w = (clustered(df, partition_by) if partition_by else df).write.mode("overwrite")
     if partition_by:
         w = w.option("partitionOverwriteMode", "dynamic").partitionBy(partition_by)
     w.parquet(path)
     return path
 
 
-def append_table(df: DataFrame, table: str) -> str:
-    """Append to a catalog table (name) or a parquet table (path)."""
+def append_table(df: DataFrame, table: str, location: str | None = None) -> str:
+    """Append to a catalog table (name; created at ``location``, if given,
+    when it does not exist) or a parquet table (path)."""
     if "/" in table:
         return append_parquet(df, table)
-    df.write.mode("append").saveAsTable(table)
+    w = df.write.mode("append").format("parquet")
+    if location and not df.sparkSession.catalog.tableExists(table):
+        w = w.option("path", location)
+    w.saveAsTable(table)
     return table
 
 
 def split_by_system(resume: DataFrame, path: str) -> str:
     """One CSV (with header) per system, plus a header-only ``empty``
     file, split on equality of the system column."""
-    _csv(resume, f"{path}/by_system", "sysname")
+    _csv(resume, f"{path}/by_system", "system", "sysname")
     _csv(resume.limit(0), f"{path}/empty")
     return path
 
@@ -88,7 +126,10 @@ def export_report(report: DataFrame, path: str) -> str:
 
 def import_json_rows(spark: SparkSession, json_rows: DataFrame, schema: T.StructType,
                      table_path: str, column: str = "value") -> DataFrame:
-    """JSON text rows -> typed rows -> appended to a table; returns the rows."""
-    parsed = json_rows.select(F.from_json(F.col(column), schema).alias("r")).select("r.*")
+    """JSON text rows -> typed rows -> appended to a table; returns the rows.
+    A row that is no JSON object of the schema fails the import, and nothing is stored."""
+    parsed = json_rows.select(F.from_json(F.col(column), schema, {"mode": "FAILFAST"}).alias("r"))
+    checked = F.when(F.col("r").isNull(), F.raise_error(F.lit("not a JSON object"))).otherwise(F.col("r"))
+    parsed = parsed.select(checked.alias("r")).select("r.*")
     append_parquet(parsed, table_path)
     return parsed

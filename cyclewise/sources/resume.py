@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import catalogue as cat
-from ..schemas import RESUME
+from ..schemas import DETAIL_COLUMNS, RESUME
+
+#: ``;`` CSV as the sinks write it: text unchanged, a wrong header fails.
+CSV_OPTIONS = {"sep": ";", "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False,
+               "ignoreTrailingWhiteSpace": False}
 
 
 def _fs_exists(spark: SparkSession, path: str) -> bool:
@@ -25,37 +29,43 @@ def table_exists(spark: SparkSession, path_or_name: str) -> bool:
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A6 (+A11): a result table; an empty frame with ``schema`` when it does
+    """A6 (+A11): a result table, always with ``schema`` when one is given (text
+    stays text, an empty folder is no error); an empty frame when it does
     not exist yet, so first-load and incremental runs are one plan."""
-    if schema is not None and not table_exists(spark, path):
+    if schema is None:
+        return spark.read.parquet(path)
+    if not table_exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.parquet(path)
-
-
-def read_resume_csv(spark: SparkSession, paths, min_bytes: int | None = None) -> DataFrame:
-    """A4 (+A5): ``;`` CSV with header, all text, fixed schema.  ``min_bytes``
-    skips header-only files by size (metadata column, no extra pass)."""
-    df = (spark.read.option("sep", ";").option("header", True)
-          .schema(RESUME).csv(paths))
-    if min_bytes is not None:
-        df = df.filter(F.col("_metadata.file_size") > min_bytes)
-    return df
-
-
-def discover_resume_csv(spark: SparkSession, root: str,
-                        min_bytes: int | None = None) -> DataFrame:
-    """A3: every CSV below ``root`` whose path holds ``resume`` (recursive),
-    read as resume rows with the file it came from."""
-    df = (spark.read.option("sep", ";").option("header", True)
-          .option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]")
-          .schema(RESUME).csv(root))
-    df = df.filter(F.col("_metadata.file_path").rlike("(?i)resume"))
-    if min_bytes is not None:
-        df = df.filter(F.col("_metadata.file_size") > min_bytes)
-    return df.withColumn("source_file", F.col("_metadata.file_name"))
-
-
-def size_guard(df: DataFrame, first_load: bool) -> DataFrame:
-    """A5: drop rows of files not larger than the header-only size."""
-    limit = cat.RESUME_MIN_BYTES_FIRST_LOAD if first_load else cat.RESUME_MIN_BYTES_INCREMENTAL
-    return df.filter(F.col("_metadata.file_size") > limit)
+    return spark.read.schema(schema).parquet(path)
+
+
+def read_resume_csv(spark: SparkSession, paths) -> DataFrame:
+    """A4: ``;`` CSV with header, all text, fixed schema.  A5: a file that
+    holds its header alone gives no row, whatever its size."""
+    return spark.read.options(**CSV_OPTIONS, enforceSchema=False).schema(RESUME).csv(paths)
+
+
+def discover_resume_csv(spark: SparkSession, root: str) -> DataFrame:
+    """A3: rows of every CSV below ``root`` (recursive) whose *file name* holds
+    ``resume``, with the file they came from.  Of files of one name the one
+    found last (greatest path) counts."""
+    df = (spark.read.options(**CSV_OPTIONS, recursiveFileLookup=True, pathGlobFilter=cat.RESUME_FILE_GLOB,
+                             enforceSchema=False).schema(RESUME).csv(root))
+    df = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("source_file"))
+    df = df.filter(F.col("source_file").rlike(cat.RESUME_FILE_PATTERN))
+    last = df.groupBy("source_file").agg(F.max("_path").alias("_path")).select("_path")
+    return df.join(last, "_path", "left_semi").drop("_path")
+
+
+def read_detail(spark: SparkSession, path: str) -> DataFrame:
+    """Detail rows (T3) of the files that ``write_detail`` makes, typed as the
+    reducer takes them: log_dataset, sysname, log_id, type, error, event_ts,
+    last_ipl_ts, msg."""
+    text = T.StructType([T.StructField(c, T.StringType()) for c in DETAIL_COLUMNS])
+    rows = spark.read.options(**CSV_OPTIONS).schema(text.add("dataset", T.StringType())).csv(path)
+    when = F.when(F.col("date").isNotNull() & F.col("time").isNotNull(), F.concat_ws(" ", "date", "time"))
+    return rows.select(
+        F.col("log_name").alias("log_dataset"), F.col("system").alias("sysname"),
+        F.col("log_id").cast("bigint").alias("log_id"), "type", "error",
+        F.try_to_timestamp(when, F.lit("yyyy-M-d H:m:s")).alias("event_ts"),
+        F.try_to_timestamp("last_ipl", F.lit("yyyy-MM-dd HH:mm:ss")).alias("last_ipl_ts"), "msg")

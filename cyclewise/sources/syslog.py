@@ -3,60 +3,66 @@ listing, A9 message patterns, A10 restart-info lines."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalogue as cat
+from ..functions.timefmt import dataset_name
 
-# A split-offset table has at most (#files + #scan partitions) rows; it is
-# broadcast only when that planned bound times this row size is small.
-_SPLIT_ROW_BYTES = 256
-_BROADCAST_LIMIT_BYTES = 8 << 20
+MAX_PATTERNS = 10_000
 
 
 def scan_syslog(spark: SparkSession, path: str, sysname: str | None = None,
                 dataset_from: str = "partition") -> DataFrame:
     """A1 + G2: read log datasets as ``(log_dataset, sysname, line_no, line)``.
 
-    A dataset is one file, or a folder of part files read in file-name order
-    (``dataset_from='partition'`` takes the name from a ``log_dataset=<name>``
-    folder, ``'file'`` from the file name).  Line numbers are the original
-    positions counting non-empty lines only, assigned without ever putting a
-    whole dataset into one task:
+    ``dataset_from='partition'``: a dataset is a ``log_dataset=<name>`` folder of
+    part files, read in the order of their task numbers; its system is the
+    ``sysname=`` folder if there is one, else the name up to ``.`` or ``_``.
+    ``dataset_from='file'``: a dataset is one file, its system the folder that
+    holds it, and its name ``<system>_<file>`` (C10); with a ``sysname`` the
+    folder goes into the name instead, so files of one name never mix.
+
+    Line numbers are the original positions counting non-empty lines only,
+    assigned without ever putting a whole dataset into one task:
 
     1. every scan split is summarised by a partial aggregate (line count and
        first row id of the split, ``monotonically_increasing_id`` being
        consecutive inside a split);
     2. a window over the small split table gives each split's offset;
-    3. the offsets are joined back to the lines (broadcast when the planned
-       split count bounds the table small, else a shuffle join).
+    3. the offsets are joined back to the lines (AQE broadcasts them when
+       they measure small).
     """
-    reader = spark.read.option("recursiveFileLookup", dataset_from != "partition")
+    reader = spark.read.option("recursiveFileLookup", dataset_from == "file")
+    if dataset_from == "partition":
+        # folder names are text: without a schema 0042 would become a number
+        reader = reader.schema("value string, log_dataset string")
     raw = reader.text(path)
+    parts = F.split(F.col("_metadata.file_path"), "/")
     meta = raw.select(
         "*", F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_name").alias("_fname"),
-        F.col("_metadata.file_block_start").alias("_block"))
+        F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).try_cast("bigint").alias("_task"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.col("_metadata.file_name").alias("_name"), F.element_at(parts, -2).alias("_folder"))
     if dataset_from == "file":
-        meta = meta.withColumn("log_dataset", F.col("_fname"))
-    if sysname is not None:
+        system = F.col("_folder") if sysname is None else F.lit(sysname)
+        name = F.col("_name") if sysname is None else F.concat_ws(".", "_folder", "_name")
+        meta = meta.withColumn("log_dataset", dataset_name(system, name)).withColumn("sysname", system)
+    elif sysname is not None:
         meta = meta.withColumn("sysname", F.lit(sysname))
-    elif "sysname" not in meta.columns:
+    elif "sysname" not in raw.columns:
         meta = meta.withColumn("sysname", F.regexp_extract("log_dataset", "^([^._]+)", 1))
+    meta = meta.withColumn("sysname", F.col("sysname").cast("string"))
     lines = (meta.filter(F.length("value") > 0)
              .withColumn("_mid", F.monotonically_increasing_id()))
-    splits = (lines.groupBy("log_dataset", "_fname", "_file", "_block")
+    key = ["sysname", "log_dataset"]
+    splits = (lines.groupBy(*key, "_task", "_file", "_block")
               .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")))
-    order = Window.partitionBy("log_dataset").orderBy("_fname", "_file", "_block") \
+    order = Window.partitionBy(*key).orderBy("_task", "_file", "_block") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
-        "log_dataset", "_file", "_block", "_first",
-        F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_offset"))
-    # planned bound; the file array stays a JVM proxy (only its length crosses)
-    bound = (len(raw._jdf.inputFiles()) + raw._jdf.rdd().getNumPartitions()) * _SPLIT_ROW_BYTES
-    if bound <= _BROADCAST_LIMIT_BYTES:
-        offsets = F.broadcast(offsets)
-    return (lines.join(offsets, ["log_dataset", "_file", "_block"])
+        "_file", "_block", "_first", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_offset"))
+    return (lines.join(offsets, ["_file", "_block"])
             .select("log_dataset", "sysname",
                     (F.col("_offset") + F.col("_mid") - F.col("_first") + 1).cast("bigint").alias("line_no"),
                     F.col("value").alias("line")))
@@ -74,30 +80,41 @@ def write_syslog_text(lines: DataFrame, path: str) -> str:
 
 
 def load_patterns(spark: SparkSession, path: str | None = None) -> str:
-    """Message patterns OR-ed into one regex (36 short rows; from a
-    one-pattern-per-line file when given, else the fixed catalogue)."""
+    """Message patterns OR-ed into one regex, for ``parse_lines(patterns=)``:
+    from a one-pattern-per-line file when given (at most ``MAX_PATTERNS``; a
+    longer file is refused, it is not a pattern list), else the fixed catalogue."""
     if path is None:
         return cat.prefilter_regex()
-    rows = spark.read.text(path).filter(F.length(F.trim("value")) > 0) \
-        .agg(F.concat_ws("|", F.collect_list(F.trim("value"))).alias("p")).first()
-    return rows["p"]
+    rows = spark.read.text(path).select(F.trim("value").alias("p")).filter(F.length("p") > 0).take(MAX_PATTERNS + 1)
+    if not 0 < len(rows) <= MAX_PATTERNS:
+        raise ValueError(f"{path}: {len(rows)} patterns; 1 to {MAX_PATTERNS} are expected")
+    return "|".join(r["p"] for r in rows)
 
 
-def scan_iplinfo(lines: DataFrame, line_limit: int = cat.IPLINFO_LINE_LIMIT) -> DataFrame:
-    """A10 + H4: trimmed ``SYSTEM IPLED`` lines among the first ``line_limit``
-    lines of each log (the helper reads at most that many lines)."""
-    return (lines.filter((F.col("line_no") <= line_limit)
-                         & F.col("line").contains(cat.SYSTEM_IPLED_TOKEN))
+def scan_iplinfo(lines: DataFrame) -> DataFrame:
+    """A10: trimmed ``SYSTEM IPLED`` lines of each log (all of it)."""
+    return (lines.filter(F.col("line").contains(cat.SYSTEM_IPLED_TOKEN))
             .select("log_dataset", "line_no", F.trim("line").alias("iplinfo")))
 
 
-def select_log_datasets(listing: DataFrame, n: int = cat.DATASETS_KEPT_PER_QUALIFIER) -> DataFrame:
+def _log_names(listing: DataFrame) -> DataFrame:
+    return listing.filter(F.col("name").contains(cat.DATASET_NAME_MUST_CONTAIN)
+                          & ~F.col("name").contains(cat.DATASET_LISTING_SKIP))
+
+
+def select_log_datasets(listing: DataFrame, n: int) -> DataFrame:
     """A2 + G3: from a catalogue listing ``(qualifier, list_pos, name)`` keep
     names holding ``LOG`` (not ``IN-CAT``), the last ``n`` per qualifier in
-    list order."""
-    kept = listing.filter(F.col("name").contains(cat.DATASET_NAME_MUST_CONTAIN)
-                          & ~F.col("name").contains(cat.DATASET_LISTING_SKIP))
-    return latest_n_per_key(kept, "qualifier", "list_pos", n)
+    list order (the source application asks for
+    ``catalogue.DATASETS_KEPT_PER_QUALIFIER``)."""
+    return latest_n_per_key(_log_names(listing), "qualifier", "list_pos", n)
+
+
+def first_last_log_datasets(listing: DataFrame, n: int) -> DataFrame:
+    """H2: the first and the last ``n`` log names per qualifier, ``side`` telling which."""
+    names = _log_names(listing)
+    first = first_n_per_key(names, "qualifier", "list_pos", n).withColumn("side", F.lit("first"))
+    return first.unionByName(latest_n_per_key(names, "qualifier", "list_pos", n).withColumn("side", F.lit("last")))
 
 
 def latest_n_per_key(frame: DataFrame, key: str, order_col: str, n: int) -> DataFrame:
@@ -107,6 +124,15 @@ def latest_n_per_key(frame: DataFrame, key: str, order_col: str, n: int) -> Data
     before the shuffle, so at most ``n`` rows per key leave each map task and
     a hot key never ships all its rows to one task.
     """
-    w = Window.partitionBy(key).orderBy(F.col(order_col).desc())
+    return _top(frame, key, F.col(order_col).desc(), n)
+
+
+def first_n_per_key(frame: DataFrame, key: str, order_col: str, n: int) -> DataFrame:
+    """H2: the first ``n`` rows per key by ``order_col`` (unique per key)."""
+    return _top(frame, key, F.col(order_col).asc(), n)
+
+
+def _top(frame: DataFrame, key: str, order: Column, n: int) -> DataFrame:
+    w = Window.partitionBy(key).orderBy(order)
     return (frame.withColumn("_rn", F.row_number().over(w))
             .filter(F.col("_rn") <= n).drop("_rn"))

@@ -1,29 +1,32 @@
 """K1: repeatable incremental ingest as a Structured Streaming query.
 
-A file source over the landing folder remembers processed files in its
-checkpoint, so every run only reads files it has not seen; ``foreachBatch``
-runs the idempotent batch ingest (M3) on each micro-batch, and
-``availableNow`` processes what is there and stops.  The file source tracks
+A file source over the landing folder (nested folders included) takes files
+whose *name* holds ``resume`` and remembers processed files in its checkpoint,
+so every run only reads files it has not seen; a file with a wrong header fails
+the run.  ``foreachBatch`` runs the idempotent batch ingest (M3) on each
+micro-batch, and ``availableNow`` processes what is there and stops.  The file source tracks
 *paths*: a resume file rewritten under the same name is not read again, so
 each run lands in its own sub-folder (``<landing>/<run>/...``).  Each log
 dataset is a closed file, so no event-time watermark is needed; the
-anti-join on log_dataset keeps the sinks free of repeats across runs.
+anti-joins keep the sinks free of repeats across runs and retried batches.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from ..functions import catalogue as cat
 from ..plans.jobs import ingest_results
 from ..schemas import RESUME
+from ..sources.resume import CSV_OPTIONS
 
 
 def incremental_ingest(spark: SparkSession, landing: str, store_root: str,
                        checkpoint: str, rule: str = "unified") -> None:
     stream = (spark.readStream.schema(RESUME)
-              .option("sep", ";").option("header", True)
-              .option("pathGlobFilter", "*.[cC][sS][vV]")
-              .csv(f"{landing.rstrip('/')}/*/"))
+              .options(**CSV_OPTIONS, enforceSchema=False, recursiveFileLookup=True,
+                       pathGlobFilter=cat.RESUME_FILE_GLOB)
+              .csv(landing))
 
     def batch(df, epoch_id):
         ingest_results(df.sparkSession, df, store_root, rule)

@@ -1,40 +1,36 @@
-"""Running-accept reduction (F1-F3): fixtures, and chunked / single scans
-against a sequential fold on random logs (out-of-order times included)."""
+"""Running-accept reduction (F1-F3): fixtures, and the chunked scan against a
+row-by-row fold on random logs (out-of-order times included)."""
 import datetime as dt
+import operator
 import random
 
 import pytest
 
-from cyclewise.operators.boundaries import cycle_boundaries, first_last_boundaries
+from cyclewise.operators.boundaries import cycle_boundaries, dataset_spans, first_last_boundaries, running_boundaries
 
 SB, SE, IB, IE = "SHUTDOWN BEGIN", "END OF SHUTDOWN", "IPL BEGIN", "IPL END"
 PRE, POST, IPLED = "PRE IPL", "POST IPL", "SYSTEM IPLED"
 DAY = dt.datetime(2022, 10, 6)
 
+# class -> (class whose kept time it must exceed, which of two times is better)
+FOLD = {SB: (None, operator.lt), SE: (SB, operator.lt), IB: (SE, operator.lt), IE: (IB, operator.gt),
+        PRE: (None, operator.lt), POST: (None, operator.gt)}
 
-def sequential_fold(rows):
-    """Direct transcription of the fold's rules, one row at a time."""
-    sb = se = ib = ie = pre = post = last = None
-    for typ, ts, lip in rows:
-        if typ == IPLED:
-            if lip is not None:
-                last = lip
-            continue
-        if ts is None:
-            continue
-        if typ == SB and (sb is None or ts < sb):
-            sb = ts
-        elif typ == SE and (se is None or ts < se) and (sb is None or ts > sb):
-            se = ts
-        elif typ == IB and (ib is None or ts < ib) and (se is None or ts > se):
-            ib = ts
-        elif typ == IE and (ie is None or ts > ie) and (ib is None or ts > ib):
-            ie = ts
-        elif typ == PRE and (pre is None or ts < pre):
-            pre = ts
-        elif typ == POST and (post is None or ts > post):
-            post = ts
-    return (pre, sb, se, ib, ie, post, last)
+
+def fold(rows):
+    """SURVEY F1: a time is kept if it is later than what its predecessor class
+    holds at that row (nothing: any time) and better than what its class holds."""
+    kept, last = {}, None
+    for cls, ts, ipled in rows:
+        if cls == IPLED:
+            last = ipled if ipled is not None else last
+        elif ts is not None:
+            before, better = FOLD[cls]
+            if before in kept and not ts > kept[before]:
+                continue
+            if cls not in kept or better(ts, kept[cls]):
+                kept[cls] = ts
+    return tuple(kept.get(c) for c in (PRE, SB, SE, IB, IE, POST)) + (last,)
 
 
 def _frame(spark, datasets):
@@ -72,10 +68,9 @@ EXPECTED = {
 }
 
 
-@pytest.mark.parametrize("strategy", ["single", "chunked"])
-def test_fixture_cases(spark, strategy):
-    got = _run(spark, FIXTURE_CASES, strategy=strategy, chunk_lines=2)
-    assert got == EXPECTED
+@pytest.mark.parametrize("chunk", [2, 1 << 13])
+def test_fixture_cases(spark, chunk):
+    assert _run(spark, FIXTURE_CASES, chunk_lines=chunk) == EXPECTED
 
 
 def _random_logs(seed, n_sets=40):
@@ -93,12 +88,36 @@ def _random_logs(seed, n_sets=40):
     return out
 
 
-@pytest.mark.parametrize("strategy,chunk", [("single", 1 << 20), ("chunked", 3), ("chunked", 7), ("auto", 5)])
-def test_matches_sequential_fold(spark, strategy, chunk):
+@pytest.mark.parametrize("chunk", [3, 7, 1 << 13])
+def test_matches_fold(spark, chunk):
     logs = _random_logs(7 + chunk)
-    got = _run(spark, logs, strategy=strategy, chunk_lines=chunk)
+    got = _run(spark, logs, chunk_lines=chunk)
+    for name, evs in logs.items():
+        assert got[name] == fold(evs), name
+
+
+def test_spans_need_no_fold(spark):
+    logs = _random_logs(3)
+    got = {r["log_dataset"]: (r["pre_ipl_ts"], r["post_ipl_ts"], r["last_ipl_ts"])
+           for r in dataset_spans(_frame(spark, logs)).collect()}
     for name, evs in logs.items():
-        assert got[name] == sequential_fold(evs), name
+        f = fold(evs)
+        assert got[name] == (f[0], f[5], f[6])
+
+
+def test_second_call_sees_new_rows_and_nothing_is_cached(spark, tmp_path):
+    path = f"file://{tmp_path}/detail"
+    _frame(spark, {"a": FIXTURE_CASES["ordinary"]}).write.parquet(path)
+    assert cycle_boundaries(spark.read.parquet(path)).count() == 1
+    _frame(spark, {"b": FIXTURE_CASES["ordinary"]}).write.mode("append").parquet(path)
+    assert cycle_boundaries(spark.read.parquet(path)).count() == 2
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_one_join_and_one_scan_of_rows(spark):
+    """The plan that is returned joins the class rows with the carries once."""
+    plan = running_boundaries(_frame(spark, FIXTURE_CASES))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Relation") == 2
 
 
 def test_first_last(spark):

@@ -52,3 +52,15 @@ def test_prefilter(spark):
     # S SSHD alone is not in the message patterns; Z*EOD is the regex 'EOD'
     assert [r["log_id"] for r in got] == [2, 3]
     assert got[0]["type"] == "IPL END"
+
+
+def test_unknown_system_is_rejected(spark):
+    line = "N 4000000 ZT1 2022279 03:14:15.92 DSI039I ENDED"
+    assert _parse(spark, [line], sysname=None) == []
+    assert len(_parse(spark, [line])) == 1
+
+
+def test_loaded_patterns(spark):
+    rows = [("D1", "ZT1", 1, "N 2022279 03141592 Z EOD"), ("D1", "ZT1", 2, "N 2022279 03141592 IEA371I X")]
+    df = spark.createDataFrame(rows, "log_dataset string, sysname string, line_no bigint, line string")
+    assert [r["log_id"] for r in parse_lines(df, patterns="IEA371I|NONE").collect()] == [2]

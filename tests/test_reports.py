@@ -27,7 +27,9 @@ def test_report_format_keeps_long_durations(spark):
 def test_search_and_page(spark):
     d = R.report_done(_done(spark))
     assert [r["log_dataset"] for r in R.report_search(d, "zt2\\.b").collect()] == ["ZT2.B"]
-    assert [r["log_dataset"] for r in R.page(d, ["sysname", "log_dataset"], 2, 1).collect()] == ["ZT2.B"]
+    assert [r["log_dataset"] for r in R.page(d, ["sysname", "log_dataset"], 1).collect()] == ["ZT1.A"]
+    after = ("zt1", "ZT1.A")
+    assert [r["log_dataset"] for r in R.page(d, ["sysname", "log_dataset"], 5, after).collect()] == ["ZT2.B"]
 
 
 def test_load_patterns(spark):

@@ -2,9 +2,10 @@
 from pyspark.sql import functions as F
 
 from cyclewise.operators import routing as RT
-from cyclewise.plans.jobs import ingest_results, result_table
+from cyclewise.plans.jobs import BUCKET, ingest_results, result_table, stored
 from cyclewise.schemas import RESUME, RESUME_COLUMNS
 from cyclewise.session import shared_path
+from cyclewise.sinks import name_files, write_resume
 from cyclewise.streaming.ingest import incremental_ingest
 
 OK = "2024-1-5 01:02:03"
@@ -73,16 +74,77 @@ def test_ingest_idempotent(spark):
                                              "results_garb": 2, "results_last_ipl": 1}
 
 
+def _names(spark, store, table="results_done"):
+    return sorted((r["sysname"], r["log_dataset"]) for r in result_table(spark, store, table).collect())
+
+
+FULL = (OK, "2024-1-5 02:00:00", "2024-1-5 03:00:00", "2024-1-5 04:00:00")
+
+
+def test_a_run_that_died_is_made_good(spark):
+    """Raw rows are stored and no result: the next run with the system finds them."""
+    store, other = shared_path(spark, "test-store"), shared_path(spark, "test-store")
+    df = _frame(spark)
+    ingest_results(spark, df, other)
+    stored(spark, other, "raw_results").write.partitionBy(BUCKET).parquet(f"{store}/raw_results")
+    late = spark.createDataFrame([_row("late", *FULL)], RESUME)
+    ingest_results(spark, late, store)
+    assert _names(spark, store) == [("SYS1", "done"), ("SYS1", "late")]
+    assert _counts(spark, store)["results_garb"] == 2
+
+
+def test_empty_first_batch(spark):
+    store = shared_path(spark, "test-store")
+    ingest_results(spark, _frame(spark).limit(0), store)
+    assert set(_counts(spark, store).values()) == {0}
+    ingest_results(spark, _frame(spark), store)
+    assert _counts(spark, store)["results_done"] == 1
+
+
+def test_odd_system_names_are_kept(spark):
+    store = shared_path(spark, "test-store")
+    names = [None, "", "0042", "A", "a/b=c"]
+    df = spark.createDataFrame([_row(f"d{i}", *FULL, sysname=n) for i, n in enumerate(names)], RESUME)
+    for _ in range(2):
+        ingest_results(spark, df, store)
+    for table in ("raw_results", "results_done"):
+        got = {(r["sysname"], r["log_dataset"]) for r in result_table(spark, store, table).collect()}
+        assert got == {(n, f"d{i}") for i, n in enumerate(names)}
+        assert result_table(spark, store, table).count() == len(names)
+
+
+def test_runs_read_their_systems_only(spark):
+    store = shared_path(spark, "test-store")
+    ingest_results(spark, _frame(spark), store)
+    for table in ("raw_results", "results_done"):
+        df = stored(spark, store, table).where(F.col(BUCKET).isin([3]))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert BUCKET in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_incremental_stream(spark):
     landing = shared_path(spark, "test-landing")
     store = shared_path(spark, "test-stream-store")
     ckpt = shared_path(spark, "test-stream-ckpt")
     df = _frame(spark)
-    write = lambda d, p: d.write.option("sep", ";").option("header", True).csv(p)
-    write(df.filter(F.col("log_dataset").isin("done", "partial")), f"{landing}/run1")
+
+    def land(d, path, suffix="_resume.CSV"):
+        write_resume(d, path)
+        name_files(spark, path, suffix)
+    land(df.filter(F.col("log_dataset").isin("done", "partial")), f"{landing}/run1/host")
+    land(df.withColumn("log_dataset", F.lit("not this")), f"{landing}/run1/resume", "_detail.CSV")
     incremental_ingest(spark, landing, store, ckpt)
     assert _counts(spark, store)["raw_results"] == 2
-    write(df, f"{landing}/run2")
+    land(df, f"{landing}/run2")
     incremental_ingest(spark, landing, store, ckpt)
     incremental_ingest(spark, landing, store, ckpt)   # nothing new: no change
     assert _counts(spark, store)["raw_results"] == 6
+
+
+def test_header_only_landing(spark):
+    landing, store = shared_path(spark, "test-landing"), shared_path(spark, "test-store")
+    header = spark.createDataFrame([(";".join(RESUME_COLUMNS),)], "value string").coalesce(1)
+    header.write.text(f"{landing}/host=x")
+    name_files(spark, landing, "_resume.CSV")
+    incremental_ingest(spark, landing, store, shared_path(spark, "test-ckpt"))
+    assert set(_counts(spark, store).values()) == {0}
