@@ -15,12 +15,13 @@ slack(x) + slack(y) >= 0, where slack(x) = (100 - T) |x| - (100 + T) r_x.
 
 Recursion.  Each region's pivot document is the one with the fewest shingles before it; all others
 are first compared with it alone.  What links makes components.  Only regions that still hold several components go on:
-their documents outside the pivot's component are joined with rings of slack, again as
-far as the triangle inequality lets them, and never inside one component.  So a group of
+their documents outside the pivot's component are joined with the region's inner ring (slack 0 and
+more) and, from the inner ring only, with its outer ring, as far as the triangle inequality lets them,
+and never inside one component.  So a group of
 copies costs its size, not its square, and no link between different components is missed.
 
 Between the two, the counts of shingles in 256 fixed parts of the universe (256 more pivot
-sets) bound the symmetric difference from below and drop most candidates.  What is left is verified on the whole sets.
+sets) bound the symmetric difference from below and drop most candidates, their parities already inside the last join.  What is left is verified on the whole sets.
 
 Documents of equal sets are one representative throughout.  Very common shingles come last in the
 order by their counts, which cover all documents (counts below two in a chunk are left out);
@@ -52,7 +53,8 @@ SHINGLE, PERCENT = 4, 85
 COMMON = 500_000
 COUNT_CHUNK = 2_000_000
 PARTS = 256
-SET_SCHEMA = "doc_id long, n long, d1 long, d2 long, sketch binary, win array<long>"
+PARITY = [f"p{k}" for k in range(PARTS // 64)]
+SET_SCHEMA = "doc_id long, n long, d1 long, d2 long, sketch binary, " + "".join(f"{p} long, " for p in PARITY) + "win array<long>"
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -120,7 +122,7 @@ def _sets(n: int, percent: int, common):
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 s = shingle_set(text.as_py(), n)
                 d1, d2 = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist()
-                sketch = np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PARTS), 255)
+                counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PARTS)
                 reach = len(s) * (100 - percent) // 100 + 1
                 at = np.minimum(np.searchsorted(h, s), max(len(h) - 1, 0))
                 often = h[at] == s if len(h) else np.zeros(len(s), bool)
@@ -129,14 +131,16 @@ def _sets(n: int, percent: int, common):
                     rest = np.flatnonzero(often)
                     rest = rest[np.argsort(c[at[rest]], kind="stable")]
                     win = np.concatenate([win, s[rest[:reach - len(win)]]])
-                rows.append((doc_id.as_py(), len(s), d1, d2, sketch.astype(np.uint8).tobytes(), win.view(np.int64)))
+                parity = np.packbits((counts & 1).astype(np.uint8)).view(np.int64).tolist()
+                rows.append((doc_id.as_py(), len(s), d1, d2, np.minimum(counts, 255).astype(np.uint8).tobytes(), *parity, win.view(np.int64)))
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(x, pa.int64()) for x in cols[:4]), pa.array(cols[4], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cols[5])]), pa.int32()),
-                                              pa.array(np.concatenate(cols[5])))],
-                    names=["doc_id", "n", "d1", "d2", "sketch", "win"])
+                     *(pa.array(x, pa.int64()) for x in cols[5:-1]),
+                     pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cols[-1])]), pa.int32()),
+                                              pa.array(np.concatenate(cols[-1])))],
+                    names=["doc_id", "n", "d1", "d2", "sketch", *PARITY, "win"])
     return run
 
 
@@ -175,7 +179,7 @@ class _Join:
         self.groups = materialise(groups, "set-groups")
         reps = self.sets.where("n > 0").join(
             self.groups.select(F.col("rep").alias("doc_id"), F.col("d1").alias("g1"), F.col("d2").alias("g2"), "k"), "doc_id")
-        reps = reps.where("d1 = g1 and d2 = g2").select(F.col("doc_id").alias("rep"), "n", "sketch", "win", "k")
+        reps = reps.where("d1 = g1 and d2 = g2").select(F.col("doc_id").alias("rep"), "n", "sketch", *PARITY, "win", "k")
         # rows that repeat an id with its text stand twice here; groups of one row (nearly all) do not need the check
         single = reps.where("k = 1").drop("k")
         several = reps.where("k > 1").drop("k").dropDuplicates(["rep", "win"])
@@ -192,6 +196,11 @@ class _Join:
         n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
         return (F.col(f"{a}.slack") + F.col(f"{b}.slack") >= 0) & (100 * F.least(n, m) >= self.percent * F.greatest(n, m))
 
+    def _near(self, a: str, b: str):
+        """Parts of the universe whose counts differ in parity differ by a shingle at least."""
+        odd = sum(F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITY)
+        return self.far * odd <= self.near * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
     @staticmethod
     def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
         x, y = F.col(f"{a}.rep"), F.col(f"{b}.rep")
@@ -214,14 +223,15 @@ class _Join:
         mixed = e.groupBy("z").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("z")
         home = pivots.select("z", "rep").join(mixed, "z").join(c, "rep", "left").select("z", F.coalesce("root", "rep").alias("home"))
         home = materialise(home, "mixed-regions")
-        e = materialise(e.join(home, "z").withColumn("ring", self._ring(F.col("slack"))), "mixed-entries")
+        e = e.join(home, "z").join(self.reps.select("rep", *PARITY), "rep")
+        e = materialise(e.withColumn("ring", self._ring(F.col("slack"))), "mixed-entries")
         # the greatest slack that a partner of like size can have closes the rings of a document
         most = self._ring(F.ceil(F.lit(100.0 * self.near / self.percent) * F.col("n")))
         out = e.where("c <> home").withColumn("ring", F.explode(F.sequence(
             F.least(self._ring(-F.col("slack")), most), most)))
         met = out.alias("x").join(e.alias("y"), ["z", "ring"]).where(
             (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.home")) | (F.col("x.rep") < F.col("y.rep")))
-            & self._may("x", "y"))
+            & self._may("x", "y") & self._near("x", "y"))
         return self._pairs(met, "x", "y")
 
     @staticmethod
