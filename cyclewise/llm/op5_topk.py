@@ -30,7 +30,7 @@ from cyclewise.llm.common import materialise, read_table
 K = 20
 EVERY = 20
 DATA_BLOCK, QUERY_BLOCK = 8192, 2048
-FAN, LEAF = 16, 64
+FAN, LEAF = 16, 512
 
 
 class Node:
@@ -63,17 +63,28 @@ def tree(v: np.ndarray) -> Node:
 
 
 class Search:
-    """The k best data rows of each query row of one pair of blocks."""
+    """The k best data rows of each query row of one pair of blocks, in ``score``
+    and ``vec_id`` (row by row; ``found`` tells which are filled).
+
+    Data rows stand in the order of their ids, so score * M - place, with M over the number of
+    rows, orders rows by score and then by id in one number; ``best`` holds the k greatest."""
 
     def __init__(self, q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int):
-        self.q, self.q_ids, self.v, self.ids, self.k = q, q_ids, v, ids, k
-        self.exact = max(np.abs(q).max(initial=0), np.abs(v).max(initial=0)) ** 2 * max(q.shape[1], 1) < 2.0**53
-        if not self.exact:
-            self.qi, self.vi = q.astype(np.int64), v.astype(np.int64)
-        self.score = np.full((len(q), k), np.iinfo(np.int64).min)
-        self.best = np.full((len(q), k), np.iinfo(np.int64).max)
+        order = np.argsort(ids, kind="stable")
+        self.q, self.q_ids, self.v, self.ids, self.k = q, q_ids, v[order], ids[order], k
+        self.m = 1 << max(1, len(ids)).bit_length()
+        top = max(np.abs(q).max(initial=0), np.abs(v).max(initial=0)) ** 2 * max(q.shape[1], 1)
+        # beyond the exact integers of a double the numbers are Python's
+        self.exact = top * self.m < 2.0**52
+        self.best = np.full((len(q), k), -np.inf, dtype=np.float64 if self.exact else object)
         if len(q) and len(v):
-            self.run(tree(q), tree(v))
+            self.run(tree(q), tree(self.v))
+        self.found = self.best != -np.inf
+        key = np.where(self.found, self.best, 0)
+        key = key.astype(np.int64) if self.exact else key
+        score = -(-key // self.m)
+        self.score = score.astype(np.int64)
+        self.vec_id = self.ids[(score * self.m - key).astype(np.int64)] if len(v) else np.zeros(key.shape, np.int64)
 
     def bound(self, a: Node, b: Node) -> float:
         x = float(a.centre @ b.centre) + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius
@@ -84,8 +95,7 @@ class Search:
         heap, n = [(-self.bound(a, b), 0, a, b)], 0
         while heap:
             bound, _, a, b = heapq.heappop(heap)
-            worst = self.score[a.rows, -1].min()
-            if -bound < worst:
+            if (-bound + 1) * self.m < self.best[a.rows].min():
                 continue
             if not a.children and not b.children:
                 self.leaves(a.rows, b.rows)
@@ -96,19 +106,14 @@ class Search:
                 heapq.heappush(heap, (-self.bound(x, y), n, x, y))
 
     def leaves(self, a: np.ndarray, b: np.ndarray) -> None:
-        s = (self.q[a] @ self.v[b].T).astype(np.int64) if self.exact else self.qi[a] @ self.vi[b].T
-        own = self.q_ids[a][:, None] == self.ids[b][None, :]
-        useful = ((s >= self.score[a, -1][:, None]) & ~own).any(axis=0)
-        if not useful.any():
-            return
-        s = np.where(own, np.iinfo(np.int64).min, s)[:, useful]
-        s = np.concatenate([self.score[a], s], axis=1)
-        new = np.broadcast_to(self.ids[b][useful], (len(a), int(useful.sum())))
-        new = np.where(own[:, useful], np.iinfo(np.int64).max, new)
-        i = np.concatenate([self.best[a], new], axis=1)
-        order = np.lexsort((i, -s.astype(np.float64) if self.exact else ~s), axis=1)[:, :self.k]
-        self.score[a] = np.take_along_axis(s, order, 1)
-        self.best[a] = np.take_along_axis(i, order, 1)
+        if self.exact:
+            key = (self.q[a] @ self.v[b].T) * self.m - b
+        else:
+            key = (self.q[a].astype(np.int64) @ self.v[b].T.astype(np.int64)).astype(object) * self.m - b
+        key[self.q_ids[a][:, None] == self.ids[b][None, :]] = -np.inf
+        key = np.concatenate([self.best[a], key], axis=1)
+        key = np.partition(key, key.shape[1] - self.k, axis=1) if self.exact else np.sort(key, axis=1)
+        self.best[a] = key[:, -self.k:]
 
 
 def _encoded(batches):
@@ -137,9 +142,8 @@ def _searched(k: int):
             return pd.DataFrame({c: np.zeros(0, np.int64) for c in names})
         q_ids = queries["vec_id"].to_numpy()
         s = Search(_matrix(queries), q_ids, _matrix(data), data["vec_id"].to_numpy(), k)
-        found = s.best != np.iinfo(np.int64).max
-        return pd.DataFrame({"query_id": np.broadcast_to(q_ids[:, None], found.shape)[found], "vec_id": s.best[found],
-                             "score": s.score[found]})
+        return pd.DataFrame({"query_id": np.broadcast_to(q_ids[:, None], s.found.shape)[s.found],
+                             "vec_id": s.vec_id[s.found], "score": s.score[s.found]})
     return run
 
 

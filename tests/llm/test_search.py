@@ -41,8 +41,9 @@ def test_top_k_of_large_components_and_few_rows(spark):
     assert K.top_k(df.where("vec_id = 0"), F.expr("vec_id % 20 = 0")).count() == 0
 
 
-def test_trees_prune():
+def test_trees_prune(monkeypatch):
     """Groups far apart: most leaf pairs are never multiplied."""
+    monkeypatch.setattr(K, "LEAF", 32)
     rng = np.random.default_rng(1)
     v = np.concatenate([np.floor(rng.normal(size=(300, 16)) * 5 + 400 * np.eye(16)[g]) for g in range(16)])
     seen = []
@@ -57,7 +58,7 @@ def test_trees_prune():
     dots = v[::20] @ v.T
     for k, q in enumerate(ids[::20]):
         dots[k, q] = -np.inf
-        assert s.score[k].tolist() == sorted(dots[k], reverse=True)[:5]
+        assert sorted(s.score[k].tolist(), reverse=True) == sorted(dots[k], reverse=True)[:5]
 
 
 URLS = [
