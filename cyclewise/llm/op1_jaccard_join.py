@@ -224,22 +224,15 @@ class _Join:
         home = pivots.select("z", "rep").join(mixed, "z").join(c, "rep", "left").select("z", F.coalesce("root", "rep").alias("home"))
         home = materialise(home, "mixed-regions")
         e = e.join(home, "z").join(self.reps.select("rep", *PARITY), "rep")
-        e = materialise(e.withColumn("ring", self._ring(F.col("slack"))), "mixed-entries")
-        # the greatest slack that a partner of like size can have closes the rings of a document
-        most = self._ring(F.ceil(F.lit(100.0 * self.near / self.percent) * F.col("n")))
-        out = e.where("c <> home").withColumn("ring", F.explode(F.sequence(
-            F.least(self._ring(-F.col("slack")), most), most)))
+        # inner ring: slack 0 and more; a document of the outer ring has no partner there
+        inner = (F.col("slack") >= 0).cast("int")
+        e = materialise(e.withColumn("ring", inner), "mixed-entries")
+        out = e.where("c <> home").withColumn("ring", F.explode(F.sequence(1 - inner, F.lit(1))))
         met = out.alias("x").join(e.alias("y"), ["z", "ring"]).where(
             (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.home")) | (F.col("x.rep") < F.col("y.rep")))
             & self._may("x", "y") & self._near("x", "y"))
         return self._pairs(met, "x", "y")
 
-    @staticmethod
-    def _ring(slack):
-        """Rings grow by powers of two from slack 0 to both sides; never falling."""
-        size = F.ceil(F.log2(F.abs(slack).cast("double") + 1)).cast("int")
-        return F.when(slack < 0, -size).otherwise(size)
-
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that link, by their sketches and then by their whole sets."""
         pairs = materialise(pairs, f"{name}-candidates")
