@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -26,9 +28,35 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    for made in _scopes.get():
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scratch", default=())
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``materialise`` makes inside are deleted at the end, so what is
+    returned must not read them: write it outside, or with ``keep``, which this yields."""
+    made: list[str] = []
+    token = _scopes.set((*_scopes.get(), made))
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = materialise(df, name)
+        made.pop()  # an outer scope, if there is one, still deletes it
+        return out
+
+    try:
+        yield keep
+    finally:
+        _scopes.reset(token)
+        for path in made:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null gives no words."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SEP_REGEX), lambda w: w != F.lit(""))

@@ -45,7 +45,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 from cyclewise.llm import idfilter
-from cyclewise.llm.common import materialise, read_table
+from cyclewise.llm.common import materialise, read_table, scratch
 from cyclewise.llm.components import components
 from cyclewise.llm.wordhash import combine, mix, word_hashes
 
@@ -257,21 +257,23 @@ class _Join:
 def jaccard_join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(documents, links): doc_id, n_shingles and component_id of every row of ``docs``
     (doc_id, text); and links between representatives (a < b), which join all that link."""
-    j = _Join(docs, n, percent)
-    entries = j.entries()
-    pivots, pairs = j.star(entries)
-    near = j.links(pairs, "star")
-    labels = components(near, "star")
-    rest = j.across(entries, pivots, labels)
-    far = j.links(rest, "across")
-    links = near.unionByName(far)
-    if not far.isEmpty():
-        labels = components(links, "all")
-    copies = j.groups.where("k > 1").select("d1", "d2", "rep")
-    rows = j.sets.select("doc_id", "n", "d1", "d2").join(copies, ["d1", "d2"], "left")
-    rows = rows.withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-    rows = rows.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id")), links
+    with scratch(docs.sparkSession) as keep:
+        j = _Join(docs, n, percent)
+        entries = j.entries()
+        pivots, pairs = j.star(entries)
+        near = j.links(pairs, "star")
+        labels = components(near, "star")
+        rest = j.across(entries, pivots, labels)
+        far = j.links(rest, "across")
+        links = near.unionByName(far)
+        if not far.isEmpty():
+            labels = components(links, "all")
+        copies = j.groups.where("k > 1").select("d1", "d2", "rep")
+        rows = j.sets.select("doc_id", "n", "d1", "d2").join(copies, ["d1", "d2"], "left")
+        rows = rows.withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
+        rows = rows.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left")
+        rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
+        return keep(rows, "components"), keep(links, "links")
 
 
 def keep_first(docs: DataFrame, n: int, percent: int) -> DataFrame:

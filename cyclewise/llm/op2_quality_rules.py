@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cyclewise.llm.common import (
-    SEP_REGEX, SEPARATORS, WORD_REGEX, ascii_lower, materialise, n_words, read_table, words,
+    SEP_REGEX, SEPARATORS, WORD_REGEX, ascii_lower, materialise, n_words, read_table, scratch, words,
 )
 
 WINDOW = 8
@@ -161,9 +161,11 @@ def clean(docs: DataFrame, share: int = LINE_SHARE, least: int = LINE_DOCUMENTS)
     """The kept rows of ``docs``, without the lines above the limit; texts are not shuffled
     but for the join with the hosts where their table is large."""
     names = docs.columns
-    lines = materialise(identified(docs).select("host", "no_host", "t", line_keys().alias("lines")), "line-keys")
+    with scratch(docs.sparkSession) as keep:
+        lines = materialise(identified(docs).select("host", "no_host", "t", line_keys().alias("lines")), "line-keys")
+        frequent = keep(frequent_lines(lines, share, least), "frequent")
     plain = docs.select(*[F.col(c).alias(f"c_{c}") for c in names], *_host())
-    rows = base_rules(plain.join(frequent_lines(lines, share, least), ["host", "no_host"], "left"), "c_text")
+    rows = base_rules(plain.join(frequent, ["host", "no_host"], "left"), "c_text")
     rows = rows.where(~F.col("base_failed"))
     text = F.coalesce(F.col("c_text").cast("string"), F.lit(""))
     left = F.when(F.col("frequent").isNull(), text).otherwise(F.array_join(F.filter(
