@@ -9,6 +9,12 @@ row.  In a bucket, strings whose minimiser occurs once hold no repeated window;
 are numbered by their whole word sequence, sorted by (window, document), and the first document of each
 run is the smallest that holds it.  Comparison is by words, never by hash alone.
 
+Beside a passage that very many documents share, every document has super-k-mers of its own with the
+passage's minimisers.  A first pass counts runs by minimiser over all texts; windows of the
+hottest minimisers (over ``HOT`` runs and over 1 / ``HOT_LIST`` of all, hence at most ``HOT_LIST``)
+are keyed by the hash of their own words instead.  That depends on the window's words alone, so
+equal windows still meet, and no key gathers more than a fixed share.
+
 Copies that a map task sees itself are settled there: of equal super-k-mers only those of the
 smallest document travel, the others are known to be removed and leave by a bucket of
 their document, so a passage that a third of all documents share reaches its bucket
@@ -27,31 +33,80 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cyclewise.llm.common import read_table
-from cyclewise.llm.wordhash import combine, word_hashes
+from cyclewise.llm.common import materialise, read_table
+from cyclewise.llm.wordhash import combine, joined, word_hashes
 
 WINDOW = 13
 PART = 4
 CHUNK_BYTES = 16 << 20
 LEVEL = 3
+HOT, HOT_LIST = 512, 100_000
 
 
-def _minimisers(words: list[bytes]) -> np.ndarray:
-    """The least part hash of each window."""
-    low = combine(word_hashes(words), PART)
+def _keys(words: list[bytes], hot: np.ndarray) -> np.ndarray:
+    """Each window's minimiser (least part hash), or the hash of all its words
+    where the minimiser is one of the sorted ``hot`` ones."""
+    h = word_hashes(words)
+    low = part = combine(h, PART)
     have, want = 1, WINDOW - PART + 1
     while have < want:
         step = min(have, want - have)
         low = np.minimum(low[:-step], low[step:])
         have += step
+    if len(hot):
+        at = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low)
+        if len(at):
+            # 13 = 4 + 4 + 4 + 1 words
+            low[at] = joined([part[at], part[at + 4], part[at + 8], h[at + 12]])
     return low
 
 
+def _runs(low: np.ndarray) -> np.ndarray:
+    """First windows of the runs of equal keys."""
+    return np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
+
+
+def _counted(batches):
+    """(low, n): minimisers of two runs or more in a chunk; a null low counts all of the chunk's runs."""
+    held, size = [], 0
+
+    def rows():
+        low, n = np.unique(np.concatenate(held), return_counts=True)
+        keep = n > 1
+        return pa.RecordBatch.from_arrays(
+            [pa.array([None, *low[keep].view(np.int64).tolist()], pa.int64()),
+             pa.array([int(n.sum()), *n[keep].tolist()], pa.int64())], names=["low", "n"])
+
+    for batch in batches:
+        for text in batch.column(0):
+            data = text.as_py().encode()
+            words = data.split()
+            size += len(data)
+            if len(words) >= WINDOW:
+                low = _keys(words, np.zeros(0, np.uint64))
+                held.append(low[_runs(low)])
+            if size >= CHUNK_BYTES and held:
+                yield rows()
+                held, size = [], 0
+    if held:
+        yield rows()
+
+
+def hot_minimisers(texts: DataFrame) -> np.ndarray:
+    """Sorted minimisers with too many runs, at most ``HOT_LIST`` (column text)."""
+    counts = texts.select("text").mapInArrow(_counted, "low long, n long").groupBy("low").agg(F.sum("n").alias("n"))
+    counts = materialise(counts.where(f"low is null or n >= {HOT}"), "minimisers")
+    runs = counts.where("low is null").first()
+    least = max(HOT, -(-(runs["n"] if runs else 0) // HOT_LIST))
+    rows = counts.where((F.col("low").isNotNull()) & (F.col("n") >= least)).select("low").toPandas()
+    return np.sort(rows["low"].to_numpy(np.int64).view(np.uint64))
+
+
 class _Chunk:
     """Super-k-mers of some documents, packed by bucket."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.size = buckets, 0
+    def __init__(self, buckets: int, hot: np.ndarray):
+        self.buckets, self.hot, self.size = buckets, hot, 0
         self.docs, self.places, self.counts, self.lows, self.texts = [], [], [], [], []
 
     def add(self, doc_id: int, text: str) -> None:
@@ -60,8 +115,8 @@ class _Chunk:
         self.size += len(data)
         if len(words) < WINDOW:
             return
-        low = _minimisers(words)
-        first = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
+        low = _keys(words, self.hot)
+        first = _runs(low)
         count = np.diff(np.append(first, len(low)))
         line = b" ".join(words)
         at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
@@ -111,9 +166,9 @@ class _Chunk:
                 yield -1 - int(docs[part[0]] % self.buckets), pack(body)
 
 
-def _super_kmers(buckets: int):
+def _super_kmers(buckets: int, hot):
     def run(batches):
-        chunk = _Chunk(buckets)
+        chunk = _Chunk(buckets, hot.value)
 
         def packed():
             out = list(chunk.rows())
@@ -125,7 +180,7 @@ def _super_kmers(buckets: int):
                 chunk.add(doc_id.as_py(), text.as_py())
                 if chunk.size >= CHUNK_BYTES:
                     yield packed()
-                    chunk = _Chunk(buckets)
+                    chunk = _Chunk(buckets, hot.value)
         yield packed()
     return run
 
@@ -218,7 +273,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where("doc_id is not null and text is not null")
-    sent = rows.mapInArrow(_super_kmers(buckets), "bucket int, payload binary")
+    hot = spark.sparkContext.broadcast(hot_minimisers(rows))
+    sent = rows.mapInArrow(_super_kmers(buckets, hot), "bucket int, payload binary")
     return sent.repartition(buckets, "bucket").mapInArrow(_repeats, "doc_id long, place long, n long")
 
 

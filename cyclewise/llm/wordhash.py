@@ -27,9 +27,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 def combine(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of ``n`` (up to 8) consecutive words, from the words' hashes."""
     k = len(h) - n + 1
-    if k <= 0:
-        return np.zeros(0, np.uint64)
-    out = h[:k] * _ROUNDS[0]
-    for j in range(1, n):
-        out += h[j:j + k] * _ROUNDS[j]
+    return joined([h[j:j + k] for j in range(n)]) if k > 0 else np.zeros(0, np.uint64)
+
+
+def joined(columns: list[np.ndarray]) -> np.ndarray:
+    """One hash of each row of up to 8 columns of hashes."""
+    out = columns[0] * _ROUNDS[0]
+    for x, r in zip(columns[1:], _ROUNDS[1:]):
+        out += x * r
     return mix(out)
