@@ -65,7 +65,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63)).alias("doc_id"),
                        F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_segments(vocabulary or default_vocabulary(), segment_ids), SEGMENT_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(_segments(vocabulary or default_vocabulary(), segment_ids), SEGMENT_SCHEMA).write.option(
+        "compression", "none").parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
