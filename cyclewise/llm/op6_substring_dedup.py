@@ -166,14 +166,25 @@ class _Chunk:
                 yield -1 - int(docs[part[0]] % self.buckets), pack(body)
 
 
-def _super_kmers(buckets: int, hot):
+def _labels(spark: SparkSession, buckets: int) -> list[int]:
+    """One number for each bucket, such that Spark's hash partitioning into
+    ``buckets`` partitions gives every bucket a partition of its own."""
+    k = F.col("id").cast("int")
+    rows = spark.range(24 * buckets).select(k.alias("k"), F.pmod(F.hash(k), F.lit(buckets)).alias("p"))
+    found = {r["p"]: r["k"] for r in rows.groupBy("p").agg(F.min("k").alias("k")).collect()}
+    return [found.get(p, p) for p in range(buckets)]
+
+
+def _super_kmers(buckets: int, labels: list[int], hot):
     def run(batches):
         chunk = _Chunk(buckets, hot.value)
 
         def packed():
             out = list(chunk.rows())
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()),
-                                               pa.array([x for _, x in out], pa.binary())], names=["bucket", "payload"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([labels[b if b >= 0 else -1 - b] for b, _ in out], pa.int32()),
+                 pa.array([b < 0 for b, _ in out], pa.bool_()), pa.array([x for _, x in out], pa.binary())],
+                names=["bucket", "removed", "payload"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
@@ -257,8 +268,8 @@ def _repeats(batches):
 
     held = []
     for batch in batches:
-        for bucket, payload in zip(batch.column(0), batch.column(1)):
-            if bucket.as_py() >= 0:
+        for removed, payload in zip(batch.column(1), batch.column(2)):
+            if not removed.as_py():
                 held.append(payload.as_py())
             else:
                 yield rows(*np.frombuffer(zstandard.ZstdDecompressor().decompress(payload.as_py()), "<i8").reshape(3, -1))
@@ -274,7 +285,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where("doc_id is not null and text is not null")
     hot = spark.sparkContext.broadcast(hot_minimisers(rows))
-    sent = rows.mapInArrow(_super_kmers(buckets, hot), "bucket int, payload binary")
+    sent = rows.mapInArrow(_super_kmers(buckets, _labels(spark, buckets), hot),
+                           "bucket int, removed boolean, payload binary")
     return sent.repartition(buckets, "bucket").mapInArrow(_repeats, "doc_id long, place long, n long")
 
 
