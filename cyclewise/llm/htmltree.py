@@ -16,9 +16,13 @@ MAX_DEPTH = 200
 #: Longer cell lines do not widen their column (they stand unpadded).
 MAX_CELL_WIDTH = 120
 
+# A quote opens a value only right after `=`; elsewhere it belongs to a name or to an unquoted value.
+_NAME = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
+_VALUE = r"[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:\"({0}[^\"]*+)\"?|'({0}[^']*+)'?|({0}[^ \t\n\r\f>\"'][^ \t\n\r\f>]*+))?"
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>?", re.S)
-ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)"
+    rf"((?:[ \t\n\r\f/]|{_NAME}(?:{_VALUE.format('?:')})?)*+)>?", re.S)
+ATTR = re.compile(rf"({_NAME})(?:{_VALUE.format('')})?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 

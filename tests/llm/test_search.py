@@ -140,6 +140,21 @@ PAGES = [
 ]
 
 
+#: Quotes and comment ends as browsers read them.
+BROKEN = [
+    ('<a href="x"">one</a><p class="y">two</p>', "one\n\ntwo"), ("<p title=it's>Visible words. You don't see me</p>", "Visible words. You don't see me"),
+    ("x<!--> kept <p>all the rest", "x kept\n\nall the rest"), ("x<!---> kept", "x kept"), ("x<!-- gone --!> kept", "x kept"),
+    ("x<!-- a > b -- c -->y", "xy"), ("<p title=a'hidden>q</p>it's", "q\n\nit's"), ("<p a='x>y' b = \"z>\">q</p>", "q"),
+    ("<p a=>q</p>", "q"), ('<p "a>q" b</p>', 'q" b'), ("<p a=b\"c>q</p><p d='>'>r", "q\n\nr"), ("<a href=/x/>q</a>", "q"),
+    ("<p x='1'hidden>q</p>r", "r"), ("<p =x' y>q</p>", "q"),
+]
+
+
+@pytest.mark.parametrize("source,text", BROKEN)
+def test_quotes_and_comment_ends(source, text):
+    assert render(source) == text
+
+
 @pytest.mark.parametrize("source,text", PAGES)
 def test_rendering(source, text):
     assert render(source).replace("\u00a0", " ").strip("\n") == text
