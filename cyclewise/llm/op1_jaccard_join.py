@@ -20,6 +20,12 @@ more) and, from the inner ring only, with its outer ring, as far as the triangle
 and never inside one component.  So a group of
 copies costs its size, not its square, and no link between different components is missed.
 
+Links.  These steps give the components; every link lies inside one.  A component's representatives are dealt by a hash
+into blocks of about ``BLOCK`` sets, small components share a group, and every pair of blocks is a group of
+its own, in which all pairs are verified on the whole sets.  So each pair is tested once, and no link between different sets is missed.
+A component of m sets costs m * m / 2 tests and sends each set m / ``BLOCK`` times; links are counted
+inside the groups, so the query holds no row for each link.
+
 Between the two, the counts of shingles in 256 fixed parts of the universe (256 more pivot
 sets) bound the symmetric difference from below and drop most candidates, their parities already inside the last join.  What is left is verified on the whole sets.
 
@@ -53,6 +59,8 @@ SHINGLE, PERCENT = 4, 85
 COMMON = 500_000
 COUNT_CHUNK = 2_000_000
 PARTS = 256
+#: Sets and shingles of a block of a component, about.
+BLOCK, BLOCK_SHINGLES = 128, 1_000_000
 PARITY = [f"p{k}" for k in range(PARTS // 64)]
 SET_SCHEMA = "doc_id long, n long, d1 long, d2 long, sketch binary, " + "".join(f"{p} long, " for p in PARITY) + "win array<long>"
 
@@ -165,6 +173,38 @@ def _chosen_sets(n: int, bits):
     return run
 
 
+def _linked(percent: int, counted: bool):
+    """Links (a, b) inside the components of one group, or their number by representative (rep, k)."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("root", "ascending"), ("block", "ascending")])
+        root, block, rep = (table.column(c).to_numpy() for c in ("root", "block", "rep"))
+        cross = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+        s = table.column("s").combine_chunks()
+        size = s.value_lengths().to_numpy().astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(size)])
+        value, x = np.unique(s.flatten().to_numpy(), return_inverse=True)
+        flag = np.zeros(len(value), bool)
+        upto = np.searchsorted(root, root, side="right")
+        first = np.searchsorted(block, table.column("hi")[0].as_py()) if cross else 0
+        pairs = [np.zeros((0, 2), np.int64)]
+        for k in range(first if cross else len(rep)):
+            # the rows after this one in its component; of two blocks, those of the other
+            lo, hi = first if cross else k + 1, upto[k]
+            if lo >= hi:
+                continue
+            flag[x[at[k]:at[k + 1]]] = True
+            common = np.add.reduceat(flag[x[at[lo]:at[hi]]], at[lo:hi] - at[lo], dtype=np.int64)
+            flag[x[at[k]:at[k + 1]]] = False
+            other = rep[lo:hi][100 * common >= percent * (size[k] + size[lo:hi] - common)]
+            other = other[other != rep[k]]
+            pairs.append(np.stack([np.minimum(other, rep[k]), np.maximum(other, rep[k])], axis=1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        if counted:
+            return pa.table(dict(zip(("rep", "k"), map(pa.array, np.unique(pairs, return_counts=True)))))
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+    return run
+
+
 class _Join:
     """The steps over one table, each written before the next."""
 
@@ -253,33 +293,80 @@ class _Join:
         return materialise(both.where((100 * common >= self.percent * union) & (union > 0)).select("a", "b").distinct(),
                            f"{name}-links")
 
+    def labels(self) -> DataFrame:
+        """node, root of the representatives that link with another."""
+        entries = self.entries()
+        pivots, pairs = self.star(entries)
+        near = self.links(pairs, "star")
+        labels = components(near, "star")
+        far = self.links(self.across(entries, pivots, labels), "across")
+        return labels if far.isEmpty() else components(near.unionByName(far), "all")
+
+    def inside(self, labels: DataFrame, counted: bool) -> DataFrame:
+        """All links (a < b) inside the components, or their number k by rep."""
+        nodes = self.reps.select("rep", "n").join(labels.select(F.col("node").alias("rep"), "root"), "rep")
+        nodes = materialise(nodes.groupBy("rep", "root").agg(F.max("n").alias("n")), "linked-reps")
+        sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
+        parts = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
+        sizes = materialise(sizes.select("root", "m", "w", parts.alias("parts")), "component-sizes")
+        small = sizes.where("parts = 1").agg(F.sum("m").alias("m"), F.sum("w").alias("w")).first()
+        buckets = max(1, -(-(small["m"] or 0) // BLOCK), -(-(small["w"] or 0) // BLOCK_SHINGLES))
+        block = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+        dealt = materialise(nodes.join(sizes.select("root", "parts"), "root").select("rep", "root", "parts", block.alias("block")),
+                            "dealt-reps")
+        bits = idfilter.bitmap(dealt, "rep")
+        sets = self.docs.select("doc_id", "text", idfilter.place("doc_id").alias("p")).mapInArrow(
+            _chosen_sets(self.n, bits), "rep long, s array<long>").where(F.size("s") > 0)
+        # one group a pair of blocks; components of one block share groups
+        sets = sets.join(dealt, "rep").dropDuplicates(["rep", "s"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        group = F.when(F.col("parts") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(buckets)))
+        sets = sets.select(group.alias("g"), (F.col("parts") > 1).alias("dense"), F.least("block", "j").alias("lo"),
+                           F.greatest("block", "j").alias("hi"), "root", "block", "rep", "s")
+        found = sets.groupBy("g", "dense", "lo", "hi").applyInArrow(
+            _linked(self.percent, counted), "rep long, k long" if counted else "a long, b long")
+        return found.groupBy("rep").agg(F.sum("k").alias("k")) if counted else found
+
+    def documents(self, labels: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+        """doc_id, n_shingles, component_id and, with ``counts``, n_links of every row."""
+        info = labels.select(F.col("node").alias("rep"), "root")
+        if counts is not None:
+            info = materialise(info.join(counts, "rep", "left"), "link-counts")
+        copies = self.groups.where("k > 1").select("d1", "d2", "rep")
+        rows = self.sets.select("doc_id", "n", "d1", "d2").join(copies, ["d1", "d2"], "left")
+        rows = rows.withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
+        rows = rows.join(info, "rep", "left")
+        n_links = [] if counts is None else [F.when(F.col("n") > 0, F.coalesce("k", F.lit(0))).otherwise(0).cast("long").alias("n_links")]
+        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"), *n_links)
+
 
 def jaccard_join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(documents, links): doc_id, n_shingles and component_id of every row of ``docs``
-    (doc_id, text); and links between representatives (a < b), which join all that link."""
+    (doc_id, text); and all links between representatives (a < b)."""
     with scratch(docs.sparkSession) as keep:
         j = _Join(docs, n, percent)
-        entries = j.entries()
-        pivots, pairs = j.star(entries)
-        near = j.links(pairs, "star")
-        labels = components(near, "star")
-        rest = j.across(entries, pivots, labels)
-        far = j.links(rest, "across")
-        links = near.unionByName(far)
-        if not far.isEmpty():
-            labels = components(links, "all")
-        copies = j.groups.where("k > 1").select("d1", "d2", "rep")
-        rows = j.sets.select("doc_id", "n", "d1", "d2").join(copies, ["d1", "d2"], "left")
-        rows = rows.withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-        rows = rows.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
-        return keep(rows, "components"), keep(links, "links")
+        labels = j.labels()
+        return keep(j.documents(labels), "components"), keep(j.inside(labels, False), "links")
+
+
+def linked_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links of every row of ``docs``: n_links is the number of
+    different sets that the row's set links with (rows of equal sets are one set, and no link)."""
+    with scratch(docs.sparkSession) as keep:
+        j = _Join(docs, n, percent)
+        labels = j.labels()
+        return keep(j.documents(labels, j.inside(labels, True)), "linked-documents")
+
+
+def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    with scratch(docs.sparkSession) as keep:
+        j = _Join(docs, n, percent)
+        return keep(j.documents(j.labels()), "components")
 
 
 def keep_first(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; of rows that
     repeat an id, one (rows without an id stay).  Only rows whose id may be among those that go, or repeats, are shuffled whole."""
-    found = jaccard_join(docs, n, percent)[0]
+    found = _components(docs, n, percent)
     marked = found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("k"))
     marked = materialise(marked.where("c <> doc_id or k > 1"), "copies")
     bits = idfilter.bitmap(marked, "doc_id")
@@ -293,4 +380,4 @@ def keep_first(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(read_table(spark, sf_dir, "documents"))[0]
+    return linked_documents(read_table(spark, sf_dir, "documents"))

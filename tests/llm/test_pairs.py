@@ -77,6 +77,39 @@ def test_links_off_the_pivot_are_found(spark):
     assert got == brute_components(rows, 4, 85)
 
 
+def brute_links(rows, n, percent):
+    """Links between different sets, each by its smallest id."""
+    first = {}
+    for i, t, *_ in rows:
+        s = shingles(t, n)
+        if s:
+            first[s] = min(first.get(s, i), i)
+    return {(min(first[x], first[y]), max(first[x], first[y])) for x, y in combinations(first, 2)
+            if 100 * len(x & y) >= percent * len(x | y)}, first
+
+
+@pytest.mark.parametrize("block", [2, 5, 128])
+def test_no_link_is_missed(spark, monkeypatch, block):
+    """Also those between two documents that both link with a third, and across blocks."""
+    monkeypatch.setattr(J, "BLOCK", block)
+    rng = random.Random(7)
+    base = prose(rng, 300)
+    rows = documents(seed=6) + [(5000 + i, edited(rng, base, 0.004), None, None, None) for i in range(12)]
+    want, first = brute_links(rows, 4, 85)
+    assert {(b, c) for a, b in want for x, c in want if a == x and b < c} & want
+    got = J.jaccard_join(frame(spark, rows, extra=True), 4, 85)[1].collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    counts = {r.doc_id: r.n_links for r in J.linked_documents(frame(spark, rows + rows[:9]), 4, 85).collect()}
+    number = {x: sum(x in p for p in want) for x in first.values()}
+    assert counts == {i: number.get(first.get(shingles(t, 4)), 0) for i, t, *_ in rows}
+
+
+def test_link_counts_stand_in_the_query(spark, tmp_path):
+    frame(spark, documents(seed=6)).write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert J.query(spark, f"file://{tmp_path}").columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    assert J.linked_documents(frame(spark, [])).count() == 0
+
+
 def test_repeated_rows_and_first_of_group(spark):
     rows = documents(seed=9, n=10)
     twice = rows + rows[::2] + [(None, "no id", None, None, None)]
