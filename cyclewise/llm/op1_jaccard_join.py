@@ -4,8 +4,8 @@ Sets and metric.  A document is its set of distinct n-word shingles (64-bit hash
 the size of their symmetric difference, a metric: x and y link (100 |x & y| >= T |x u y|)
 only if it is at most (100 - T) (|x| + |y|) / (100 + T).
 
-Regions and windows.  Documents that have nothing in common all lie at the same distance, so
-regions around sampled documents would hold everything.  The pivots are therefore the shingles
+Regions and windows.  This is prefix filtering, in place of dealt Voronoi regions: documents that have nothing in common
+all lie far apart alike, so regions around sampled documents hold much of the table (figures in the README).  The pivots are therefore the shingles
 themselves in one common order, rarest first: the prefixes of that order are nested sets, and a document's distances to them are its
 ranks.  A document's home region is that of its first shingle; the triangle inequality
 lets a partner lack at most (100 - T) % of its shingles, so it is replicated to the
