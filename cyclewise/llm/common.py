@@ -57,6 +57,25 @@ def scratch(spark: SparkSession):
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def with_own_id(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` plus a long column ``name`` that only rows of equal doc_id and text share, in the
+    order of the ids: doc_id itself, unless an id of the table stands over several texts.  Null ids stay null."""
+    text = F.col("text").cast("string")
+    one = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    one = one.where("id is not null")
+    texts = one.groupBy("id").agg(F.min(F.struct("a", "b")).alias("lo"), F.max(F.struct("a", "b")).alias("hi"))
+    if texts.where("lo <> hi").isEmpty():
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    # a sort by ranges of (id, text): the numbers of the rows rise with the ids
+    keys = one.distinct().orderBy("id", "a", "b").select("id", "a", "b", F.monotonically_increasing_id().alias("own"))
+    keys = materialise(keys, "own-ids").alias("k")
+    names = docs.columns
+    rows = docs.select(*[F.col(c).alias(f"d_{c}") for c in names], F.col("doc_id").cast("long").alias("id"),
+                       F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    rows = rows.join(keys, ["id", "a", "b"], "left")
+    return materialise(rows.select(*[F.col(f"d_{c}").alias(c) for c in names], F.col("own").alias(name)), "own-id-rows")
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null gives no words."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SEP_REGEX), lambda w: w != F.lit(""))

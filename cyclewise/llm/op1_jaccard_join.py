@@ -51,7 +51,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 from cyclewise.llm import idfilter
-from cyclewise.llm.common import materialise, read_table, scratch
+from cyclewise.llm.common import materialise, read_table, scratch, with_own_id
 from cyclewise.llm.components import components
 from cyclewise.llm.wordhash import combine, mix, word_hashes
 
@@ -365,13 +365,16 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 def keep_first(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; of rows that
-    repeat an id, one (rows without an id stay).  Only rows whose id may be among those that go, or repeats, are shuffled whole."""
-    found = _components(docs, n, percent)
+    repeat an id with its text, one (rows without an id stay).  Different texts under one id are documents of their
+    own, which link or not by their own sets.  Only rows whose id may be among those that go, or repeats, are shuffled whole
+    (all, where an id stands over several texts)."""
+    names = docs.columns
+    docs = with_own_id(docs.select(*[F.col(c).alias(f"c_{c}") for c in names], "doc_id", "text"), "id")
+    found = _components(docs.select(F.col("id").alias("doc_id"), "text"), n, percent)
     marked = found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("k"))
     marked = materialise(marked.where("c <> doc_id or k > 1"), "copies")
     bits = idfilter.bitmap(marked, "doc_id")
-    names = docs.columns
-    rows = docs.select(*[F.col(c).alias(f"c_{c}") for c in names], F.col("doc_id").cast("long").alias("id"))
+    rows = docs.select(*[f"c_{c}" for c in names], "id")
     rows = rows.withColumn("hit", idfilter.hit(bits, F.coalesce("id", F.lit(0).cast("long"))))
     rest = rows.where("hit").join(marked.withColumnRenamed("doc_id", "id"), "id", "left").where("c is null or c = id")
     rest = rest.where("k is null or k = 1").unionByName(rest.where("k > 1").dropDuplicates(["id"]))

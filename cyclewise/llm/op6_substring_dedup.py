@@ -33,7 +33,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cyclewise.llm.common import materialise, read_table
+from cyclewise.llm.common import materialise, read_table, with_own_id
 from cyclewise.llm.wordhash import combine, joined, word_hashes
 
 WINDOW = 13
@@ -326,9 +326,10 @@ def dedup_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
 
 def clean(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed words.  A text that loses nothing stays as it is; documents
-    that had words and keep none go."""
+    that had words and keep none go.  Different texts under one id are documents of their own."""
     names = docs.columns
-    plain = docs.select(*[F.col(c).alias(f"c_{c}") for c in names], "doc_id", "text")
+    plain = with_own_id(docs.select(*[F.col(c).alias(f"c_{c}") for c in names], "doc_id", "text"), "own")
+    plain = plain.withColumn("doc_id", F.col("own")).drop("own")
     rows = dedup_documents(plain, tuple(f"c_{c}" for c in names)).where("n_words = 0 or n_removed < n_words")
     changed = F.col("n_removed") > 0
     value = {c: F.col(f"c_{c}") for c in names}

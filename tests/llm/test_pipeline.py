@@ -1,8 +1,10 @@
 """The pipeline's stages on every awkward row, and the registered queries."""
+import random
+
 import corpus_pipeline as C
 import __spark_entry__ as E
 from cyclewise.llm import queries as llm
-from tests.llm.cases import documents, frame
+from tests.llm.cases import documents, frame, prose
 from tests.llm.test_pairs import brute_components, brute_cut
 from tests.llm.test_rows import brute_rules, words
 from tests.llm.test_tokens import check_layout
@@ -43,6 +45,23 @@ def test_stages_against_brute_force(spark):
     check_layout(five, 1024)
 
 
+def test_texts_under_one_id_are_documents(spark):
+    """Different texts under one id stay, and lose only what their own text shares with a smaller id."""
+    rng = random.Random(4)
+    a, b, c, d, passage = (prose(rng, 60) for _ in range(5))
+    e = passage + " " + c
+    rows = [(1, passage, None, "s", None), (7, a, None, "s", None), (7, a, None, "s", None), (7, b, None, "s", None),
+            (7, e, None, "s", None), (9, b, None, "s", None), (9, d, None, "s", None), (None, "no id", None, "s", None)]
+    by = dict(C.STAGES)
+    two = by["jaccard_join"](spark, frame(spark, rows, extra=True), "")
+    want = [(1, passage), (7, a), (7, b), (7, e), (9, d), (None, "no id")]
+    assert sorted(((r.doc_id, r.text) for r in two.collect()), key=str) == sorted(want, key=str)
+    assert two.columns == frame(spark, rows, extra=True).columns
+    three = by["substring_dedup"](spark, frame(spark, [(i, t, None, "s", None) for i, t in want if i]), "")
+    cut = {(i, " ".join(t.split())) for i, t in want if i} - {(7, " ".join(e.split()))} | {(7, " ".join(c.split()))}
+    assert {(r.doc_id, " ".join(r.text.split())) for r in three.collect()} == cut
+
+
 def test_run_on_an_empty_table(spark, tmp_path):
     frame(spark, []).write.parquet(f"file://{tmp_path}/documents.parquet")
     assert C.run(spark, f"file://{tmp_path}").count() == 0
