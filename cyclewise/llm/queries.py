@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from cyclewise.llm import (
     op1_jaccard_join, op2_quality_rules, op3_html, op4_mixing, op5_topk, op6_substring_dedup, op7_url_filter,
-    op8_packing, op9_sharding, op10_token_blocks,
+    op8_packing, op9_sharding, op10_token_blocks, op11_runs,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_packing": op8_packing.query,
     "op9_sharding": op9_sharding.query,
     "op10_token_blocks": op10_token_blocks.query,
+    "op11_runs": op11_runs.query,
 }
 ORACLE = {
     "op2_quality_rules": op2_quality_rules.ORACLE_SQL,
