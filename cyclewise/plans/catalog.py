@@ -172,7 +172,7 @@ RUN_CHUNK = 512   # small chunks here so the oracle checks many cross-chunk carr
   {O.bt('se_run')} AS se_run, {O.bt('ib_run')} AS ib_run, {O.bt('ie_x')} AS ie_accepted FROM g6"""))
 def q_running(s, sf):
     classed = detail(s, sf).filter(F.col("type").isNotNull())
-    r = B.running_boundaries(classed, chunk_lines=RUN_CHUNK)
+    r = B.running_boundaries(classed, chunk_rows=RUN_CHUNK)
     return r.select("log_dataset", "log_id", "type", boundary_text("_sb").alias("sb_run"),
                     boundary_text("_se").alias("se_run"), boundary_text("_ib").alias("ib_run"),
                     boundary_text("_ie_x").alias("ie_accepted"))
@@ -189,7 +189,7 @@ def q_cycle(s, sf):
 @q("cycle_boundaries_chunked", sql(f"""SELECT sysname, log_dataset, {O.bt('shutdown_begin_ts')} AS shutdown_begin,
   {O.bt('shutdown_end_ts')} AS shutdown_end, {O.bt('ipl_begin_ts')} AS ipl_begin, {O.bt('ipl_end_ts')} AS ipl_end FROM bounds"""))
 def q_cycle_chunked(s, sf):
-    b = B.cycle_boundaries(detail(s, sf), chunk_lines=RUN_CHUNK)
+    b = B.cycle_boundaries(detail(s, sf), chunk_rows=RUN_CHUNK)
     return b.select("sysname", "log_dataset", *[boundary_text(f"{c}_ts").alias(c) for c in
                                                 ("shutdown_begin", "shutdown_end", "ipl_begin", "ipl_end")])
 

@@ -5,7 +5,9 @@ import operator
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from cyclewise.operators import boundaries as B
 from cyclewise.operators.boundaries import cycle_boundaries, dataset_spans, first_last_boundaries, running_boundaries
 
 SB, SE, IB, IE = "SHUTDOWN BEGIN", "END OF SHUTDOWN", "IPL BEGIN", "IPL END"
@@ -70,7 +72,7 @@ EXPECTED = {
 
 @pytest.mark.parametrize("chunk", [2, 1 << 13])
 def test_fixture_cases(spark, chunk):
-    assert _run(spark, FIXTURE_CASES, chunk_lines=chunk) == EXPECTED
+    assert _run(spark, FIXTURE_CASES, chunk_rows=chunk) == EXPECTED
 
 
 def _random_logs(seed, n_sets=40):
@@ -91,7 +93,7 @@ def _random_logs(seed, n_sets=40):
 @pytest.mark.parametrize("chunk", [3, 7, 1 << 13])
 def test_matches_fold(spark, chunk):
     logs = _random_logs(7 + chunk)
-    got = _run(spark, logs, chunk_lines=chunk)
+    got = _run(spark, logs, chunk_rows=chunk)
     for name, evs in logs.items():
         assert got[name] == fold(evs), name
 
@@ -114,10 +116,74 @@ def test_second_call_sees_new_rows_and_nothing_is_cached(spark, tmp_path):
     assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
 
 
-def test_one_join_and_one_scan_of_rows(spark):
-    """The plan that is returned joins the class rows with the carries once."""
-    plan = running_boundaries(_frame(spark, FIXTURE_CASES))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Join ") == 1 and plan.count("Relation") == 2
+def _steps(monkeypatch):
+    """Plans of the tables that the scan writes, and (of a test's own) of what it returns."""
+    plans, write = [], B.written
+
+    def recorded(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+    monkeypatch.setattr(B, "written", recorded)
+    return plans
+
+
+def _row_exchanges(plan):
+    """Exchanges that class rows go through: with their columns, or gathered to arrays.
+    Those of counts come right after a partial HashAggregate."""
+    lines = [x.strip(" :+-*()0123456789") for x in plan.split("\n")]
+    out = [(a, b) for a, b in zip(lines, lines[1:]) if a.startswith(("Exchange", "BroadcastExchange"))]
+    rows = [a for a, b in out if "partial_collect_list" in b]
+    return rows + [a for a, b in out if a.startswith("Exchange") and "ggregate" not in b and ("event_ts" in b or "events" in b)]
+
+
+@pytest.mark.parametrize("chunk", [5, 1 << 13])
+def test_class_rows_are_shuffled_once(spark, monkeypatch, chunk):
+    """Over all steps of cycle_boundaries, with and without carries."""
+    plans = _steps(monkeypatch)
+    out = cycle_boundaries(_frame(spark, _random_logs(5)), chunk_rows=chunk)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum(len(_row_exchanges(p)) for p in plans) == 1
+    assert len(plans) > 8 if chunk == 5 else len(plans) == 3
+
+
+@pytest.mark.parametrize("spread", [10_000, 1])
+def test_chunks_are_bounded_by_rows(spark, spread):
+    """200,000 class rows, one each 10,000 lines or side by side, and a crowd at the end of a sparse log."""
+    n, size = 200_000, 1 << 13
+    rows = spark.range(n).select(F.lit("a").alias("log_dataset"), (F.col("id") * spread + 7).alias("_pos"))
+    crowd = spark.range(n).select(F.lit("b").alias("log_dataset"), F.when(F.col("id") < 1000, F.col("id") * 10_000_000)
+                                  .otherwise(F.col("id") + 10_000_000_000).alias("_pos"))
+    few = spark.range(40).select(F.lit("c").alias("log_dataset"), F.shiftleft("id", 40).alias("_pos"))
+    cut, _ = B.with_chunks(B.written(rows.unionByName(crowd).unionByName(few), "t"), size)
+    by = cut.groupBy("log_dataset", "_chunk").agg(F.count("*").alias("n"), F.min("_pos").alias("lo"), F.max("_pos").alias("hi")).collect()
+    assert sum(r.n for r in by) == 2 * n + 40 and max(r.n for r in by) <= size
+    for name in "abc":
+        mine = sorted((r for r in by if r.log_dataset == name), key=lambda r: r["_chunk"])
+        assert len(mine) <= max(1, sum(r.n for r in mine) // 1000)
+        assert all(x.hi < y.lo for x, y in zip(mine, mine[1:]))
+        assert all(x["_chunk"] <= x.lo for x in mine)
+
+
+def test_scan_tree_of_many_chunks(spark):
+    """More chunks than share a window: groups of groups of chunks carry the values."""
+    rnd = random.Random(11)
+    logs = {"big": [(rnd.choice([SB, SE, IB, IE]), h(rnd.randint(0, 4000)), None) for _ in range(1500)], "one": [(SB, h(1), None)]}
+    frame = _frame(spark, logs)
+    assert {r["log_dataset"]: tuple(r[c] for c in ("pre_ipl_ts", "shutdown_begin_ts", "shutdown_end_ts", "ipl_begin_ts", "ipl_end_ts"))
+            for r in cycle_boundaries(frame, chunk_rows=4).collect()} == {k: fold(v)[:5] for k, v in logs.items()}
+    keys = B.written(spark.range(1500).select(F.lit("d").alias("log_dataset"), (F.col("id") * 64).alias("_chunk")), "t")
+    assert len(B._chunk_tree(keys, 4)) >= 3
+
+
+@pytest.mark.parametrize("chunk", [3, 1 << 13])
+def test_running_values_at_every_row(spark, chunk):
+    logs = _random_logs(21, 12)
+    got = {}
+    for r in running_boundaries(_frame(spark, logs), chunk_rows=chunk).collect():
+        got[r["log_dataset"], r["log_id"]] = (r["_sb"], r["_se"], r["_ib"])
+    for name, evs in logs.items():
+        for k in range(len(evs)):
+            assert got[name, k + 1] == fold(evs[:k + 1])[1:4]
 
 
 def test_first_last(spark):
