@@ -77,13 +77,13 @@ def with_chunks(rows: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, position:
     for round_ in range(_ROUNDS):
         n = F.count(F.lit(1))
         span = F.max(pos) - F.min(pos) + 1
-        fit = F.floor(F.log2(F.greatest(span * F.lit(chunk_rows / 4.0) / n, F.lit(1.0))))
+        fit = F.floor(F.log2(F.greatest(span * F.lit(max(chunk_rows / 4.0, 2.0)) / n, F.lit(1.0))))
         width = F.lit(least) if round_ == _ROUNDS - 1 else F.greatest(fit, F.lit(least))
         heavy = out.groupBy(*key).agg(n.alias("_n"), width.cast("int").alias("_k"), span.alias("_span"))
         heavy = heavy.where((F.col("_n") > chunk_rows) & (F.col("_span") > F.shiftleft(F.lit(1).cast("bigint"), least)))
-        heavy = written(heavy.select("log_dataset", F.col(chunk).alias("_cut"), "_k"), "chunk-cuts")
         if heavy.isEmpty():
             return out.withColumn(chunk, F.coalesce(chunk, F.lit(-(1 << 62)))), round_
+        heavy = written(heavy.select("log_dataset", F.col(chunk).alias("_cut"), "_k"), "chunk-cuts")
         on = (out["log_dataset"].eqNullSafe(heavy["log_dataset"])) & (out[chunk].eqNullSafe(heavy["_cut"]))
         finer = F.when(F.col("_k").isNotNull(), F.expr(f"shiftleft(shiftright({position}, _k), _k)")).otherwise(F.col(chunk))
         kept = [out[c] for c in rows.columns]
@@ -119,7 +119,7 @@ def _fold(events: str, carries: list[Column]) -> Column:
 def _chunk_tree(chunks: DataFrame, fan: int) -> list[DataFrame]:
     """Tables (log_dataset, _chunk, _up): chunks, their groups, the groups' groups ..., until
     no dataset has more than ``fan`` in the last, whose ``_up`` is one for all."""
-    tree, rows = [], written(chunks.select(*_KEY), "chunk-tree")
+    tree, rows = [], chunks.select(*_KEY)
     while True:
         cut, rounds = with_chunks(rows, fan, "_chunk", "_up")
         tree.append(cut if rounds == 0 else written(cut, "chunk-tree"))
@@ -156,7 +156,7 @@ def _carries(chunks: DataFrame, chunk_rows: int) -> DataFrame:
     """(log_dataset, _chunk, _sb_c, _se_c, _ib_c): running values at the start of every chunk
     of ``chunks``, a written table (log_dataset, _chunk, events ...)."""
     tree = _chunk_tree(chunks, chunk_rows)
-    held = written(tree[0].select(*_KEY), "chunk-carries")
+    held = tree[0].select(*_KEY)
     small = held.count() <= _BROADCAST_CHUNKS
     for level, name in enumerate(_RUNNING[:-1]):
         found = [f"{n}_c" for n in _RUNNING[:level]]
