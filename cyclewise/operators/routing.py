@@ -115,7 +115,7 @@ def last_ipl_rows(resume: DataFrame, rule: str = "unified") -> DataFrame:
 
 
 # ------------------------------------------------------------- E1 / E2 / E3
-def _same(a: DataFrame, b: DataFrame, keys) -> Column:
+def same_key(a: DataFrame, b: DataFrame, keys=("sysname", "log_dataset")) -> Column:
     """Null-safe equality of the key columns."""
     return _all([a[k].eqNullSafe(b[k]) for k in keys])
 
@@ -131,14 +131,14 @@ def unseen_rows(new: DataFrame, known: DataFrame, key="log_dataset") -> DataFram
     """
     keys = [key] if isinstance(key, str) else list(key)
     seen = known.select(*keys).distinct()
-    return new.join(seen, _same(new, seen, keys), "left_anti").dropDuplicates()
+    return new.join(seen, same_key(new, seen, keys), "left_anti").dropDuplicates()
 
 
 def rows_for_systems(raw: DataFrame, new_rows: DataFrame) -> DataFrame:
     """Raw rows of the systems that received new data (left-semi join; a
     missing system name is a system of its own)."""
     systems = new_rows.select("sysname").distinct()
-    return raw.join(systems, _same(raw, systems, ["sysname"]), "left_semi")
+    return raw.join(systems, same_key(raw, systems, ["sysname"]), "left_semi")
 
 
 RAW_SCAN_COLUMNS = ["sysname", "log_dataset", "shutdown_begin", "shutdown_end",

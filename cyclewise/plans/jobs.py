@@ -14,8 +14,9 @@ from ..operators.parse import parse_lines
 from ..operators.reports import (report_done, report_fail, report_format,
                                   report_last_ipl)
 from ..operators.resume import resume_rows
-from ..operators.routing import (done_rows, fail_rows, garbage_rows,
-                                 last_ipl_rows, rows_for_systems, unseen_rows)
+from ..operators.routing import (done_condition, done_rows, fail_condition, fail_rows,
+                                 garbage_condition, garbage_rows, last_ipl_condition,
+                                 last_ipl_rows, same_key, unseen_rows)
 from ..schemas import DONE, FAIL, GARB, LAST_IPL, RESUME
 from ..session import written
 from ..sinks import clustered, write_detail
@@ -31,6 +32,16 @@ VIEWS = {"done": "results_done", "fail": "results_fail", "last_ipl": "results_la
 #: number of folders, and NULL, empty and numeric names stay as they are.
 BUCKET = "system_bucket"
 BUCKETS = 64
+KEY = ["sysname", "log_dataset"]
+#: Which rows a sink takes, under a rule.
+ROUTES = {"results_done": lambda rule: done_condition(), "results_fail": fail_condition, "results_garb": garbage_condition,
+          "results_last_ipl": last_ipl_condition}
+#: Raw rows that finished runs have added to each bucket: one row a run and bucket.
+RUN_LOG = "run_log"
+LOG = T.StructType([T.StructField("n", T.LongType()), T.StructField(BUCKET, T.IntegerType())])
+#: Batches of up to so many datasets look them up one by one.
+LOOKUP = 1000
+IN_THRESHOLD = "spark.sql.parquet.pushdown.inFilterThreshold"
 
 
 def parse_logs(spark: SparkSession, syslog_path: str, detail_path: str | None = None,
@@ -66,40 +77,85 @@ def stored(spark: SparkSession, store_root: str, table: str) -> DataFrame:
     return read_parquet(spark, _path(store_root, table), schema)
 
 
+def _append(df: DataFrame, store_root: str, table: str) -> None:
+    """Append rows to their buckets; files are sorted by dataset and carry a Bloom filter of it, so
+    that a lookup of a few datasets skips the row groups without them."""
+    rows = clustered(df.withColumn(BUCKET, _bucket()), BUCKET).sortWithinPartitions(BUCKET, "log_dataset")
+    (rows.write.mode("append").option(f"parquet.bloom.filter.enabled#{KEY[1]}", "true")
+     .partitionBy(BUCKET).parquet(_path(store_root, table)))
+
+
+def lookup(spark: SparkSession, store_root: str, table: str, buckets: list[int], datasets: list[str] | None) -> DataFrame:
+    """Keys (sysname, log_dataset) that a stored table holds in these buckets, each once; with
+    ``datasets``, of these only (a filter that reaches the files' Bloom filters)."""
+    rows = stored(spark, store_root, table).where(F.col(BUCKET).isin(buckets))
+    if datasets is not None:
+        rows = rows.where(F.col("log_dataset").isin(datasets) | F.col("log_dataset").isNull() if None in datasets
+                          else F.col("log_dataset").isin(datasets))
+    return rows.select(*KEY).distinct()
+
+
+def _unlogged(spark: SparkSession, store_root: str, buckets: list[int]) -> dict[int, int]:
+    """Raw rows of each bucket that no finished run has logged (of the buckets that have some)."""
+    raw = stored(spark, store_root, "raw_results").where(F.col(BUCKET).isin(buckets)).groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n"))
+    log = read_parquet(spark, _path(store_root, RUN_LOG), LOG).where(F.col(BUCKET).isin(buckets)).select(BUCKET, (-F.col("n")).alias("n"))
+    left = raw.unionByName(log).groupBy(BUCKET).agg(F.sum("n").alias("n")).where("n <> 0")
+    return {r[0]: r[1] for r in left.collect()}
+
+
 def ingest_results(spark: SparkSession, resume: DataFrame, store_root: str,
                    rule: str = "unified") -> dict:
     """M3: idempotent ingest of resume rows into raw + result tables.
 
-    The batch is written once to the shared folder.  Candidates are the batch
-    and the raw rows of its systems (E3), so results that an earlier run failed
-    to store are found again; they are routed (D3-D6), and each table takes the
-    rows whose (system, dataset) it does not hold yet (E1, E2; Q8 dedupe).  Raw
-    is appended last: a run that dies before leaves its batch new.  Running it
-    twice with the same input changes nothing, and each table is complete
-    after any run that ends, whatever earlier runs left.
-
-    Tables are read through a literal filter on the buckets of the batch's
-    systems (at most ``BUCKETS`` numbers), so a run costs its systems, not the history.
+    One owner for every (system, dataset), told before anything is routed: its raw rows.  A batch row of a
+    dataset that a table holds already changes nothing, whatever it says (a corrected result of a known
+    dataset is skipped everywhere, as a known dataset is); if only sinks hold it, the row is
+    taken into raw when it routes to one of them.  New rows go to raw first, then to the
+    sinks they route to (D3-D6), and at last the run logs how many raw rows each bucket has gained.
+    So where the log and the raw table disagree, a run died in between: all raw rows of
+    these buckets are routed again, and each sink takes those whose dataset it does not hold (E2, E3).
+    Running it twice with the same input changes nothing, and after any run that ends every table is complete.
+
+    Cost: a batch of up to ``LOOKUP`` datasets looks them up through Bloom filters in the buckets of its systems, so it
+    reads row groups that may hold them, row counts from the files' footers, and the log; larger
+    batches read the key columns of their buckets.  Nothing of the history is routed again unless a run died.
     """
     batch = written(resume.select(*RESUME.fieldNames()).dropDuplicates().withColumn(BUCKET, _bucket()), "batch")
     touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]
-
-    def held(table: str) -> DataFrame:
-        return stored(spark, store_root, table).where(F.col(BUCKET).isin(touched))
-
-    raw = rows_for_systems(held("raw_results"), batch)
-    candidates = written(raw.unionByName(batch).dropDuplicates(RESUME.fieldNames()).drop(BUCKET), "candidates")
-    deltas = {
-        "results_done": done_rows(candidates),
-        "results_fail": fail_rows(candidates, rule),
-        "results_garb": garbage_rows(candidates, rule),
-        "results_last_ipl": last_ipl_rows(candidates, rule),
-        "raw_results": batch.drop(BUCKET),
-    }
-    for table, delta in deltas.items():
-        new = unseen_rows(delta, held(table), ["sysname", "log_dataset"]).withColumn(BUCKET, _bucket())
-        clustered(new, BUCKET).write.mode("append").partitionBy(BUCKET).parquet(_path(store_root, table))
-    return {table: _path(store_root, table) for table in deltas}
+    names = [r[0] for r in batch.select("log_dataset").distinct().limit(LOOKUP + 1).collect()]
+    few = names if len(names) <= LOOKUP else None
+    threshold = spark.conf.get(IN_THRESHOLD)
+    spark.conf.set(IN_THRESHOLD, str(LOOKUP))   # longer lists would reach the files as a range only
+    try:
+        left = _unlogged(spark, store_root, touched)
+        claimed = lookup(spark, store_root, "raw_results", touched, few).withColumn("tab", F.lit("raw_results"))
+        for table in SINKS:
+            claimed = claimed.unionByName(lookup(spark, store_root, table, touched, few).withColumn("tab", F.lit(table)))
+        claims = claimed.groupBy(*KEY).agg(F.collect_set("tab").alias("tabs"))
+        told = batch.join(claims, same_key(batch, claims), "left").select(*[batch[c] for c in batch.columns], "tabs")
+        goes = F.array_compact(F.array(*[F.when(cond(rule), F.lit(t)) for t, cond in ROUTES.items()]))
+        told = written(told.withColumn("goes", goes), "claims")
+        orphan = F.expr("NOT array_contains(tabs, 'raw_results') AND arrays_overlap(tabs, goes)")
+        gains = told.agg(F.count_if(F.col("tabs").isNull() | orphan).alias("raw_results"),
+                         *[F.count_if(F.col("tabs").isNull() & F.array_contains("goes", t)).alias(t) for t in SINKS]).first()
+        if gains["raw_results"]:
+            _append(told.where(F.col("tabs").isNull() | orphan).select(*RESUME.fieldNames()), store_root, "raw_results")
+        rows = told.where("tabs IS NULL").select(*RESUME.fieldNames())
+        if left:
+            broken = stored(spark, store_root, "raw_results").where(F.col(BUCKET).isin(list(left)))
+            rows = written(rows.unionByName(broken.select(*RESUME.fieldNames())).dropDuplicates(), "candidates")
+        for table, routed in (("results_done", done_rows(rows)), ("results_fail", fail_rows(rows, rule)),
+                              ("results_garb", garbage_rows(rows, rule)), ("results_last_ipl", last_ipl_rows(rows, rule))):
+            if left:
+                routed = unseen_rows(routed, lookup(spark, store_root, table, touched, None), KEY)
+            if left or gains[table]:
+                _append(routed.dropDuplicates(), store_root, table)
+        if left or gains["raw_results"]:
+            gained = spark.createDataFrame([(n, b) for b, n in _unlogged(spark, store_root, touched).items()], LOG)
+            gained.coalesce(1).write.mode("append").parquet(_path(store_root, RUN_LOG))
+    finally:
+        spark.conf.set(IN_THRESHOLD, threshold)
+    return {table: _path(store_root, table) for table in TABLES}
 
 
 def result_table(spark: SparkSession, store_root: str, table: str) -> DataFrame:

@@ -2,7 +2,8 @@
 from pyspark.sql import functions as F
 
 from cyclewise.operators import routing as RT
-from cyclewise.plans.jobs import BUCKET, ingest_results, result_table, stored
+from cyclewise.plans import jobs as J
+from cyclewise.plans.jobs import BUCKET, TABLES, ingest_results, lookup, result_table, stored
 from cyclewise.schemas import RESUME, RESUME_COLUMNS
 from cyclewise.session import shared_path
 from cyclewise.sinks import name_files, write_resume
@@ -93,6 +94,74 @@ def test_a_run_that_died_is_made_good(spark):
     assert _counts(spark, store)["results_garb"] == 2
 
 
+def _everything(spark, store):
+    return {t: sorted(map(str, result_table(spark, store, t).collect())) for t in TABLES}
+
+
+def test_a_changed_row_of_a_known_dataset_changes_nothing(spark):
+    """The first result owns the dataset, in every table."""
+    store = shared_path(spark, "test-store")
+    bad = spark.createDataFrame([_row("d", OK, "2024-02-30 01:00:00", OK, OK), _row("other")], RESUME)
+    good = spark.createDataFrame([_row("d", *FULL), _row("other", *FULL), _row("new", *FULL)], RESUME)
+    ingest_results(spark, bad, store)
+    first = _everything(spark, store)
+    ingest_results(spark, good, store)
+    second = _everything(spark, store)
+    assert _names(spark, store) == [("SYS1", "new")] and _names(spark, store, "results_fail") == [("SYS1", "d")]
+    assert [x for x in second["raw_results"] if "log_dataset='new'" not in x] == first["raw_results"]
+    assert second["results_fail"] == first["results_fail"] and second["results_garb"] == first["results_garb"]
+
+
+def test_a_dataset_that_only_a_sink_holds(spark):
+    """Its row comes into raw if it routes to that sink, else nothing changes."""
+    store, other = shared_path(spark, "test-store"), shared_path(spark, "test-store")
+    bad = spark.createDataFrame([_row("d", OK, None, OK, OK), _row("e", OK, None, OK, OK)], RESUME)
+    ingest_results(spark, bad, other)
+    stored(spark, other, "results_fail").write.partitionBy(BUCKET).parquet(f"{store}/results_fail")
+    again = spark.createDataFrame([_row("d", *FULL), _row("e", OK, None, OK, OK)], RESUME)
+    for _ in range(2):
+        ingest_results(spark, again, store)
+        assert _names(spark, store, "raw_results") == [("SYS1", "e")]
+        assert _names(spark, store, "results_fail") == [("SYS1", "d"), ("SYS1", "e")] and _names(spark, store) == []
+
+
+def test_rows_of_one_dataset_stay_together(spark):
+    """Several different rows of one dataset in one batch are all stored; a later one is not."""
+    store = shared_path(spark, "test-store")
+    two = spark.createDataFrame([_row("d", *FULL), _row("d", OK), _row("d", *FULL)], RESUME)
+    for df in (two, two, spark.createDataFrame([_row("d")], RESUME)):
+        ingest_results(spark, df, store)
+        assert _counts(spark, store) == {"raw_results": 2, "results_done": 1, "results_fail": 1, "results_garb": 0, "results_last_ipl": 0}
+
+
+def test_a_small_batch_reads_no_more_of_a_longer_history(spark):
+    """Bloom filters: rows read by a lookup do not grow with the history of the same system."""
+    def read(store, names):
+        df = lookup(spark, store, "raw_results", list(range(64)), names)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            df = lookup(spark, store, "raw_results", list(range(64)), names)
+            df.collect()
+            leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+            return leaf.metrics().apply("numOutputRows").value()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+    def grow(runs):
+        store = shared_path(spark, "test-store")
+        for k in range(runs):
+            rows = spark.range(2000).select(*[F.lit(OK if c in RT.FOUR else None).cast("string").alias(c) for c in RESUME_COLUMNS])
+            rows = rows.withColumn("log_dataset", F.concat(F.lit(f"R{k:02d}."), F.xxhash64(F.rand(k)).cast("string")))
+            J._append(rows.withColumn("sysname", F.lit("SYS1")).select(*RESUME_COLUMNS), store, "raw_results")
+        return store
+    spark.conf.set(J.IN_THRESHOLD, str(J.LOOKUP))
+    names = [f"Q{k}" for k in range(40)] + ["R00.no", "R09.no", "R01.5", "R05.x"]
+    one, ten = grow(1), grow(10)
+    assert read(one, None) == 2000 and read(ten, None) == 20_000
+    assert read(one, names) == read(ten, names) == 0
+    assert lookup(spark, ten, "raw_results", list(range(64)), [None, "R01.x"]).count() == 0
+
+
 def test_empty_first_batch(spark):
     store = shared_path(spark, "test-store")
     ingest_results(spark, _frame(spark).limit(0), store)
