@@ -297,9 +297,21 @@ def union_log_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
     raw lines are not).  ``parts`` maps ``log_dataset`` -> ``(group_name,
     part_no)``; the joined log is named after its first part (``group_name``)
     and ordered by ``(part_no, line number)``.  Line numbers restart in every
-    part, as each part is numbered on its own.  ``parts`` has one row per
-    dataset; the join is left to AQE (broadcast when its measured size is small).
+    part, as each part is numbered on its own.  A dataset may be a part of several
+    logs, or several times of one; the join is left to AQE (broadcast when its measured size is small).
     """
     return (rows.join(parts, "log_dataset")
             .drop("log_dataset")
             .withColumnRenamed("group_name", "log_dataset"))
+
+
+def parts_of_lists(lists: DataFrame) -> DataFrame:
+    """Part lists as they are typed, ``(list_no, parts)`` with parts ``a|b|c``, to the ``parts`` that
+    ``union_log_parts`` takes.  A dataset may stand in several lists, and several times in one; the
+    output is named after the first part, and of lists that start alike the last one counts.  Blanks
+    around names and empty names are ignored."""
+    names = F.filter(F.transform(F.split("parts", "[|]"), lambda x: F.trim(x)), lambda x: x != "")
+    named = lists.select("list_no", names.alias("_names")).where(F.size("_names") > 0)
+    named = named.select("list_no", F.col("_names")[0].alias("group_name"), "_names")
+    last = named.groupBy("group_name").agg(F.max_by("_names", "list_no").alias("_names"))
+    return last.select("group_name", F.posexplode("_names").alias("part_no", "log_dataset"))

@@ -54,13 +54,17 @@ def sort_last_ipl(last: DataFrame) -> DataFrame:
 
 def page(report: DataFrame, order_cols, page_size: int, after=None) -> DataFrame:
     """H3: the page that follows the key ``after`` (values of ``order_cols`` of
-    the last row seen; None for the first page) in a total order; ``order_cols``
-    must form a unique key without NULLs.  A page of any depth costs one filter
-    and a top-``page_size``, no offset is held by a task."""
+    the last row seen; None for the first page) in a total order, NULL before any value; ``order_cols``
+    must form a unique key.  A page of any depth costs one filter
+    and a top-``page_size``, no offset is held by a task.  The first column alone bounds the
+    filter, so files sorted by it leave out row groups before the page."""
     if after is not None:
         beyond = F.lit(False)
         for k in reversed(range(len(order_cols))):
-            c = F.col(order_cols[k])
-            beyond = (c > F.lit(after[k])) | ((c == F.lit(after[k])) & beyond)
-        report = report.filter(beyond)
-    return report.orderBy(*order_cols).limit(page_size)
+            c, v = F.col(order_cols[k]), after[k]
+            more = c.isNotNull() if v is None else c > F.lit(v)
+            beyond = more | (c.eqNullSafe(F.lit(v)) & beyond)
+        if after[0] is not None:
+            report = report.filter(F.col(order_cols[0]) >= F.lit(after[0]))
+        report = report.filter(F.coalesce(beyond, F.lit(False)))
+    return report.orderBy(*[F.col(c).asc_nulls_first() for c in order_cols]).limit(page_size)

@@ -237,55 +237,86 @@ def q_dataset_count(s, sf):
     return B.datasets_with_ipl(spans(s, sf)).agg(F.count(F.lit(1)).alias("n_datasets"))
 
 
-MAIN_LOG = "[.]W[0-9]+$"   # the weekly logs of the fixture, one a system and week
+# A qualifier holds the logs of one system and kind, a log for each week.
+SQL_QUALIFIER = "regexp_replace(log_dataset, '[0-9]+$', '')"
+
+
+def qualifier(col="log_dataset"):
+    return F.regexp_replace(col, "[0-9]+$", "")
+
+
+def _weeks(ln: DataFrame) -> DataFrame:
+    return ln.select("log_dataset", qualifier().alias("qualifier"), week().alias("part_no")).distinct()
 
 
 def _parts(ln: DataFrame) -> DataFrame:
-    ds = ln.filter(F.col("log_dataset").rlike(MAIN_LOG)).select(
-        "log_dataset", "sysname", week().alias("part_no")).distinct()
-    first = ds.groupBy("sysname").agg(F.min_by("log_dataset", "part_no").alias("group_name"))
-    return ds.join(first, "sysname").select("log_dataset", "group_name", "part_no")
+    """The logs of a qualifier as the parts of one."""
+    ds = _weeks(ln)
+    first = ds.groupBy("qualifier").agg(F.min_by("log_dataset", "part_no").alias("group_name"))
+    return ds.join(first, "qualifier").select("log_dataset", "group_name", "part_no")
+
+
+WEEKS_CTE = f"weeks AS (SELECT DISTINCT log_dataset, {SQL_QUALIFIER} AS qualifier, {SQL_WEEK} AS wk FROM syslog)"
 
 
-UNION_SQL = sql(f"""SELECT max(sysname) AS sysname, grp AS log_dataset,
+def _union_sql(parts: str) -> str:
+    """The fold over joined logs; ``parts`` is a CTE body with (log_dataset, part_no, grp)."""
+    w = "OVER (PARTITION BY grp ORDER BY part_no, log_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return sql(f"""SELECT max(sysname) AS sysname, grp AS log_dataset,
   {O.bt("min(CASE WHEN type = 'SHUTDOWN BEGIN' THEN event_ts END)")} AS shutdown_begin,
   {O.bt('min(se_x)')} AS shutdown_end, {O.bt('min(ib_x)')} AS ipl_begin, {O.bt('max(ie_x)')} AS ipl_end
-  FROM u6 GROUP BY grp""", extra=f"""
-grp_map AS (SELECT DISTINCT log_dataset, sysname, {SQL_WEEK} AS part_no FROM syslog WHERE regexp_matches(log_dataset, '{MAIN_LOG}')),
-grp_first AS (SELECT sysname, arg_min(log_dataset, part_no) AS grp FROM grp_map GROUP BY sysname),
-ucls AS (SELECT c.*, m.part_no, f.grp FROM cls c JOIN grp_map m USING (log_dataset) JOIN grp_first f ON f.sysname = m.sysname),
-u1 AS (SELECT *, min(CASE WHEN type = 'SHUTDOWN BEGIN' AND event_ts IS NOT NULL THEN event_ts END) OVER uw AS sb_run FROM ucls
-       WINDOW uw AS (PARTITION BY grp ORDER BY part_no, log_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  FROM u6 GROUP BY grp""", extra=f"""{WEEKS_CTE},
+parts AS ({parts}),
+ucls AS (SELECT c.*, p.part_no, p.grp FROM cls c JOIN parts p USING (log_dataset)),
+u1 AS (SELECT *, min(CASE WHEN type = 'SHUTDOWN BEGIN' AND event_ts IS NOT NULL THEN event_ts END) {w} AS sb_run FROM ucls),
 u2 AS (SELECT *, CASE WHEN type = 'END OF SHUTDOWN' AND event_ts IS NOT NULL AND (sb_run IS NULL OR event_ts > sb_run) THEN event_ts END AS se_x FROM u1),
-u3 AS (SELECT *, min(se_x) OVER (PARTITION BY grp ORDER BY part_no, log_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS se_run FROM u2),
+u3 AS (SELECT *, min(se_x) {w} AS se_run FROM u2),
 u4 AS (SELECT *, CASE WHEN type = 'IPL BEGIN' AND event_ts IS NOT NULL AND (se_run IS NULL OR event_ts > se_run) THEN event_ts END AS ib_x FROM u3),
-u5 AS (SELECT *, min(ib_x) OVER (PARTITION BY grp ORDER BY part_no, log_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ib_run FROM u4),
+u5 AS (SELECT *, min(ib_x) {w} AS ib_run FROM u4),
 u6 AS (SELECT *, CASE WHEN type = 'IPL END' AND event_ts IS NOT NULL AND (ib_run IS NULL OR event_ts > ib_run) THEN event_ts END AS ie_x FROM u5)""")
 
 
-@q("union_log_parts", UNION_SQL)
-def q_union_parts(s, sf):
+def _joined(s, sf, parts: DataFrame) -> DataFrame:
     classed = detail(s, sf).filter(F.col("type").isNotNull())
-    b = B.cycle_boundaries(B.union_log_parts(classed, _parts(lines(s, sf))))
+    b = B.cycle_boundaries(B.union_log_parts(classed, parts))
     return b.select("sysname", "log_dataset", *[boundary_text(f"{c}_ts").alias(c) for c in
                                                 ("shutdown_begin", "shutdown_end", "ipl_begin", "ipl_end")])
 
 
+@q("union_log_parts", _union_sql("SELECT log_dataset, wk AS part_no, first_value(log_dataset) OVER (PARTITION BY qualifier ORDER BY wk) AS grp FROM weeks"))
+def q_union_parts(s, sf):
+    return _joined(s, sf, _parts(lines(s, sf)))
+
+
+@q("union_part_list", _union_sql("""
+  SELECT log_dataset, row_number() OVER (PARTITION BY qualifier ORDER BY wk) - 1 AS part_no, first_value(log_dataset) OVER (PARTITION BY qualifier ORDER BY wk) AS grp
+    FROM weeks WHERE qualifier IN (SELECT qualifier FROM weeks GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT log_dataset, row_number() OVER (PARTITION BY qualifier ORDER BY wk DESC) - 1, first_value(log_dataset) OVER (PARTITION BY qualifier ORDER BY wk DESC)
+    FROM weeks
+  UNION ALL SELECT arg_max(log_dataset, wk), count(*), arg_max(log_dataset, wk) FROM weeks GROUP BY qualifier"""))
+def q_union_list(s, sf):
+    """Two lists for each qualifier, as a user types them: its logs in order, and in reverse with the
+    first named again at the end.  Lists that start alike make one output: the later list."""
+    weeks = _weeks(lines(s, sf)).groupBy("qualifier").agg(F.sort_array(F.collect_list(F.struct("part_no", "log_dataset")))["log_dataset"].alias("up"))
+    down = F.reverse("up")
+    lists = weeks.select(F.posexplode(F.array(F.array_join("up", "|"), F.concat_ws("|", F.array_join(down, "|"), down[0]))).alias("list_no", "parts"))
+    return _joined(s, sf, B.parts_of_lists(lists))
+
+
 # ---------------------------------------------------- listing / top-n
 LISTING_SQL_CTE = f"""
-ds AS (SELECT DISTINCT sysname, log_dataset, {SQL_WEEK} AS wk FROM syslog WHERE regexp_matches(log_dataset, '{MAIN_LOG}')),
+{WEEKS_CTE},
 listing AS (
-  SELECT sysname AS qualifier, wk * 3 AS list_pos, 'SYSLOG.' || log_dataset AS name FROM ds
-  UNION ALL SELECT sysname, wk * 3 + 1, 'INDEX.' || log_dataset FROM ds
-  UNION ALL SELECT sysname, wk * 3 + 2, 'IN-CAT.SYSLOG.' || log_dataset FROM ds),
+  SELECT qualifier, wk * 3 AS list_pos, 'SYSLOG.' || log_dataset AS name FROM weeks
+  UNION ALL SELECT qualifier, wk * 3 + 1, 'INDEX.' || log_dataset FROM weeks
+  UNION ALL SELECT qualifier, wk * 3 + 2, 'IN-CAT.SYSLOG.' || log_dataset FROM weeks),
 listed AS (SELECT *, row_number() OVER (PARTITION BY qualifier ORDER BY list_pos DESC) AS rn FROM listing
            WHERE contains(name, 'LOG') AND NOT contains(name, 'IN-CAT'))"""
 
 
 def listing(s, sf):
-    ds = lines(s, sf).filter(F.col("log_dataset").rlike(MAIN_LOG)).select(
-        "sysname", "log_dataset", week().alias("wk")).distinct()
-    parts = [ds.select(F.col("sysname").alias("qualifier"), (F.col("wk") * 3 + k).alias("list_pos"),
+    ds = _weeks(lines(s, sf))
+    parts = [ds.select("qualifier", (F.col("part_no") * 3 + k).alias("list_pos"),
                        F.concat(F.lit(p), F.col("log_dataset")).alias("name"))
              for k, p in enumerate(["SYSLOG.", "INDEX.", "IN-CAT.SYSLOG."])]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -603,6 +634,27 @@ def q_delete(s, sf):
     return INV.delete_by_key(lp, lp.filter(F.col("id") % 4 == 0))
 
 
+def _stored_lpar(s, lp) -> str:
+    path = shared_path(s, "inventory")
+    INV.write_inventory(lp, path)
+    return path
+
+
+@q("stored_inventory", isql("""SELECT id, lpar, hostname, dataset, CASE WHEN id % 5 = 0 AND id % 2 = 0 THEN 'ops' ELSE username END AS username,
+  CASE WHEN id % 2 = 0 THEN enable ELSE 1 END AS enable, CASE WHEN id % 5 = 0 AND id % 2 = 0 THEN 'daily' ELSE schedule END AS schedule
+  FROM lpar n WHERE id % 4 <> 0 AND (id % 2 = 0 OR n.hostname NOT IN (SELECT hostname FROM lpar WHERE id % 2 = 0)
+    AND n.id = (SELECT min(id) FROM lpar m WHERE m.id % 2 = 1 AND m.hostname = n.hostname))"""))
+def q_stored_inventory(s, sf):
+    """E4, E5 and E6 in turn on one stored table, read back."""
+    lp = lpar(s, sf)
+    path = _stored_lpar(s, lp.filter(F.col("id") % 2 == 0))
+    INV.insert_stored(s, path, lp.filter(F.col("id") % 2 == 1))
+    INV.update_stored(s, path, lp.filter((F.col("id") % 5 == 0) & (F.col("id") % 2 == 0)).select(
+        "id", F.lit("ops").alias("username"), F.lit("daily").alias("schedule")))
+    INV.delete_stored(s, path, lp.filter(F.col("id") % 4 == 0))
+    return INV.stored_inventory(s, path)
+
+
 @q("migrate_inventory", isql("SELECT lpar, hostname, dataset, username, enable FROM lpar"))
 def q_migrate(s, sf):
     path = shared_path(s, "lpar")
@@ -664,6 +716,20 @@ def q_sort_last(s, sf):
     return R.sort_last_ipl(ipled_rows(s, sf))
 
 
+PAGE_KEYS = ["pre_ipl", "sysname", "log_dataset"]
+
+
+@q("page_with_nulls", sqlr("SELECT * FROM done ORDER BY pre_ipl NULLS FIRST, sysname, log_dataset LIMIT 60", DONE_CTE))
+def q_page_nulls(s, sf):
+    """The first six pages one after the other, by a key that is NULL in some rows."""
+    report, after, out = written(R.report_done(done(s, sf)), "report"), None, []
+    for _ in range(6):
+        rows = R.page(report, PAGE_KEYS, 10, after=after).collect()
+        out += rows
+        after = tuple(rows[-1][k] for k in PAGE_KEYS) if rows else after
+    return s.createDataFrame(out, report.schema)
+
+
 @q("page", sqlr("SELECT * FROM done ORDER BY sysname, log_dataset LIMIT 10 OFFSET 10", DONE_CTE))
 def q_page(s, sf):
     """The second page: the one after the last key of the first."""

@@ -73,6 +73,24 @@ def q_parse_logs(s, sf):
                       F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss").alias("event_ts"))
 
 
+LATEST = 3
+
+
+@q("parse_logs_latest", sql(f"""SELECT d.sysname || '_SYSLOG.' || d.log_dataset AS log_dataset, n.dense_no AS log_id, d.type, d.error, d.msg
+  FROM detail d JOIN dense n ON n.log_dataset = d.log_dataset AND n.line_no = d.log_id
+  WHERE d.log_dataset IN (SELECT log_dataset FROM kept_bounds) AND d.log_dataset IN (SELECT log_dataset FROM
+    (SELECT *, row_number() OVER (PARTITION BY sysname ORDER BY log_dataset DESC) AS rn FROM (SELECT DISTINCT sysname, log_dataset FROM syslog)) WHERE rn <= {LATEST})""", DENSE_CTE))
+def q_parse_latest(s, sf):
+    """M1 on the last logs of each qualifier (SYSLOG.<system>), chosen from the listing; the
+    landing also holds folders that are no logs."""
+    path = shared_path(s, "syslog-text")
+    ln = lines(s, sf)
+    both = ln.withColumn("log_dataset", F.concat(F.lit("SYSLOG."), "log_dataset")).unionByName(
+        ln.withColumn("log_dataset", F.concat(F.lit("INDEX."), "log_dataset")))
+    write_syslog_text(both, path, by_system=True)
+    return parse_logs(s, path, latest=LATEST).select("log_dataset", "log_id", "type", "error", "msg")
+
+
 RENAMED_RESUME = "SELECT * REPLACE (sysname || '_' || log_dataset AS log_dataset) FROM resume"
 
 

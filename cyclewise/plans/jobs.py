@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.catalogue import prefilter_regex
 from ..functions.timefmt import dataset_name
 from ..operators.boundaries import cycle_boundaries, datasets_with_ipl, detail_with_ipl
 from ..operators.parse import parse_lines
@@ -21,7 +22,7 @@ from ..schemas import DONE, FAIL, GARB, LAST_IPL, RESUME
 from ..session import written
 from ..sinks import clustered, write_detail
 from ..sources.resume import read_detail, read_parquet
-from ..sources.syslog import scan_syslog
+from ..sources.syslog import list_log_datasets, scan_matching, select_log_datasets
 
 SINKS = {"results_done": DONE, "results_fail": FAIL, "results_garb": GARB,
          "results_last_ipl": LAST_IPL}
@@ -45,13 +46,22 @@ IN_THRESHOLD = "spark.sql.parquet.pushdown.inFilterThreshold"
 
 
 def parse_logs(spark: SparkSession, syslog_path: str, detail_path: str | None = None,
-               sysname: str | None = None, patterns: str | None = None) -> DataFrame:
-    """M1: syslog text -> numbered lines -> prefilter -> detail rows of the
-    datasets that show an IPL message (D11), named ``<system>_<dataset>`` (C10).
-    With ``detail_path`` they are written there (B1) and read back, so that
-    what follows does not parse the text again."""
-    detail = parse_lines(scan_syslog(spark, syslog_path, sysname=sysname), patterns=patterns)
-    detail = detail_with_ipl(detail).withColumn("log_dataset", dataset_name("sysname", "log_dataset"))
+               sysname: str | None = None, patterns: str | None = None, latest: int | None = None,
+               dataset_from: str = "partition") -> DataFrame:
+    """M1: syslog text -> numbered lines of the prefilter -> detail rows of the datasets that show an
+    IPL message (D11), named ``<system>_<dataset>`` (C10).
+
+    With ``latest``, only the last that many log datasets of each qualifier are read, chosen from a
+    listing of the files (A2): the others are not opened.  The text is scanned once, its matching lines are parsed
+    once; D11 looks at the parsed rows.  With ``detail_path`` they are written there (B1) and read back.
+    """
+    chosen = None
+    if latest is not None:
+        chosen = select_log_datasets(list_log_datasets(spark, syslog_path, dataset_from), latest).select("key")
+    lines = scan_matching(spark, syslog_path, patterns or prefilter_regex(), sysname, dataset_from, chosen)
+    detail = detail_with_ipl(written(parse_lines(lines, prefilter=False), "detail"))
+    if dataset_from == "partition":
+        detail = detail.withColumn("log_dataset", dataset_name("sysname", "log_dataset"))
     if detail_path is None:
         return detail
     write_detail(detail, detail_path)

@@ -8,36 +8,25 @@ from pyspark.sql import functions as F
 
 from ..functions import catalogue as cat
 from ..functions.timefmt import dataset_name
+from ..session import written
 
 MAX_PATTERNS = 10_000
+#: Names of datasets that are filtered as literals; a longer selection is joined.
+MAX_LISTED = 100_000
+#: Consecutive lines of a split whose matches share a row.
+LINES_A_ROW = 1 << 16
 
 
-def scan_syslog(spark: SparkSession, path: str, sysname: str | None = None,
-                dataset_from: str = "partition") -> DataFrame:
-    """A1 + G2: read log datasets as ``(log_dataset, sysname, line_no, line)``.
-
-    ``dataset_from='partition'``: a dataset is a ``log_dataset=<name>`` folder of
-    part files, read in the order of their task numbers; its system is the
-    ``sysname=`` folder if there is one, else the name up to ``.`` or ``_``.
-    ``dataset_from='file'``: a dataset is one file, its system the folder that
-    holds it, and its name ``<system>_<file>`` (C10); with a ``sysname`` the
-    folder goes into the name instead, so files of one name never mix.
-
-    Line numbers are the original positions counting non-empty lines only,
-    assigned without ever putting a whole dataset into one task:
-
-    1. every scan split is summarised by a partial aggregate (line count and
-       first row id of the split, ``monotonically_increasing_id`` being
-       consecutive inside a split);
-    2. a window over the small split table gives each split's offset;
-    3. the offsets are joined back to the lines (AQE broadcasts them when
-       they measure small).
-    """
+def _text_lines(spark: SparkSession, path: str, sysname: str | None, dataset_from: str, datasets) -> DataFrame:
+    """Non-empty lines with their dataset, system and split; ``datasets`` (names as
+    ``list_log_datasets`` gives them) prunes folders or files before any text is read."""
     reader = spark.read.option("recursiveFileLookup", dataset_from == "file")
     if dataset_from == "partition":
         # folder names are text: without a schema 0042 would become a number
         reader = reader.schema("value string, log_dataset string")
     raw = reader.text(path)
+    if datasets is not None:
+        raw = _only(raw, F.col("log_dataset" if dataset_from == "partition" else "_metadata.file_path"), datasets)
     parts = F.split(F.col("_metadata.file_path"), "/")
     meta = raw.select(
         "*", F.col("_metadata.file_path").alias("_file"),
@@ -53,29 +42,115 @@ def scan_syslog(spark: SparkSession, path: str, sysname: str | None = None,
     elif "sysname" not in raw.columns:
         meta = meta.withColumn("sysname", F.regexp_extract("log_dataset", "^([^._]+)", 1))
     meta = meta.withColumn("sysname", F.col("sysname").cast("string"))
-    lines = (meta.filter(F.length("value") > 0)
-             .withColumn("_mid", F.monotonically_increasing_id()))
-    key = ["sysname", "log_dataset"]
-    splits = (lines.groupBy(*key, "_task", "_file", "_block")
-              .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")))
-    order = Window.partitionBy(*key).orderBy("_task", "_file", "_block") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(
-        "_file", "_block", "_first", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_offset"))
+    return meta.filter(F.length("value") > 0).withColumn("_mid", F.monotonically_increasing_id())
+
+
+def _only(raw: DataFrame, key: Column, chosen: DataFrame) -> DataFrame:
+    """Rows whose ``key`` is in the one column of ``chosen``.  Up to ``MAX_LISTED`` values are a
+    literal filter, by which the scan leaves out folders and files; more are a semi-join."""
+    names = [r[0] for r in chosen.distinct().limit(MAX_LISTED + 1).collect()]
+    if len(names) <= MAX_LISTED:
+        return raw.filter(key.isin(names))
+    chosen = chosen.select(F.col(chosen.columns[0]).alias("_chosen")).distinct()
+    return raw.join(chosen, key == F.col("_chosen"), "left_semi")
+
+
+_DATASET = ["sysname", "log_dataset"]
+_SPLIT = ["_task", "_file", "_block"]
+
+
+def _offsets(splits: DataFrame) -> Column:
+    """Lines of the dataset before a split, from a table of splits with their count ``_n``."""
+    order = Window.partitionBy(*_DATASET).orderBy(*_SPLIT).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("_n").over(order), F.lit(0))
+
+
+def scan_syslog(spark: SparkSession, path: str, sysname: str | None = None,
+                dataset_from: str = "partition", datasets: DataFrame | None = None) -> DataFrame:
+    """A1 + G2: read log datasets as ``(log_dataset, sysname, line_no, line)``.
+
+    ``dataset_from='partition'``: a dataset is a ``log_dataset=<name>`` folder of
+    part files, read in the order of their task numbers; its system is the
+    ``sysname=`` folder if there is one, else the name up to ``.`` or ``_``.
+    ``dataset_from='file'``: a dataset is one file, its system the folder that
+    holds it, and its name ``<system>_<file>`` (C10); with a ``sysname`` the
+    folder goes into the name instead, so files of one name never mix.
+    ``datasets``: read these only (``list_log_datasets``).
+
+    Line numbers are the original positions counting non-empty lines only,
+    assigned without ever putting a whole dataset into one task:
+
+    1. every scan split is summarised by a partial aggregate (line count and
+       first row id of the split, ``monotonically_increasing_id`` being
+       consecutive inside a split);
+    2. a window over the small split table gives each split's offset;
+    3. the offsets are joined back to the lines (AQE broadcasts them when
+       they measure small).
+
+    All lines are wanted here, so the text is read twice rather than copied; where a filter
+    keeps some of them, ``scan_matching`` reads it once.
+    """
+    lines = _text_lines(spark, path, sysname, dataset_from, datasets)
+    splits = lines.groupBy(*_DATASET, *_SPLIT).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    offsets = splits.select("_file", "_block", "_first", _offsets(splits).alias("_offset"))
     return (lines.join(offsets, ["_file", "_block"])
             .select("log_dataset", "sysname",
                     (F.col("_offset") + F.col("_mid") - F.col("_first") + 1).cast("bigint").alias("line_no"),
                     F.col("value").alias("line")))
 
 
-def write_syslog_text(lines: DataFrame, path: str) -> str:
-    """Write ``(log_dataset, line_no, line)`` as text, one folder per dataset,
-    lines in log order: range partitioning keeps every task bounded, and part
+def scan_matching(spark: SparkSession, path: str, pattern: str, sysname: str | None = None,
+                  dataset_from: str = "partition", datasets: DataFrame | None = None) -> DataFrame:
+    """The lines of ``scan_syslog`` that match ``pattern``, with the same numbers, in one scan of the text.
+
+    Each split becomes a row: how many lines it has and which of them match, with their
+    place in the split.  These rows are written to the shared folder; offsets come from their counts alone (other columns
+    are not read), and a line's number is its split's offset and its place.  A row holds at most the
+    lines of ``LINES_A_ROW`` consecutive lines of a split.
+    """
+    lines = _text_lines(spark, path, sysname, dataset_from, datasets)
+    kept = F.when(F.col("value").rlike(pattern), F.struct(F.col("_mid").alias("at"), F.col("value").alias("line")))
+    # ids start anew at each split of a task, so a stretch is counted from multiples of the id
+    stretch = F.floor(F.col("_mid") / LINES_A_ROW).alias("_stretch")
+    splits = lines.groupBy(*_DATASET, *_SPLIT, stretch).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"), F.collect_list(kept).alias("_kept"))
+    splits = written(splits, "matching-lines")
+    order = Window.partitionBy(*_DATASET).orderBy(*_SPLIT, "_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    places = splits.select("_file", "_block", "_stretch", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_offset"))
+    rows = splits.where(F.size("_kept") > 0).join(places, ["_file", "_block", "_stretch"])
+    rows = rows.select(*_DATASET, "_offset", "_first", F.explode("_kept").alias("_k"))
+    return rows.select("log_dataset", "sysname", (F.col("_offset") + F.col("_k.at") - F.col("_first") + 1).cast("bigint").alias("line_no"),
+                       F.col("_k.line").alias("line"))
+
+
+def list_log_datasets(spark: SparkSession, path: str, dataset_from: str = "partition") -> DataFrame:
+    """A2 source: the log datasets below ``path`` from a listing of files, without reading any: (qualifier, list_pos,
+    name, key, n_files, n_bytes).  ``name`` is the dataset's folder value or file name, ``qualifier`` the name up to its
+    last dot (the folder, for files), ``list_pos`` its place in name order; ``key`` is what ``scan_syslog`` takes in
+    ``datasets``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    parts = F.split("path", "/")
+    if dataset_from == "file":
+        files = files.select("length", F.element_at(parts, -1).alias("name"), F.element_at(parts, -2).alias("qualifier"), F.col("path").alias("key"))
+    else:
+        # folder values are escaped as in urls, except that + stands for itself
+        value = F.url_decode(F.replace(F.regexp_extract("path", "/log_dataset=([^/]*)/", 1), F.lit("+"), F.lit("%2B")))
+        files = files.where(F.col("path").rlike("/log_dataset=[^/]*/")).select("length", value.alias("name"))
+        files = files.withColumn("qualifier", F.regexp_replace("name", "[.][^.]*$", "")).withColumn("key", F.col("name"))
+    names = files.groupBy("qualifier", "name", "key").agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"))
+    place = F.row_number().over(Window.partitionBy("qualifier").orderBy("name", "key"))
+    return names.select("qualifier", place.cast("bigint").alias("list_pos"), "name", "key", "n_files", "n_bytes")
+
+
+def write_syslog_text(lines: DataFrame, path: str, by_system: bool = False) -> str:
+    """Write ``(log_dataset, line_no, line)`` as text, one folder per dataset (``by_system``: below
+    one per system), lines in log order: range partitioning keeps every task bounded, and part
     files of one folder read back in name order = range order."""
-    (lines.repartitionByRange("log_dataset", "line_no")
-     .sortWithinPartitions("log_dataset", "line_no")
-     .select("log_dataset", "line")
-     .write.mode("overwrite").partitionBy("log_dataset").text(path))
+    folders = ["sysname", "log_dataset"] if by_system else ["log_dataset"]
+    (lines.repartitionByRange(*folders, "line_no")
+     .sortWithinPartitions(*folders, "line_no")
+     .select(*folders, "line")
+     .write.mode("overwrite").partitionBy(*folders).text(path))
     return path
 
 
