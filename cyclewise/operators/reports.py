@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import DONE_COLUMNS, FAIL_COLUMNS
@@ -27,23 +27,24 @@ def report_last_ipl(last: DataFrame) -> DataFrame:
     return dedupe_last_ipl(last).select("sysname", "last_ipl")
 
 
+def _displayed(c: str) -> Column:
+    """A report's cell as it is shown."""
+    if c == "sysname":
+        return F.upper(F.coalesce(F.col(c), F.lit("")))
+    if c in DATETIME_COLUMNS:
+        return F.coalesce(F.expr(f"right({c}, 8)"), F.lit(""))
+    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+
 def report_format(report: DataFrame) -> DataFrame:
     """System upper-cased, datetimes shown as their last 8 characters
     (the clock time), missing values as ''.  Durations are not cut (Q14)."""
-    cols = []
-    for c in report.columns:
-        if c == "sysname":
-            cols.append(F.upper(F.coalesce(F.col(c), F.lit(""))).alias(c))
-        elif c in DATETIME_COLUMNS:
-            cols.append(F.coalesce(F.expr(f"right({c}, 8)"), F.lit("")).alias(c))
-        else:
-            cols.append(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c))
-    return report.select(*cols)
-
-
-def report_search(report: DataFrame, pattern: str) -> DataFrame:
-    """Case-insensitive regex search over all displayed columns."""
-    text = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in report.columns])
+    return report.select(*[_displayed(c).alias(c) for c in report.columns])
+
+
+def report_search(report: DataFrame, pattern: str, displayed: bool = False) -> DataFrame:
+    """Case-insensitive regex search over all columns (``displayed``: as ``report_format`` shows them)."""
+    text = F.concat_ws(" ", *[_displayed(c) if displayed else F.coalesce(F.col(c).cast("string"), F.lit("")) for c in report.columns])
     return report.filter(text.rlike("(?i)" + pattern))
 
 

@@ -20,7 +20,7 @@ from ..streaming.ingest import incremental_ingest
 from . import oracle as O
 from .catalog import (ALL4, ANY4, DETAIL_SQL, DONE_CTE, REPORT_FORMAT_SQL, SQL_WEEK, detail, lines, q, resume, sql,
                       sqlr, week)
-from .jobs import (BUCKET, TABLES, build_resume, ingest_results, parse_logs, report_view, result_table,
+from .jobs import (BUCKET, TABLES, build_resume, ingest_results, page_key, parse_logs, report_view, result_table,
                    stored)
 
 DENSE_CTE = """dense AS (SELECT log_dataset, line_no,
@@ -213,7 +213,7 @@ def q_write_json(s, sf):
 def q_export(s, sf):
     path = shared_path(s, "export")
     export_report(done_rows(resume(s, sf)), path)
-    return s.read.option("header", True).schema(DONE).csv(path)
+    return s.read.options(**CSV_OPTIONS).schema(DONE).csv(path)
 
 
 @q("import_json_rows", sqlr("SELECT * FROM resume"))
@@ -327,6 +327,32 @@ def q_report_view(s, sf):
     return report_view(s, _ingest_twice(s, sf), "done")
 
 
+VIEW_KEYS, VIEW_SEARCH = ["pre_ipl", "sysname", "log_dataset"], "sys[0134].* 0[0-9]:"
+
+
+@q("report_view_page", REPORT_FORMAT_SQL.replace("FROM done", f"""FROM done WHERE regexp_matches(concat_ws(' ', upper(coalesce(sysname, '')),
+  coalesce(ipl_date, ''), coalesce(log_dataset, ''), coalesce(right(shutdown_begin, 8), ''), coalesce(right(shutdown_end, 8), ''), coalesce(right(ipl_begin, 8), ''),
+  coalesce(right(ipl_end, 8), ''), coalesce(right(pre_ipl, 8), ''), coalesce(right(pos_ipl, 8), ''), shutdown_duration, poweroff_duration,
+  load_ipl, total_duration), '(?i){VIEW_SEARCH}') ORDER BY done.pre_ipl NULLS FIRST, done.sysname, done.log_dataset LIMIT 4 OFFSET 4"""))
+def q_report_page(s, sf):
+    """M4: search over the stored done table, second page in the order of a key that may be NULL."""
+    store = _ingest_twice(s, sf)
+    after = page_key(s, store, "done", VIEW_KEYS, 4, VIEW_SEARCH)
+    return report_view(s, store, "done", search=VIEW_SEARCH, order=VIEW_KEYS, page_size=4, after=after)
+
+
+@q("incremental_rewritten", sqlr(_tables_sql(), DONE_CTE))
+def q_incremental_rewritten(s, sf):
+    """K1: each system's file is written, ingested, and rewritten under its name with more rows."""
+    landing, store, ckpt = (shared_path(s, n) for n in ("stream-landing", "stream-store", "stream-checkpoint"))
+    r = written(resume(s, sf), "resume")
+    for rows in (r.filter(week() % 2 == 0), r, r):
+        write_resume(rows, f"{landing}/results")
+        name_files(s, f"{landing}/results", "_resume.CSV")
+        incremental_ingest(s, landing, store, ckpt)
+    return _all_tables(s, store)
+
+
 def _boundary_report(cond):
     four = ", ".join(f"coalesce(right({c}, 8), '') AS {c}" for c in ("shutdown_begin", "shutdown_end", "ipl_begin", "ipl_end", "pre_ipl"))
     return sqlr(f"""SELECT upper(coalesce(sysname, '')) AS sysname, coalesce(log_dataset, '') AS log_dataset, {four},

@@ -12,8 +12,8 @@ from ..functions.catalogue import prefilter_regex
 from ..functions.timefmt import dataset_name
 from ..operators.boundaries import cycle_boundaries, datasets_with_ipl, detail_with_ipl
 from ..operators.parse import parse_lines
-from ..operators.reports import (report_done, report_fail, report_format,
-                                  report_last_ipl)
+from ..operators.reports import (page, report_done, report_fail, report_format,
+                                  report_last_ipl, report_search)
 from ..operators.resume import resume_rows
 from ..operators.routing import (done_condition, done_rows, fail_condition, fail_rows,
                                  garbage_condition, garbage_rows, last_ipl_condition,
@@ -29,6 +29,7 @@ SINKS = {"results_done": DONE, "results_fail": FAIL, "results_garb": GARB,
 TABLES = {"raw_results": RESUME, **SINKS}
 VIEWS = {"done": "results_done", "fail": "results_fail", "last_ipl": "results_last_ipl",
          "garbage": "results_garb"}
+REPORTS = {"done": report_done, "fail": report_fail, "garbage": report_fail, "last_ipl": report_last_ipl}
 #: Stored tables are partitioned by a hash bucket of the system: a bounded
 #: number of folders, and NULL, empty and numeric names stay as they are.
 BUCKET = "system_bucket"
@@ -88,9 +89,9 @@ def stored(spark: SparkSession, store_root: str, table: str) -> DataFrame:
 
 
 def _append(df: DataFrame, store_root: str, table: str) -> None:
-    """Append rows to their buckets; files are sorted by dataset and carry a Bloom filter of it, so
+    """Append rows to their buckets; files are sorted by (system, dataset) and carry a Bloom filter of the dataset, so
     that a lookup of a few datasets skips the row groups without them."""
-    rows = clustered(df.withColumn(BUCKET, _bucket()), BUCKET).sortWithinPartitions(BUCKET, "log_dataset")
+    rows = clustered(df.withColumn(BUCKET, _bucket()), BUCKET).sortWithinPartitions(BUCKET, *KEY)
     (rows.write.mode("append").option(f"parquet.bloom.filter.enabled#{KEY[1]}", "true")
      .partitionBy(BUCKET).parquet(_path(store_root, table)))
 
@@ -172,9 +173,24 @@ def result_table(spark: SparkSession, store_root: str, table: str) -> DataFrame:
     return stored(spark, store_root, table).select(*TABLES[table].fieldNames())
 
 
-def report_view(spark: SparkSession, store_root: str, view: str, formatted: bool = True) -> DataFrame:
-    """M4: report rows of a view in {done, fail, last_ipl, garbage}."""
-    table = result_table(spark, store_root, VIEWS[view])
-    rep = {"done": report_done, "fail": report_fail, "garbage": report_fail,
-           "last_ipl": report_last_ipl}[view](table)
+def report_view(spark: SparkSession, store_root: str, view: str, formatted: bool = True, search: str | None = None,
+                order: list[str] | None = None, page_size: int | None = None, after: tuple | None = None) -> DataFrame:
+    """M4: report rows of a view in {done, fail, last_ipl, garbage}; ``search`` keeps the rows whose displayed text
+    matches (D12), ``order`` with ``page_size`` gives one page (H3): the first, or the one after the key ``after``
+    (stored values of the ``order`` columns of the last row seen, as ``page_key`` reads them)."""
+    rep = REPORTS[view](result_table(spark, store_root, VIEWS[view]))
+    if search is not None:
+        rep = report_search(rep, search, displayed=formatted)
+    if page_size is not None:
+        rep = page(rep, order or rep.columns, page_size, after)
     return report_format(rep) if formatted else rep
+
+
+def page_key(spark: SparkSession, store_root: str, view: str, order: list[str], page_size: int, search: str | None = None,
+             after: tuple | None = None) -> tuple | None:
+    """The key that the page after this one starts behind; None if this page is empty."""
+    rep = REPORTS[view](result_table(spark, store_root, VIEWS[view]))
+    if search is not None:
+        rep = report_search(rep, search, displayed=True)
+    last = page(rep, order, page_size, after).select(*order).tail(1)
+    return tuple(last[0]) if last else None

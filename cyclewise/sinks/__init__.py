@@ -119,8 +119,8 @@ def write_json(df: DataFrame, path: str) -> str:
 
 
 def export_report(report: DataFrame, path: str) -> str:
-    """Export of the displayed report as CSV with header."""
-    report.write.mode("overwrite").option("header", True).csv(path)
+    """Export of the displayed report as CSV with header, text unchanged."""
+    report.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
     return path
 
 

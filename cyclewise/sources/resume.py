@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import catalogue as cat
 from ..schemas import DETAIL_COLUMNS, RESUME
+from .listing import list_files, only
 
 #: ``;`` CSV as the sinks write it: text unchanged, a wrong header fails.
 CSV_OPTIONS = {"sep": ";", "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False,
@@ -45,16 +46,26 @@ def read_resume_csv(spark: SparkSession, paths) -> DataFrame:
     return spark.read.options(**CSV_OPTIONS, enforceSchema=False).schema(RESUME).csv(paths)
 
 
-def discover_resume_csv(spark: SparkSession, root: str) -> DataFrame:
-    """A3: rows of every CSV below ``root`` (recursive) whose *file name* holds
-    ``resume``, with the file they came from.  Of files of one name the one
-    found last (greatest path) counts."""
+def list_resume_files(spark: SparkSession, root: str) -> DataFrame:
+    """A3: (path, name, modified, length) of every CSV below ``root`` (recursive) whose *file name*
+    holds ``resume``; of files of one name the one found last (greatest path).  No file is read."""
+    files = list_files(spark, root, cat.RESUME_FILE_GLOB).where(F.col("name").rlike(cat.RESUME_FILE_PATTERN))
+    last = files.groupBy("name").agg(F.max_by(F.struct("path", "modified", "length"), "path").alias("f"))
+    return last.select("f.path", "name", "f.modified", "f.length")
+
+
+def read_listed(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    """Rows of the files below ``root`` that ``files`` names by ``path``, with ``source_file``; others are not opened."""
     df = (spark.read.options(**CSV_OPTIONS, recursiveFileLookup=True, pathGlobFilter=cat.RESUME_FILE_GLOB,
                              enforceSchema=False).schema(RESUME).csv(root))
-    df = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("source_file"))
-    df = df.filter(F.col("source_file").rlike(cat.RESUME_FILE_PATTERN))
-    last = df.groupBy("source_file").agg(F.max("_path").alias("_path")).select("_path")
-    return df.join(last, "_path", "left_semi").drop("_path")
+    df = only(df, F.col("_metadata.file_path"), files.select("path"))
+    return df.select(*RESUME.fieldNames(), F.col("_metadata.file_name").alias("source_file"))
+
+
+def discover_resume_csv(spark: SparkSession, root: str) -> DataFrame:
+    """A3 + A4: rows of the files that ``list_resume_files`` finds, with the file they came from; the
+    winners are chosen before any row is read."""
+    return read_listed(spark, root, list_resume_files(spark, root))
 
 
 def read_detail(spark: SparkSession, path: str) -> DataFrame:

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import catalogue as cat
 from ..functions.timefmt import dataset_name
 from ..session import written
+from .listing import list_files, only
 
 MAX_PATTERNS = 10_000
-#: Names of datasets that are filtered as literals; a longer selection is joined.
-MAX_LISTED = 100_000
 #: Consecutive lines of a split whose matches share a row.
 LINES_A_ROW = 1 << 16
 
@@ -26,7 +25,7 @@ def _text_lines(spark: SparkSession, path: str, sysname: str | None, dataset_fro
         reader = reader.schema("value string, log_dataset string")
     raw = reader.text(path)
     if datasets is not None:
-        raw = _only(raw, F.col("log_dataset" if dataset_from == "partition" else "_metadata.file_path"), datasets)
+        raw = only(raw, F.col("log_dataset" if dataset_from == "partition" else "_metadata.file_path"), datasets)
     parts = F.split(F.col("_metadata.file_path"), "/")
     meta = raw.select(
         "*", F.col("_metadata.file_path").alias("_file"),
@@ -45,16 +44,6 @@ def _text_lines(spark: SparkSession, path: str, sysname: str | None, dataset_fro
     return meta.filter(F.length("value") > 0).withColumn("_mid", F.monotonically_increasing_id())
 
 
-def _only(raw: DataFrame, key: Column, chosen: DataFrame) -> DataFrame:
-    """Rows whose ``key`` is in the one column of ``chosen``.  Up to ``MAX_LISTED`` values are a
-    literal filter, by which the scan leaves out folders and files; more are a semi-join."""
-    names = [r[0] for r in chosen.distinct().limit(MAX_LISTED + 1).collect()]
-    if len(names) <= MAX_LISTED:
-        return raw.filter(key.isin(names))
-    chosen = chosen.select(F.col(chosen.columns[0]).alias("_chosen")).distinct()
-    return raw.join(chosen, key == F.col("_chosen"), "left_semi")
-
-
 _DATASET = ["sysname", "log_dataset"]
 _SPLIT = ["_task", "_file", "_block"]
 
@@ -128,10 +117,9 @@ def list_log_datasets(spark: SparkSession, path: str, dataset_from: str = "parti
     name, key, n_files, n_bytes).  ``name`` is the dataset's folder value or file name, ``qualifier`` the name up to its
     last dot (the folder, for files), ``list_pos`` its place in name order; ``key`` is what ``scan_syslog`` takes in
     ``datasets``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    parts = F.split("path", "/")
+    files = list_files(spark, path)
     if dataset_from == "file":
-        files = files.select("length", F.element_at(parts, -1).alias("name"), F.element_at(parts, -2).alias("qualifier"), F.col("path").alias("key"))
+        files = files.select("length", "name", F.element_at(F.split("path", "/"), -2).alias("qualifier"), F.col("path").alias("key"))
     else:
         # folder values are escaped as in urls, except that + stands for itself
         value = F.url_decode(F.replace(F.regexp_extract("path", "/log_dataset=([^/]*)/", 1), F.lit("+"), F.lit("%2B")))
