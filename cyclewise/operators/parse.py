@@ -9,6 +9,9 @@ the scan, and the prefilter drops lines before any split happens.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +37,19 @@ def _word(words: str, i: int) -> str:
 def message_prefilter(lines: DataFrame, line_col: str = "line", patterns: str | None = None) -> DataFrame:
     """Keep lines matching any of the patterns (``patterns``: one regex, as
     ``load_patterns`` returns it; else the fixed catalogue)."""
-    return lines.filter(F.col(line_col).rlike(patterns or cat.prefilter_regex()))
+    return lines.filter(matches(F.col(line_col), patterns or cat.prefilter_regex()))
+
+
+def matches(line: Column, patterns: str) -> Column:
+    """Whether ``line`` matches the regular expression.  Alternatives that are plain words are
+    looked for as such, which takes a tenth of the time of one large expression."""
+    if re.search(r"[()\[\]{}\\]", patterns):
+        return line.rlike(patterns)
+    parts = patterns.split("|")
+    words = [p for p in parts if re.fullmatch("[A-Za-z0-9 ]+", p)]
+    others = [p for p in parts if p not in words]
+    tests = [line.contains(w) for w in words] + ([line.rlike("|".join(others))] if others else [])
+    return reduce(lambda a, b: a | b, tests)
 
 
 def tokenize(line: Column) -> Column:

@@ -4,6 +4,8 @@ driver-side key lists, no per-row jobs)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +23,7 @@ from ..operators.routing import (done_condition, done_rows, fail_condition, fail
 from ..schemas import DONE, FAIL, GARB, LAST_IPL, RESUME
 from ..session import written
 from ..sinks import clustered, write_detail
-from ..sources.resume import read_detail, read_parquet
+from ..sources.resume import read_detail, read_parquet, table_exists
 from ..sources.syslog import list_log_datasets, scan_matching, select_log_datasets
 
 SINKS = {"results_done": DONE, "results_fail": FAIL, "results_garb": GARB,
@@ -97,13 +99,13 @@ def _append(df: DataFrame, store_root: str, table: str) -> None:
 
 
 def lookup(spark: SparkSession, store_root: str, table: str, buckets: list[int], datasets: list[str] | None) -> DataFrame:
-    """Keys (sysname, log_dataset) that a stored table holds in these buckets, each once; with
+    """Keys (sysname, log_dataset) that a stored table holds in these buckets; with
     ``datasets``, of these only (a filter that reaches the files' Bloom filters)."""
     rows = stored(spark, store_root, table).where(F.col(BUCKET).isin(buckets))
     if datasets is not None:
         rows = rows.where(F.col("log_dataset").isin(datasets) | F.col("log_dataset").isNull() if None in datasets
                           else F.col("log_dataset").isin(datasets))
-    return rows.select(*KEY).distinct()
+    return rows.select(*KEY)
 
 
 def _unlogged(spark: SparkSession, store_root: str, buckets: list[int]) -> dict[int, int]:
@@ -132,38 +134,42 @@ def ingest_results(spark: SparkSession, resume: DataFrame, store_root: str,
     batches read the key columns of their buckets.  Nothing of the history is routed again unless a run died.
     """
     batch = written(resume.select(*RESUME.fieldNames()).dropDuplicates().withColumn(BUCKET, _bucket()), "batch")
-    touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]
-    names = [r[0] for r in batch.select("log_dataset").distinct().limit(LOOKUP + 1).collect()]
-    few = names if len(names) <= LOOKUP else None
+    found = batch.select(BUCKET, "log_dataset").distinct().limit(LOOKUP + 1).collect()
+    few = list({r[1] for r in found}) if len(found) <= LOOKUP else None
+    touched = sorted({r[0] for r in found} if few is not None else {r[0] for r in batch.select(BUCKET).distinct().collect()})
+    tables = [t for t in TABLES if table_exists(spark, _path(store_root, t))]
     threshold = spark.conf.get(IN_THRESHOLD)
     spark.conf.set(IN_THRESHOLD, str(LOOKUP))   # longer lists would reach the files as a range only
     try:
-        left = _unlogged(spark, store_root, touched)
-        claimed = lookup(spark, store_root, "raw_results", touched, few).withColumn("tab", F.lit("raw_results"))
-        for table in SINKS:
-            claimed = claimed.unionByName(lookup(spark, store_root, table, touched, few).withColumn("tab", F.lit(table)))
-        claims = claimed.groupBy(*KEY).agg(F.collect_set("tab").alias("tabs"))
-        told = batch.join(claims, same_key(batch, claims), "left").select(*[batch[c] for c in batch.columns], "tabs")
+        left = _unlogged(spark, store_root, touched) if tables else {}
+        told = batch.withColumn("tabs", F.lit(None).cast("array<string>"))
+        if tables:
+            held = [lookup(spark, store_root, t, touched, few).withColumn("tab", F.lit(t)) for t in tables]
+            claims = reduce(DataFrame.unionByName, held).groupBy(*KEY).agg(F.collect_set("tab").alias("tabs"))
+            told = batch.join(claims, same_key(batch, claims), "left").select(*[batch[c] for c in batch.columns], "tabs")
         goes = F.array_compact(F.array(*[F.when(cond(rule), F.lit(t)) for t, cond in ROUTES.items()]))
         told = written(told.withColumn("goes", goes), "claims")
         orphan = F.expr("NOT array_contains(tabs, 'raw_results') AND arrays_overlap(tabs, goes)")
-        gains = told.agg(F.count_if(F.col("tabs").isNull() | orphan).alias("raw_results"),
-                         *[F.count_if(F.col("tabs").isNull() & F.array_contains("goes", t)).alias(t) for t in SINKS]).first()
-        if gains["raw_results"]:
-            _append(told.where(F.col("tabs").isNull() | orphan).select(*RESUME.fieldNames()), store_root, "raw_results")
-        rows = told.where("tabs IS NULL").select(*RESUME.fieldNames())
+        new = F.col("tabs").isNull()
+        gains = told.groupBy(BUCKET).agg(F.count_if(new | orphan).alias("n"),
+                                         *[F.count_if(new & F.array_contains("goes", t)).alias(t) for t in SINKS]).collect()
+        if any(g["n"] for g in gains):
+            _append(told.where(new | orphan).select(*RESUME.fieldNames()), store_root, "raw_results")
+        rows = told.where(new).select(*RESUME.fieldNames())
         if left:
             broken = stored(spark, store_root, "raw_results").where(F.col(BUCKET).isin(list(left)))
             rows = written(rows.unionByName(broken.select(*RESUME.fieldNames())).dropDuplicates(), "candidates")
-        for table, routed in (("results_done", done_rows(rows)), ("results_fail", fail_rows(rows, rule)),
-                              ("results_garb", garbage_rows(rows, rule)), ("results_last_ipl", last_ipl_rows(rows, rule))):
+        routed = {"results_done": lambda: done_rows(rows), "results_fail": lambda: fail_rows(rows, rule),
+                  "results_garb": lambda: garbage_rows(rows, rule), "results_last_ipl": lambda: last_ipl_rows(rows, rule)}
+        for table, delta in routed.items():
             if left:
-                routed = unseen_rows(routed, lookup(spark, store_root, table, touched, None), KEY)
-            if left or gains[table]:
-                _append(routed.dropDuplicates(), store_root, table)
-        if left or gains["raw_results"]:
-            gained = spark.createDataFrame([(n, b) for b, n in _unlogged(spark, store_root, touched).items()], LOG)
-            gained.coalesce(1).write.mode("append").parquet(_path(store_root, RUN_LOG))
+                _append(unseen_rows(delta(), lookup(spark, store_root, table, touched, None), KEY), store_root, table)
+            elif any(g[table] for g in gains):
+                _append(delta().dropDuplicates(), store_root, table)
+        gained = _unlogged(spark, store_root, touched) if left else {g[BUCKET]: g["n"] for g in gains if g["n"]}
+        if gained:
+            log = spark.createDataFrame([(n, b) for b, n in gained.items()], LOG)
+            log.coalesce(1).write.mode("append").parquet(_path(store_root, RUN_LOG))
     finally:
         spark.conf.set(IN_THRESHOLD, threshold)
     return {table: _path(store_root, table) for table in TABLES}

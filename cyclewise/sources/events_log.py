@@ -86,8 +86,13 @@ def events_syslog(events: DataFrame) -> DataFrame:
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cols = ["event_id", "ts", "user_id", "event_type", "value"]
-    return spark.read.parquet(table_path(sf_dir, "events")).select(*cols)
+    """The columns the log is made of.  A table of fewer splits than cores (one small file) is
+    dealt over them, as the splits of text logs would be; a larger one is not shuffled."""
+    events = spark.read.parquet(table_path(sf_dir, "events")).select("event_id", "ts", "user_id", "event_type", "value")
+    cores = spark.sparkContext.defaultParallelism
+    if events._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        events = events.repartition(cores, "event_id")
+    return events
 
 
 def syslog_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

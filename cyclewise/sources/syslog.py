@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalogue as cat
 from ..functions.timefmt import dataset_name
+from ..operators.parse import matches
 from ..session import written
 from .listing import list_files, only
 
@@ -98,7 +99,7 @@ def scan_matching(spark: SparkSession, path: str, pattern: str, sysname: str | N
     lines of ``LINES_A_ROW`` consecutive lines of a split.
     """
     lines = _text_lines(spark, path, sysname, dataset_from, datasets)
-    kept = F.when(F.col("value").rlike(pattern), F.struct(F.col("_mid").alias("at"), F.col("value").alias("line")))
+    kept = F.when(matches(F.col("value"), pattern), F.struct(F.col("_mid").alias("at"), F.col("value").alias("line")))
     # ids start anew at each split of a task, so a stretch is counted from multiples of the id
     stretch = F.floor(F.col("_mid") / LINES_A_ROW).alias("_stretch")
     splits = lines.groupBy(*_DATASET, *_SPLIT, stretch).agg(
