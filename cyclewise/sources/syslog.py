@@ -122,8 +122,10 @@ def list_log_datasets(spark: SparkSession, path: str, dataset_from: str = "parti
     if dataset_from == "file":
         files = files.select("length", "name", F.element_at(F.split("path", "/"), -2).alias("qualifier"), F.col("path").alias("key"))
     else:
-        # folder values are escaped as in urls, except that + stands for itself
-        value = F.url_decode(F.replace(F.regexp_extract("path", "/log_dataset=([^/]*)/", 1), F.lit("+"), F.lit("%2B")))
+        # escaped twice, as the value of a folder and as a part of a url; + stands for itself in both
+        value = F.regexp_extract("path", "/log_dataset=([^/]*)/", 1)
+        for _ in range(2):
+            value = F.url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))
         files = files.where(F.col("path").rlike("/log_dataset=[^/]*/")).select("length", value.alias("name"))
         files = files.withColumn("qualifier", F.regexp_replace("name", "[.][^.]*$", "")).withColumn("key", F.col("name"))
     names = files.groupBy("qualifier", "name", "key").agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"))
