@@ -17,7 +17,9 @@ Recursion.  Each region's pivot document is the one with the fewest shingles bef
 are first compared with it alone.  What links makes components.  Only regions that still hold several components go on:
 their documents outside the pivot's component are joined with the region's inner ring (slack 0 and
 more) and, from the inner ring only, with its outer ring, as far as the triangle inequality lets them,
-and never inside one component.  So a group of
+and never inside one component.  Documents that share a passage meet in a region for each of its shingles; a
+pair that shares one of the ``BEFORE`` mixed regions just before this one has met there, under a weaker bound, and is
+not made again.  So a group of
 copies costs its size, not its square, and no link between different components is missed.
 
 Links.  These steps give the components; every link lies inside one.  A component's representatives are dealt by a hash
@@ -61,6 +63,8 @@ COUNT_CHUNK = 2_000_000
 PARTS = 256
 #: Sets and shingles of a block of a component, about.
 BLOCK, BLOCK_SHINGLES = 128, 1_000_000
+#: Earlier regions beside an entry, to see that a pair has met before.
+BEFORE = 16
 PARITY = [f"p{k}" for k in range(PARTS // 64)]
 SET_SCHEMA = "doc_id long, n long, d1 long, d2 long, sketch binary, " + "".join(f"{p} long, " for p in PARITY) + "win array<long>"
 
@@ -263,14 +267,19 @@ class _Join:
         mixed = e.groupBy("z").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("z")
         home = pivots.select("z", "rep").join(mixed, "z").join(c, "rep", "left").select("z", F.coalesce("root", "rep").alias("home"))
         home = materialise(home, "mixed-regions")
-        e = e.join(home, "z").join(self.reps.select("rep", *PARITY), "rep")
+        # a document's mixed regions in order (slack falls), and beside each the ones just before it
+        held = F.sort_array(F.collect_list(F.struct(F.negative("slack").alias("o"), "z", "home"))).alias("held")
+        e = e.join(home, "z").groupBy("rep", "n", "c").agg(held).join(self.reps.select("rep", *PARITY), "rep")
+        e = e.select("rep", "n", "c", *PARITY, "held", F.posexplode("held").alias("k", "e"))
+        before = F.transform(F.slice("held", F.greatest(F.col("k") - BEFORE + 1, F.lit(1)), F.least("k", F.lit(BEFORE))), lambda x: x["z"])
         # inner ring: slack 0 and more; a document of the outer ring has no partner there
         inner = (F.col("slack") >= 0).cast("int")
+        e = e.select("rep", "n", "c", *PARITY, "e.z", "e.home", F.negative("e.o").alias("slack"), before.alias("before"))
         e = materialise(e.withColumn("ring", inner), "mixed-entries")
         out = e.where("c <> home").withColumn("ring", F.explode(F.sequence(1 - inner, F.lit(1))))
         met = out.alias("x").join(e.alias("y"), ["z", "ring"]).where(
             (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.home")) | (F.col("x.rep") < F.col("y.rep")))
-            & self._may("x", "y") & self._near("x", "y"))
+            & self._may("x", "y") & self._near("x", "y") & ~F.arrays_overlap("x.before", "y.before"))
         return self._pairs(met, "x", "y")
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
