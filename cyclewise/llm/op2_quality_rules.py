@@ -7,7 +7,8 @@ Across documents, each line is normalised (A-Z lowered, separators collapsed) an
 (128 bits); for every host (``source``) the distinct documents that hold the line are
 counted, where documents of equal text count once, so that copies do not turn
 their own text into boilerplate.  A line in more than ``LINE_SHARE`` per cent of
-the host's documents, and in more than ``LINE_DOCUMENTS``, is removed; a
+the host's documents is removed, on hosts of any size; only lines in up to ``LINE_DOCUMENTS`` of
+them, too few to tell boilerplate by, stay on the smallest hosts.  A
 document that keeps under ``KEPT_SHARE`` per cent of its words is depleted and rejected.
 
 Texts are read once and only hashes are shuffled, in two steps: plain counts (with map-side
@@ -30,8 +31,8 @@ from cyclewise.llm.common import (
 WINDOW = 8
 MIN_WORDS = 20
 REPEAT_SHARE = 30
-LINE_SHARE = 10
-LINE_DOCUMENTS = 50
+LINE_SHARE = 5
+LINE_DOCUMENTS = 5
 KEPT_SHARE = 30
 SYMBOLS = "#*$%&|<>"
 
@@ -202,7 +203,7 @@ ln AS (SELECT doc_id, host, no_host, md5(text) AS t, line,
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY doc_id),
 hosts AS (SELECT host, no_host, count(DISTINCT md5(text)) AS n_docs FROM d GROUP BY ALL),
 freq AS (SELECT host, no_host, norm FROM ln JOIN hosts USING (host, no_host) GROUP BY host, no_host, norm, n_docs
-         HAVING count(DISTINCT t) > 50 AND 100 * count(DISTINCT t) > 10 * n_docs),
+         HAVING count(DISTINCT t) > 5 AND 100 * count(DISTINCT t) > 5 * n_docs),
 gone AS (SELECT doc_id, sum(n) AS n FROM ln JOIN freq USING (host, no_host, norm) GROUP BY doc_id),
 m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
              length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM w)

@@ -3,7 +3,7 @@ import random
 
 import corpus_pipeline as C
 import __spark_entry__ as E
-from cyclewise.llm import queries as llm
+from cyclewise.llm import op2_quality_rules as Q, queries as llm
 from tests.llm.cases import documents, frame, prose
 from tests.llm.test_pairs import brute_components, brute_cut
 from tests.llm.test_rows import brute_rules, words
@@ -22,7 +22,7 @@ def test_stages_against_brute_force(spark):
     assert list(by) == ["quality_rules", "jaccard_join", "substring_dedup", "mixing", "packing"]
 
     one = by["quality_rules"](spark, df, "")
-    kept = {i for i, w in brute_rules(rows, 10, 50)[0].items() if w[-1]}
+    kept = {i for i, w in brute_rules(rows, Q.LINE_SHARE, Q.LINE_DOCUMENTS)[0].items() if w[-1]}
     assert {r.doc_id for r in one.collect()} == kept and one.columns == df.columns
     rows = [r for r in rows if r[0] in kept]
 

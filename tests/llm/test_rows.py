@@ -83,6 +83,17 @@ def test_rules_match_the_oracle(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == sorted(cur.fetchall())
 
 
+def test_the_limit_holds_on_small_and_large_hosts(spark):
+    """A line in a tenth of the documents goes from a host of 60 and from one of 2,000; one in up to 5 stays."""
+    rng = random.Random(7)
+    rows = [(1000 * h + i, prose(rng, 25) + ("\nthe same line everywhere" if i % 10 == 0 else "") + ("\nrare line" if i < 5 else ""), None, f"h{h}", None)
+            for h, n in ((1, 60), (5, 2000)) for i in range(n)]
+    rows += [(90_000 + i, prose(rng, 25) + "\nin all of a tiny host", None, "tiny", None) for i in range(6)]
+    rows += [(91_000 + i, prose(rng, 25) + "\nin all of a tinier host", None, "tinier", None) for i in range(5)]
+    got = {r.doc_id: r.n_line_words_removed for r in Q.judge(frame(spark, rows)).collect()}
+    assert all(n == (4 if "same line" in t else 6 if "tiny host" in t else 0) for (i, t, *_), n in ((r, got[r[0]]) for r in rows))
+
+
 def test_copies_do_not_make_boilerplate(spark):
     """A line that only copies of one text share is not removed."""
     rng = random.Random(1)
