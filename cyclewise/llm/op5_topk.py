@@ -11,9 +11,10 @@ a pair of nodes whose bound lies below the worst k-th score of the query node's
 queries is pruned.  The k best of each block are merged by a top-k window per query.
 
 Cases: null vectors, vectors with a null or non-finite component and null ids take no part; vectors
-of different length are never compared; rows that repeat an id count as one (the least vector); ties go to the
-smaller id; fewer than k candidates give them all; components are clamped at the largest size for which
-a product still fits a long (2**28 at 64 components); other columns are ignored.
+of different length are never compared; rows that repeat an id with its vector count as one, different vectors under
+one id are rows of their own, each a query and each a candidate; ties go to the
+smaller id; fewer than k candidates give them all; products are exact at any size of the components, and a
+score beyond a long is given as the nearest one, and ranked by its double; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,9 +74,9 @@ class Search:
         order = np.argsort(ids, kind="stable")
         self.q, self.q_ids, self.v, self.ids, self.k = q, q_ids, v[order], ids[order], k
         self.m = 1 << max(1, len(ids)).bit_length()
-        top = max(np.abs(q).max(initial=0), np.abs(v).max(initial=0)) ** 2 * max(q.shape[1], 1)
-        # beyond the exact integers of a double the numbers are Python's
-        self.exact = top * self.m < 2.0**52
+        # the largest sum of products; beyond the exact integers of a double the numbers are Python's
+        self.top = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(q.shape[1], 1)
+        self.exact = self.top * self.m < 2.0**52
         self.best = np.full((len(q), k), -np.inf, dtype=np.float64 if self.exact else object)
         if len(q) and len(v):
             self.run(tree(q), tree(self.v))
@@ -83,8 +84,13 @@ class Search:
         key = np.where(self.found, self.best, 0)
         key = key.astype(np.int64) if self.exact else key
         score = -(-key // self.m)
-        self.score = score.astype(np.int64)
-        self.vec_id = self.ids[(score * self.m - key).astype(np.int64)] if len(v) else np.zeros(key.shape, np.int64)
+        place = (score * self.m - key).astype(np.int64)
+        # ordered by ``approx``, then ``score``: doubles rise with the exact numbers
+        most = 2.0**1000
+        self.approx = score.astype(np.float64) if self.exact else np.vectorize(
+            lambda x: float(min(max(x, -int(most)), int(most))), otypes=[float])(score)
+        self.score = score if self.exact else np.clip(score, -2**63, 2**63 - 1).astype(np.int64)
+        self.vec_id = self.ids[place] if len(v) else np.zeros(key.shape, np.int64)
 
     def bound(self, a: Node, b: Node) -> float:
         x = float(a.centre @ b.centre) + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius
@@ -108,22 +114,28 @@ class Search:
     def leaves(self, a: np.ndarray, b: np.ndarray) -> None:
         if self.exact:
             key = (self.q[a] @ self.v[b].T) * self.m - b
-        else:
+        elif self.top < 2.0**62:
             key = (self.q[a].astype(np.int64) @ self.v[b].T.astype(np.int64)).astype(object) * self.m - b
-        key[self.q_ids[a][:, None] == self.ids[b][None, :]] = -np.inf
+        else:
+            whole = np.vectorize(int, otypes=[object])
+            key = whole(self.q[a]).dot(whole(self.v[b]).T) * self.m - b
+        # a query's own row: the same id and the same vector
+        for i, j in np.argwhere(self.q_ids[a][:, None] == self.ids[b][None, :]).tolist():
+            if np.array_equal(self.q[a[i]], self.v[b[j]]):
+                key[i, j] = -np.inf
         key = np.concatenate([self.best[a], key], axis=1)
         key = np.partition(key, key.shape[1] - self.k, axis=1) if self.exact else np.sort(key, axis=1)
         self.best[a] = key[:, -self.k:]
 
 
 def _encoded(batches):
-    """Vectors as bytes of int32, clamped so that products fit a long."""
+    """Vectors as bytes of whole doubles."""
     for batch in batches:
         rows = []
         for vec_id, x in zip(batch.column(0), batch.column(1)):
             x = np.floor(64 * np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64))
-            most = min(2.0**31 - 1, np.floor(np.sqrt(2.0**62 / max(len(x), 1))))
-            rows.append((vec_id.as_py(), len(x), np.clip(x, -most, most).astype("<i4").tobytes()))
+            if np.isfinite(x).all():
+                rows.append((vec_id.as_py(), len(x), (x + 0.0).astype("<f8").tobytes()))
         if rows:
             a, b, c = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.binary())],
@@ -132,18 +144,19 @@ def _encoded(batches):
 
 def _matrix(p: pd.DataFrame) -> np.ndarray:
     dim = int(p["dim"].iloc[0])
-    return np.frombuffer(b"".join(p["v"]), "<i4").reshape(len(p), dim).astype(np.float64)
+    return np.frombuffer(b"".join(p["v"]), "<f8").reshape(len(p), dim)
 
 
 def _searched(k: int):
     def run(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "vec_id", "score"]
+        names = ["query_id", "query", "vec_id", "score"]
         if not len(queries) or not len(data):
-            return pd.DataFrame({c: np.zeros(0, np.int64) for c in names})
-        q_ids = queries["vec_id"].to_numpy()
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in names} | {"approx": np.zeros(0)})
+        q_ids, asked = queries["vec_id"].to_numpy(), queries["h"].to_numpy()
         s = Search(_matrix(queries), q_ids, _matrix(data), data["vec_id"].to_numpy(), k)
         return pd.DataFrame({"query_id": np.broadcast_to(q_ids[:, None], s.found.shape)[s.found],
-                             "vec_id": s.vec_id[s.found], "score": s.score[s.found]})
+                             "query": np.broadcast_to(asked[:, None], s.found.shape)[s.found],
+                             "vec_id": s.vec_id[s.found], "score": s.score[s.found], "approx": s.approx[s.found]})
     return run
 
 
@@ -155,8 +168,7 @@ def top_k(vectors: DataFrame, queries, key: str = "vec_id", vector: str = "embed
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("x"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).where(~F.coalesce(bad, F.lit(True)))
     rows = rows.mapInArrow(_encoded, "vec_id long, dim int, v binary")
-    rows = materialise(rows.groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("m")).select("vec_id", "m.dim", "m.v"),
-                       "vectors")
+    rows = materialise(rows.distinct().withColumn("h", F.xxhash64("v")), "vectors")
     asked = rows.where(queries)
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(queries, 1)).alias("q")).first()
     data_blocks, query_blocks = -(-n["n"] // DATA_BLOCK) or 1, -(-n["q"] // QUERY_BLOCK) or 1
@@ -166,8 +178,8 @@ def top_k(vectors: DataFrame, queries, key: str = "vec_id", vector: str = "embed
     b = rows.withColumn("db", F.pmod(h, F.lit(data_blocks)).cast("int")).withColumn("qb", every(query_blocks))
     group = ["dim", "qb", "db"]
     best = a.groupBy(*group).cogroup(b.groupBy(*group)).applyInPandas(
-        _searched(k), "query_id long, vec_id long, score long")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        _searched(k), "query_id long, query long, vec_id long, score long, approx double")
+    w = W.partitionBy("query_id", "query").orderBy(F.desc("approx"), F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
 

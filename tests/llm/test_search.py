@@ -41,6 +41,20 @@ def test_top_k_of_large_components_and_few_rows(spark):
     assert K.top_k(df.where("vec_id = 0"), F.expr("vec_id % 20 = 0")).count() == 0
 
 
+def test_scores_are_exact_and_every_row_counts(spark):
+    """Large components, their sums above doubles' whole numbers; several vectors under one id."""
+    rows = [(0, [2e7, 1.0]), (1, [1.0, 0.0]), (1, [3.0, 0.0]), (2, [2e7 + 1, 0.0]), (3, [2e7, 5.0]), (3, [2e7, 5.0]), (20, [0.0, 1.0]), (20, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in K.top_k(df, F.expr("vec_id % 20 = 0"), k=20).collect())
+    whole = {(i, tuple(math.floor(64 * x) for x in v)) for i, v in rows}
+    want = []
+    for q in whole:
+        if q[0] % 20 == 0:
+            s = sorted((-sum(a * b for a, b in zip(q[1], d[1])), d[0]) for d in whole if d != q)
+            want += [(q[0], n + 1, i, -x) for n, (x, i) in enumerate(s)]
+    assert got == sorted(want) and max(x[3] for x in got) > 2**53
+
+
 def test_trees_prune(monkeypatch):
     """Groups far apart: most leaf pairs are never multiplied."""
     monkeypatch.setattr(K, "LEAF", 32)
