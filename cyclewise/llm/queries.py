@@ -25,6 +25,7 @@ QUERIES = {
 ORACLE = {
     "op2_quality_rules": op2_quality_rules.ORACLE_SQL,
     "op5_topk": op5_topk.ORACLE_SQL,
+    "op6_substring_dedup": op6_substring_dedup.ORACLE_SQL,
     "op12_chat": op12_chat.ORACLE_SQL,
     "op13_manifest": op13_manifest.ORACLE_SQL,
 }
