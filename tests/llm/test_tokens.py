@@ -112,3 +112,16 @@ def test_plan_fills_exactly():
     lengths = [rng.randint(1, 900) for _ in range(5000)]
     n = sum(m for _, m in P.plan({x: lengths.count(x) for x in set(lengths)}))
     assert n <= sum(lengths) / 1024 * 1.01 + 1
+
+
+def test_rows_without_an_id_come_back_without_one(spark, tmp_path, ids):
+    """They come first, and the least long is an id like others."""
+    rows = [(None, "b two", None, "s", None), (-2**63, "least", None, "s", None), (None, None, None, "s", None), (0, "zero", None, "s", None)]
+    B.write_token_files(frame(spark, rows, extra=True), f"file://{tmp_path}/t", segment_ids=3)
+    got = sorted(B.read_token_files(spark, f"file://{tmp_path}/t").collect(), key=lambda r: r.start)
+    want, at = [], 0
+    for i, t in ((None, None), (None, "b two"), (-2**63, "least"), (0, "zero")):
+        x = ids(t)
+        want.append((i, at, len(x), crc(x)))
+        at += len(x)
+    assert [tuple(r) for r in got] == want
