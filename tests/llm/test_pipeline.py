@@ -65,3 +65,18 @@ def test_texts_under_one_id_are_documents(spark):
 def test_run_on_an_empty_table(spark, tmp_path):
     frame(spark, []).write.parquet(f"file://{tmp_path}/documents.parquet")
     assert C.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_run_on_rows(spark, tmp_path):
+    """The whole pipeline: the documents that brute force keeps, packed, each at least once."""
+    rows = documents(seed=14)
+    frame(spark, rows).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = C.run(spark, f"file://{tmp_path}").collect()
+    judged, often = brute_rules(rows, Q.LINE_SHARE, Q.LINE_DOCUMENTS)
+    norm = lambda x: b" ".join(words(x)).lower()
+    left = [(i, "\n".join(x for x in t.split("\n") if (s, norm(x)) not in often), lang, s, n)
+            for i, t, lang, s, n in rows if judged[i][-1]]
+    first = {i for i, _, c in brute_components(left, 5, 80) if i == c}
+    kept = {i for i, n, gone, _ in brute_cut([r for r in left if r[0] in first]) if n > gone}
+    assert {r.doc_id for r in got} == kept and len(kept) > 20
+    check_layout(got, 1024)
