@@ -9,12 +9,14 @@ from __future__ import annotations
 import html
 import re
 import sys
-from itertools import zip_longest
+from bisect import bisect_left
 
 #: Deeper elements become siblings, as browsers do it; their text is kept.
 MAX_DEPTH = 200
-#: Longer cell lines do not widen their column (they stand unpadded).
+#: Lines of cells that have others to their right are folded at words to this width; a longer word runs over it.
 MAX_CELL_WIDTH = 120
+#: Formatting elements that a page may have repeated inside a block, to keep the tree shallow.
+MAX_CLONES = 200
 
 # A quote opens a value only right after `=`; elsewhere it belongs to a name or to an unquoted value.
 _NAME = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
@@ -24,7 +26,8 @@ TAG = re.compile(
     rf"((?:[ \t\n\r\f/]|{_NAME}(?:{_VALUE.format('?:')})?)*+)>?", re.S)
 ATTR = re.compile(rf"({_NAME})(?:{_VALUE.format('')})?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+HIDDEN_STYLE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible|initial)\b", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -39,10 +42,6 @@ CLOSES_P = BLOCK - frozenset("td th tr thead tbody tfoot caption option optgroup
 IMPLIED_END = {
     "li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"),
     "option": ("option", "select datalist optgroup"), "optgroup": ("option optgroup", "select"),
-    "tr": ("tr td th caption colgroup", "table"), "td": ("td th caption", "tr table"), "th": ("td th caption", "tr table"),
-    "thead": ("thead tbody tfoot tr td th caption colgroup", "table"),
-    "tbody": ("thead tbody tfoot tr td th caption colgroup", "table"),
-    "tfoot": ("thead tbody tfoot tr td th caption colgroup", "table"),
     "body": ("head", "html"),
 }
 IMPLIED_END = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED_END.items()}
@@ -50,6 +49,17 @@ IMPLIED_END = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in
 IN_HEAD = frozenset("base link meta title style script noscript template head html".split())
 #: An end tag does not reach past these.
 SCOPE = frozenset("table td th caption template".split())
+#: Where a part of a table may stand; elements above such a place end before it.
+TABLE_PLACE = {
+    "caption": "table", "colgroup": "table", "col": "colgroup table", "thead": "table", "tbody": "table", "tfoot": "table",
+    "tr": "thead tbody tfoot table", "td": "tr thead tbody tfoot table", "th": "tr thead tbody tfoot table",
+}
+TABLE_PLACE = {k: frozenset(v.split()) for k, v in TABLE_PLACE.items()}
+#: Text and other elements do not stand here: they go before the table.
+NO_TEXT = frozenset("table thead tbody tfoot tr".split())
+#: The end tag of a formatting element leaves open blocks open; that of any other inline element is no tag there.
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+SPECIAL = BLOCK | HIDDEN | frozenset("button select marquee colgroup textarea xmp input img br".split())
 
 
 class Node:
@@ -70,12 +80,67 @@ def parse(source: str) -> Node:
     """The tree of a page.  Never fails: what cannot be a tag is text."""
     root = Node("#root", {})
     stack, at, n = [root], 0, len(source)
+    clones = 0
+
+    def last(tag: str) -> int:
+        return next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+
+    def place(k: int, child: Node | str) -> None:
+        """Put ``child`` into the open element ``k``, or before its table if it cannot stand there."""
+        if stack[k].tag in NO_TEXT and len(stack) < MAX_DEPTH - 3:
+            t = k
+            while stack[t].tag != "table" and t > 1:
+                t -= 1
+            inside, table = stack[t - 1].children, stack[t]
+            for j in range(len(inside) - 1, -1, -1):
+                if inside[j] is table:
+                    inside.insert(j, child)
+                    return
+        stack[k].children.append(child)
 
     def text(s: str) -> None:
         if s:
-            if stack[-1].tag == "head" and s.strip():
+            blank = not s.strip(" \t\n\r\f")
+            if stack[-1].tag == "head" and not blank:
                 stack.pop()
-            stack[-1].children.append(html.unescape(s) if "&" in s else s)
+            s = html.unescape(s) if "&" in s else s
+            if blank:
+                stack[-1].children.append(s)
+            else:
+                place(len(stack) - 1, s)
+
+    def end_inline(tag: str) -> None:
+        """Close an inline element.  Blocks opened inside a formatting element leave it and stay open."""
+        nonlocal clones
+        block = 0
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag == tag:
+                break
+            if stack[k].tag in SCOPE:
+                return
+            if stack[k].tag in SPECIAL:
+                block = k
+                if tag not in FORMATTING:
+                    return
+        else:
+            return
+        element = stack[k]
+        while block:
+            inner, parent = stack[block], stack[block - 1]
+            if parent.children and parent.children[-1] is inner:
+                parent.children.pop()
+                place(k - 1, inner)
+            if not {"hidden", "style"}.isdisjoint(element.attrs) and clones < MAX_CLONES:
+                clones += 1
+                copy = Node(element.tag, element.attrs)
+                copy.children, inner.children = inner.children, [copy]
+            else:
+                copy = inner
+            # ``copy`` takes the element's place under the block, as the parent of what is still open in it
+            stack[k:block + 1] = [inner, copy]
+            k += 1
+            block = next((j for j in range(k + 1, len(stack)) if stack[j].tag in SPECIAL), 0)
+        del stack[k:]
 
     def end(names: frozenset, stop: frozenset) -> None:
         """Close the outermost open element of ``names`` above the nearest ``stop``."""
@@ -103,7 +168,11 @@ def parse(source: str) -> Node:
         if not tag:
             continue
         if m[1]:
-            if tag == "p" or tag not in VOID:
+            if tag in VOID:
+                pass
+            elif tag not in SPECIAL:
+                end_inline(tag)
+            else:
                 stop = frozenset() if tag in SCOPE or tag in ("tr", "tbody", "thead", "tfoot", "body", "html") else SCOPE
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
@@ -112,17 +181,33 @@ def parse(source: str) -> Node:
                     if stack[k].tag in stop or tag != "table" and stack[k].tag == "table":
                         break
             if tag == "br":
-                stack[-1].children.append(Node("br", {}))
+                place(len(stack) - 1, Node("br", {}))
             continue
         if stack[-1].tag == "head" and tag not in IN_HEAD:
             stack.pop()
+        deep = len(stack) >= MAX_DEPTH - 3
+        if tag in TABLE_PLACE and not deep:
+            table = last("table")
+            if not table:
+                continue
+            while stack[-1].tag not in TABLE_PLACE[tag] and len(stack) > table + 1:
+                stack.pop()
+            if tag in ("td", "th") and stack[-1].tag != "tr":
+                row = Node("tr", {})
+                stack[-1].children.append(row)
+                stack.append(row)
+        elif tag == "table" and stack[-1].tag in NO_TEXT and not deep:
+            del stack[last("table"):]
         if tag in CLOSES_P:
             end(frozenset(("p",)), SCOPE | {"button"})
         if tag in IMPLIED_END:
             end(*IMPLIED_END[tag])
         raw = m[3] or ""
         node = Node(tag, _attrs(raw) if raw.strip(" \t\r\n/") else {})
-        stack[-1].children.append(node)
+        if tag in TABLE_PLACE or tag in HIDDEN:
+            stack[-1].children.append(node)
+        else:
+            place(len(stack) - 1, node)
         if tag in VOID:
             continue
         if tag in RAW:
@@ -150,6 +235,20 @@ def _visible(node: Node) -> bool:
     return not (node.tag == "dialog" and "open" not in a)
 
 
+def _drop_invisible(root: Node) -> None:
+    """Take out text of elements with ``visibility: hidden``, but for those inside that are visible again."""
+    todo = [(root, False)]
+    while todo:
+        node, gone = todo.pop()
+        if said := VISIBILITY.findall(node.attrs.get("style", "")):
+            gone = said[-1].lower() in ("hidden", "collapse")
+        if gone:
+            node.children = [c for c in node.children if isinstance(c, Node)]
+            if node.tag in ("q", "input"):
+                node.tag = "span"
+        todo.extend((c, gone) for c in node.children if isinstance(c, Node))
+
+
 class _Lines:
     """Lines of a flow of blocks; ``gap`` asks for blank lines before the next text."""
 
@@ -212,71 +311,132 @@ def _list(node: Node, pre: bool) -> list[str]:
     return out
 
 
-def _rows(node: Node) -> list[tuple[str, list]]:
-    """Rows of a table in order of thead, bodies, tfoot; captions and strays as lines."""
-    parts: dict[str, list] = {"head": [], "body": [], "foot": []}
-    for child in node.children:
-        if not isinstance(child, Node):
-            if child.strip():
-                parts["body"].append(("text", [child]))
-        elif not _visible(child):
-            continue
-        elif child.tag in ("thead", "tbody", "tfoot"):
-            kind = {"thead": "head", "tbody": "body", "tfoot": "foot"}[child.tag]
-            for row in child.children:
-                if isinstance(row, Node):
-                    if _visible(row):
-                        parts[kind].append(("row" if row.tag == "tr" else "text", row.children if row.tag == "tr" else [row]))
-                elif row.strip():
-                    parts[kind].append(("text", [row]))
-        elif child.tag == "tr":
-            parts["body"].append(("row", child.children))
-        elif child.tag not in ("colgroup", "col"):
-            parts["head" if child.tag == "caption" else "body"].append(
-                ("row", [child]) if child.tag in ("td", "th") else ("text", [child]))
-    return parts["head"] + parts["body"] + parts["foot"]
-
-
-def _span(node: Node) -> int:
-    s = node.attrs.get("colspan", "1")
+def _rows(node: Node) -> list[tuple[int, list | Node]]:
+    """Rows of a table in order of captions, thead, bodies, tfoot, each with the number of its
+    group; what is no row (captions, strays of a tree cut at its depth) stands as an element."""
+    parts: dict[str, list] = {"caption": [], "head": [], "body": [], "foot": []}
+
+    def add(part: str, group: int, child: Node | str) -> None:
+        if isinstance(child, Node) and not _visible(child):
+            return
+        if isinstance(child, Node) and child.tag == "tr":
+            parts[part].append((group, child.children))
+        elif isinstance(child, Node) and child.tag in ("td", "th"):
+            parts[part].append((group, [child]))
+        elif isinstance(child, Node) or child.strip():
+            box = Node("div", {})
+            box.children = [child]
+            parts[part].append((group, box))
+
+    for group, child in enumerate(node.children, 1):
+        tag = child.tag if isinstance(child, Node) else ""
+        if tag in ("thead", "tbody", "tfoot"):
+            if _visible(child):
+                for row in child.children:
+                    add({"thead": "head", "tbody": "body", "tfoot": "foot"}[tag], group, row)
+        elif tag == "caption":
+            add("caption", 0, child)
+        elif tag not in ("colgroup", "col"):
+            add("body", 0, child)
+    return parts["caption"] + parts["head"] + parts["body"] + parts["foot"]
+
+
+def _span(node: Node, name: str = "colspan") -> int:
+    s = node.attrs.get(name, "1")
     return min(int(s), 1000) if re.fullmatch(r"[1-9]\d{0,8}", s) else 1
 
 
-def _table(node: Node, pre: bool) -> list[str]:
-    rows, widths = [], {}
-    for kind, children in _rows(node):
-        if kind == "text":
-            box = Node("div", {})
-            box.children = children
-            rows.append((None, _block(box, pre)))
+def _fold(lines: list[str], width: int) -> list[str]:
+    """``lines`` cut at spaces to ``width`` where words allow it."""
+    out = []
+    for line in lines:
+        while len(line) > width:
+            margin = len(line) - len(line.lstrip(" "))
+            at = line.rfind(" ", margin, width + 1)
+            at = line.find(" ", width) if at < 0 else at
+            if at < 0:
+                break
+            out.append(line[:at].rstrip(" "))
+            line = line[at:].lstrip(" ")
+        out.append(line)
+    return out
+
+
+class _Cell:
+    __slots__ = ("col", "end", "last", "lines")
+
+    def __init__(self, col: int, end: int, last: int, lines: list[str]):
+        self.col, self.end, self.last, self.lines = col, end, last, lines
+
+
+def _grid(rows: list[tuple[int, list | Node]], pre: bool) -> list[list[_Cell] | list[str]]:
+    """The cells that stand in each row, those from rows above included; elements as their lines."""
+    until = {group: k for k, (group, row) in enumerate(rows) if not isinstance(row, Node)}
+    out, above = [], []
+    for k, (group, row) in enumerate(rows):
+        if isinstance(row, Node):
+            out.append(_block(row, pre))
             continue
-        cells, col = [], 0
-        for child in children:
-            if isinstance(child, Node) and child.tag in ("td", "th"):
-                if _visible(child):
-                    lines, span = _block(child, pre), _span(child)
-                    cells.append((col, span, lines))
-                    if span == 1:
-                        widths[col] = max(widths.get(col, 0), *(len(x) for x in lines if len(x) <= MAX_CELL_WIDTH), 0)
-                    col += span
-            elif isinstance(child, Node) or child.strip():
+        above = [c for c in above if c.last >= k]
+        taken = {x for c in above for x in range(c.col, c.end)}
+        cells, col = list(above), 0
+        for child in row:
+            cell = isinstance(child, Node) and child.tag in ("td", "th")
+            if isinstance(child, Node) and not _visible(child) or not isinstance(child, Node) and not child.strip():
+                continue
+            while col in taken:
+                col += 1
+            if cell:
+                lines, end = _block(child, pre), col + _span(child)
+                rest = child.attrs.get("rowspan") == "0"
+                down = until[group] if rest else min(until[group], k + _span(child, "rowspan") - 1)
+            else:
                 box = Node("div", {})
                 box.children = [child]
-                if lines := _block(box, pre):
-                    cells.append((col, 1, lines))
-                    col += 1
-        rows.append((cells, None))
+                lines, end, down = _block(box, pre), col + 1, k
+                if not lines:
+                    continue
+            cells.append(_Cell(col, end, down, lines))
+            col = end
+        out.append(sorted(cells, key=lambda c: c.col))
+        above = [c for c in cells if c.last > k]
+    return out
+
+
+def _table(node: Node, pre: bool) -> list[str]:
+    rows = _grid(_rows(node), pre)
+    cells = list({id(c): c for row in rows for c in row if isinstance(c, _Cell)}.values())
+    right = max((c.end for c in cells), default=0)
+    #: only columns in which a cell begins take room
+    columns = sorted({c.col for c in cells})
+    width = dict.fromkeys(columns, 0)
+    for c in sorted(cells, key=lambda c: c.end - c.col):
+        if c.end < right:
+            c.lines = _fold(c.lines, MAX_CELL_WIDTH)
+            under = columns[bisect_left(columns, c.col):bisect_left(columns, c.end)]
+            need = max((len(x) for x in c.lines if len(x) <= MAX_CELL_WIDTH), default=0)
+            need -= sum(width[x] for x in under) + 2 * (len(under) - 1)
+            if need > 0:
+                width[under[-1]] += need
+    start, at = {}, 0
+    for x in columns:
+        start[x] = at
+        at += width[x] + 2
     out = []
-    for cells, lines in rows:
-        if cells is None:
-            out.extend(lines)
+    for k, row in enumerate(rows):
+        if not row or not isinstance(row[0], _Cell):
+            out.extend(row)
             continue
-        for parts in zip_longest(*(c[2] for c in cells), fillvalue=""):
+        # a cell over several rows shows its lines beside all of them, the rest in its last one
+        height = max((len(c.lines) for c in row if c.last == k), default=0)
+        for j in range(height):
             line = ""
-            for k, (col, span, _) in enumerate(cells):
-                room = sum(widths.get(x, 0) for x in range(col, col + span) if x in widths) + 2 * (span - 1)
-                line += parts[k].ljust(room) + "  " if k + 1 < len(cells) else parts[k]
+            for c in row:
+                if j < len(c.lines) and c.lines[j]:
+                    line = (line + "  " if line else "").ljust(start[c.col]) + c.lines[j]
             out.append(line.rstrip())
+        for c in row:
+            c.lines = c.lines[height:]
     while out and not out[-1]:
         out.pop()
     return out
@@ -347,5 +507,7 @@ def render(source: str | None) -> str:
         return ""
     if sys.getrecursionlimit() < 8 * MAX_DEPTH:
         sys.setrecursionlimit(8 * MAX_DEPTH + 1000)
-    lines = _block(parse(source), False)
+    tree = parse(source)
+    _drop_invisible(tree)
+    lines = _block(tree, False)
     return "\n".join(x.replace("\xa0", " ").rstrip() for x in lines).strip("\n")

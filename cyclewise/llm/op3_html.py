@@ -3,8 +3,12 @@
 Each page is parsed to a tree (implied tags, visibility) and rendered on its own, so this
 is one map over the scan without a shuffle.  Pages arrive in Arrow batches.
 
+Cells stand in the columns that row and column spans give them.  Lines of a cell with others
+to its right are folded at words to 120 characters; a single longer word runs over its column.
+
 Cases: null, empty and text-free pages give an empty text; broken markup is read as
-browsers read it; very deep nesting is flattened, its text kept; repeated rows give
+browsers read it, but that formatting elements left open at the end of a block are not opened
+again after it; very deep nesting is flattened and very long pages are read whole, their text kept; repeated rows give
 repeated results; an empty table gives no rows; other columns are ignored.
 """
 

@@ -164,6 +164,75 @@ BROKEN = [
 ]
 
 
+#: Misnested tags, strays of tables and visibility as browsers read them.
+MISNESTED = [
+    ("<b><p>x</b>y</p>", "xy"), ("<a><div>x</a>y</div>", "xy"), ("<b><div><p>x</b>y</p>z</div>", "xy\n\nz"),
+    ("<span><p>x</span>y</p>", "xy"), ("<b hidden><p>x</b>y</p>z", "y\n\nz"), ("<i><b><p>x</b></i>y</p>", "xy"),
+    ("<b><i>x</b>y</i>", "xy"), ("<b>x<table><tr><td>y</b>z</table>", "x\n\nyz"),
+    ("abc<table>x<tr><td>1<td>2</table>", "abcx\n\n1  2"), ("q<table><tr><div>stray</div><td>1</table>r", "q\nstray\n\n1\n\nr"),
+    ("<tr><td>x</td><td>y</td></tr>", "xy"), ("<table><td>a<td>b<tr><td>c</table>", "a  b\nc"),
+    ("<table><table><tr><td>1</table>2", "1\n\n2"), ("<table><tr><td>a<div><td>b</table>", "a  b"),
+    ("<table><tr><td>a<caption>c</table>", "c\na"),
+    ("<p style='visibility:hidden'>a<b style='visibility: visible'>b</b>c</p>d", "b\n\nd"),
+    ("<p style='visibility:visible;visibility:hidden'>a</p>b", "b"), ("<div style='visibility:hidden'><q>a</q><input value=v></div>b", "b"),
+    ("<ol><li style='visibility:hidden'>a<li>b</ol>", "2. b"),
+    ("<p style='display:none'>a<b style='visibility:visible'>b</b></p>c", "c"),
+    ("<table><tr><td style='visibility:hidden'>aaa<td>b<tr><td>c<td>d</table>", "   b\nc  d"),
+]
+
+
+@pytest.mark.parametrize("source,text", MISNESTED)
+def test_misnested_tags_and_visibility(source, text):
+    assert render(source) == text
+
+
+TABLES = [
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<td>d</table>", "a  b\n   c  d"),
+    ("<table><tr><td rowspan=2>a<br>b<br>c<td>d<tr><td>e</table>", "a  d\nb  e\nc"),
+    ("<table><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>", "a  b\nc  d"),
+    ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a  b  c\nd     e\nf     g"),
+    ("<table><tr><td colspan=2>long heading<td>x<tr><td>a<td>b<td>c</table>", "long heading  x\na  b          c"),
+]
+
+
+@pytest.mark.parametrize("source,text", TABLES)
+def test_spans(source, text):
+    assert render(source) == text
+
+
+def test_cells_of_random_tables_are_aligned():
+    """Cells of one column begin at one place, right of all that stands to their left, whatever spans and lengths there are."""
+    rng = random.Random(5)
+    for _ in range(200):
+        rows, cols, taken, parts, place, n = rng.randrange(1, 6), rng.randrange(1, 5), set(), ["<table>"], {}, 0
+        for r in range(rows):
+            parts.append("<tr>")
+            for c in range(cols):
+                if (r, c) in taken:
+                    continue
+                down = rng.randrange(1, rows - r + 1) if rng.random() < 0.3 else 1
+                wide = 1
+                while c + wide < cols and (r, c + wide) not in taken and rng.random() < 0.2:
+                    wide += 1
+                taken |= {(r + i, c + j) for i in range(down) for j in range(wide)}
+                words = [f"w{n + k}{'x' * rng.randrange(9)}w" for k in range(rng.choice([1, 1, 2, 50]))]
+                n += len(words)
+                place[words[0]] = (c, c + wide, words)
+                parts.append(f"<td rowspan={down} colspan={wide}>{' '.join(words)}")
+        lines = render("".join(parts) + "</table>").split("\n")
+        found = {w: (k, m) for k, line in enumerate(lines) for w, m in [(x, line.index(x)) for x in line.split()]}
+        assert len(found) == n
+        starts = {}
+        for first, (c, end, words) in place.items():
+            starts.setdefault(c, set()).add(found[first][1])
+            assert sorted(words, key=lambda w: found[w]) == words
+        assert all(len(v) == 1 for v in starts.values())
+        at = {c: v.pop() for c, v in starts.items()}
+        for c, end, words in place.values():
+            right = min((x for k, x in at.items() if k >= end), default=10**9)
+            assert all(found[w][1] >= at[c] and found[w][1] + len(w) + 2 <= right for w in words)
+
+
 @pytest.mark.parametrize("source,text", BROKEN)
 def test_quotes_and_comment_ends(source, text):
     assert render(source) == text
