@@ -126,6 +126,37 @@ def test_held_out_accuracy(spark):
     assert len(got) > 1000 and sum(r.verdict == truth[r.page_id] for r in got) > 0.95 * len(got)
 
 
+def test_no_training_row_sees_its_own_label(spark):
+    """The shares of a labelled row count other folds only, those of other rows count all."""
+    rng = random.Random(3)
+    rows = [(i, f"http://h{rng.randrange(40)}.{rng.choice(['com', 'net'])}/{rng.choice(['es', 'de'])}/{i}.html") for i in range(600)]
+    df = spark.createDataFrame(rows + [(900, None), (901, "http://new.org/es/x.html")], "page_id long, url string")
+    full = U._rows(df, "page_id", U.RULES)
+    labelled = full.where("label is not null")
+    got = U._with_rates(full, labelled, 0.25).collect()
+    seen = [r for r in got if r.label is not None]
+    assert {r.fold for r in seen} == set(range(U.FOLDS)) and len({(r.host, r.fold) for r in seen}) == len({r.host for r in seen})
+    for r in got:
+        for s in U.SUFFIXES:
+            mine = [x.label for x in seen if x[s] == r[s] and (r.fold is None or x.fold != r.fold)]
+            assert abs(r["r_" + s] - (sum(mine) + 0.25 * U.SMOOTH) / (len(mine) + U.SMOOTH)) < 1e-9
+
+
+def test_held_out_hosts(spark):
+    """Hosts that the trees never saw are judged well where their urls tell, and no better than a guess where they do not."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(3000):
+        tail = f"{rng.randrange(10**9)}?a=1&b=2&c={rng.randrange(99)}" if i % 2 else rng.choice(["about", "story"])
+        rows.append((i, f"http://h{i % 200}.{'bad' if i % 2 else 'good'}.org/{tail}"))
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    told = U.held_out(df, rules=[("allow", "good.org/"), ("block", "bad.org/")])
+    assert told["n_urls"] > 300 and told["accuracy"] > 0.95 and sum(v > 0 for v in told["importance"].values()) > 4
+    noise = df.withColumn("url", F.concat(F.lit("http://h"), F.col("page_id") % 200, F.lit(".org/"), F.when(F.rand(4) < 0.5, "x").otherwise("y")))
+    half = [("block" if i % 2 else "allow", f"h{i}.org/") for i in range(200)]
+    assert U.held_out(noise, rules=half)["accuracy"] < 0.75
+
+
 def test_url_filter_with_one_label_or_none(spark):
     df = spark.createDataFrame([(1, "http://a.com/"), (2, "http://b.org/")], "page_id long, url string")
     assert {r.page_id: r.verdict for r in U.filter_urls(df).collect()} == {1: "allow", 2: "allow"}
