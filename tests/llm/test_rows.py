@@ -5,6 +5,8 @@ import zlib
 from collections import Counter
 
 import duckdb
+import pytest
+import xxhash
 
 from cyclewise.llm import op2_quality_rules as Q, op4_mixing as M, op9_sharding as H
 from tests.llm.cases import documents, frame, prose
@@ -109,6 +111,80 @@ def sources(rows):
     return out
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of (number, bytes) pairs, unsigned."""
+    seed = 42
+    for v, size in values:
+        seed = xxhash.xxh64(v.to_bytes(size, "little", signed=True), seed=seed).intdigest()
+    return seed
+
+
+def brute_mix(rows, target):
+    """(doc_id, pass, block) to (weight, order), by closed forms and one sorted walk a source."""
+    tokens = sources(rows)
+    live = [t for t in tokens.values() if t]
+    most, least, total = max(live), min(live), sum(live)
+
+    def flat_enough(a):
+        z = sum((t / total) ** a for t in live)
+        if target.entropy is not None:
+            return -sum((t / total) ** a / z * math.log((t / total) ** a / z) for t in live) < target.entropy
+        return (most / least) ** (1 - a) <= target.max_repeat
+
+    lo, hi = 0.0, 1.0
+    for _ in range(4 * M.STEPS):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if flat_enough(mid) else (mid, hi)
+    z, out = sum(t ** hi for t in live), {}
+    for s, t in tokens.items():
+        reads = (most / t) ** (1 - hi) if t else 1.0
+        reads = round(reads) if abs(reads - round(reads)) < 1e-9 else reads
+        whole, weight = int(reads), t ** hi / z if t else 0.0
+        left, mine = int((reads - whole) * t), [(r[0], len(words(r[1]))) for r in rows if r[3] == s]
+        takes = {i: whole for i, _ in mine}
+        walk = sorted(mine, key=lambda x: spark_hash((M.SEED, 4), (whole, 8), (x[0], 8))) if left else []
+        for i, n in walk:
+            left -= n
+            if left < 0:
+                break
+            takes[i] += 1
+        for i, passes in takes.items():
+            for k in range(passes):
+                h = spark_hash((M.SEED, 4), (k, 8), (i, 8))
+                out[i, k, h >> 54] = (weight, (k + (h >> 11) / 2**53) / reads)
+    return out
+
+
+@pytest.mark.parametrize("target", [M.Target(max_repeat=1.5), M.Target(max_repeat=3.7), M.Target(entropy=1.5), M.Target(max_repeat=1.0)])
+def test_mixing_matches_brute_force(spark, target):
+    rows = documents(12, n=150) + [(10_000 + i, t, None, "no words", None) for i, t in enumerate([None, "", " \n"])]
+    want = brute_mix(rows, target)
+    got = M.mix(frame(spark, rows, extra=True), ["doc_id"], target).collect()
+    assert len(got) == len(want)
+    for r in got:
+        weight, order = want[r.doc_id, r.mix_pass, r.mix_block]
+        assert abs(r.mix_weight - weight) < 1e-9 and abs(r.mix_order - order) < 1e-9
+
+
+def brute_shards(rows, shards):
+    """doc_id to (shard, slot): one sort by fractional rank, cut into equal parts."""
+    order = []
+    for s in {r[3] for r in rows}:
+        mine = sorted((spark_hash((H.SEED, 4), (r[0], 8)), r[0]) for r in rows if r[3] == s)
+        order += [((2 * k + 1) / (2 * len(mine)), (s or "").encode(), s is None, h - (h >> 63 << 64), i) for k, (h, i) in enumerate(mine)]
+    cuts = [-(-k * len(order) // shards) for k in range(shards + 1)]
+    place = {x[-1]: k for k, x in enumerate(sorted(order))}
+    return {i: next((k, p - cuts[k]) for k in range(shards) if cuts[k] <= p < cuts[k + 1]) for i, p in place.items()}
+
+
+@pytest.mark.parametrize("n,shards", [(200, 16), (3, 16), (90, 7)])
+def test_shards_match_brute_force(spark, n, shards):
+    from pyspark.sql import functions as F
+    rows = documents(6, n=200)[:n]
+    got = H.shard(frame(spark, rows, extra=True), F.col("source"), ["doc_id"], shards).collect()
+    assert {r.doc_id: (r.shard, r.slot) for r in got} == brute_shards(rows, shards) and len(got) == len(rows)
+
+
 def test_mixing_meets_its_weights(spark):
     rows = documents(8, n=150)
     tokens = sources(rows)
