@@ -23,7 +23,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cyclewise.llm.common import ascii_lower, materialise, read_table
+from cyclewise.llm.common import LOWER, UPPER, ascii_lower, materialise, read_table
 
 #: (verdict, host and path) of the production rules.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
@@ -170,3 +170,34 @@ def held_out(pages: DataFrame, key: str = "page_id", rules: list[tuple[str, str]
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"))
+
+
+def rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule and the rule's verdict (null where none fits) of every page: what the trees have no part in."""
+    host, path = split_url(F.col("url"))
+    rows = read_table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    return rows.withColumn("j", judge(F.col("host"), F.col("path"), RULES)).select("page_id", "host", "path", "j.rule", "j.verdict")
+
+
+def _rule_case(value: str) -> str:
+    """CASE over the rules, longest first; ``value`` is 'rule' or 'verdict'."""
+    whens = []
+    for verdict, rule in sorted(RULES, key=lambda r: -len(r[1])):
+        name, _, rest = rule.partition("/")
+        whens.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}') "
+                     f"THEN '{rule if value == 'rule' else verdict}'")
+    return "CASE " + " ".join(whens) + " END"
+
+
+#: DuckDB SQL for the rows of ``rules_query``.
+RULES_SQL = f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, regexp_extract(rest, '^([^/?#]*)', 1) AS raw, rest FROM cut
+), split AS (
+  SELECT page_id, translate(raw, '{UPPER}', '{LOWER}') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1) AS path FROM parts
+)
+SELECT page_id, host, path, {_rule_case('rule')} AS rule, {_rule_case('verdict')} AS verdict FROM split
+"""

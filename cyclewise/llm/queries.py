@@ -15,6 +15,7 @@ QUERIES = {
     "op5_topk": op5_topk.query,
     "op6_substring_dedup": op6_substring_dedup.query,
     "op7_url_filter": op7_url_filter.query,
+    "url_rules": op7_url_filter.rules_query,
     "op8_packing": op8_packing.query,
     "op9_sharding": op9_sharding.query,
     "op10_token_blocks": op10_token_blocks.query,
@@ -26,6 +27,7 @@ ORACLE = {
     "op2_quality_rules": op2_quality_rules.ORACLE_SQL,
     "op5_topk": op5_topk.ORACLE_SQL,
     "op6_substring_dedup": op6_substring_dedup.ORACLE_SQL,
+    "url_rules": op7_url_filter.RULES_SQL,
     "op12_chat": op12_chat.ORACLE_SQL,
     "op13_manifest": op13_manifest.ORACLE_SQL,
 }

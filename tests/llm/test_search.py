@@ -2,6 +2,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +108,21 @@ def test_rules(spark):
         assert (r.score is None) == (rule is not None)
 
 
+def test_rules_match_their_sql(spark, tmp_path):
+    more = [(100 + i, f"{scheme}{host}{tail}") for i, (scheme, host, tail) in enumerate(
+        (a, b, c) for a in ("http://", "HTTPS://", "://", "//", "x:") for b in ("Example.COM", "www.example.com", "a.net", "net", "xnet", "")
+        for c in ("", "/", "/en/x", "/es/?a=/fr/", "/fr/#x", "?/es/", "/EN/", "://b.net/fr/"))]
+    rows = [u[:2] for u in URLS] + more + [(9000, None), (9001, ""), (9002, "http://é.net/es/" + "ü" * 5000)]
+    spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(f"file://{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    cur = con.execute(U.RULES_SQL)
+    names = [d[0] for d in cur.description]
+    key = lambda r: tuple((x is None, x) for x in r)
+    got = [tuple(r) for r in U.rules_query(spark, f"file://{tmp_path}").select(*names).collect()]
+    assert sorted(got, key=key) == sorted(cur.fetchall(), key=key) and len(got) == len(rows)
+
+
 def test_held_out_accuracy(spark):
     """Spam-like urls outside the rules are told from plain ones."""
     rng = random.Random(7)
