@@ -7,6 +7,8 @@ Text is written unchanged (no trimming, quotes doubled)."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,24 +57,32 @@ def write_resume(resume: DataFrame, path: str) -> str:
     return _csv(resume, path, "system", "sysname")
 
 
-def name_files(spark: SparkSession, path: str, suffix: str) -> list[str]:
+def name_files(spark: SparkSession, path: str, suffix: str) -> int:
     """Give the part files of each ``<key>=<value>`` folder of ``path`` the name
     ``<value><suffix>`` (``<value>.<k><suffix>`` if a folder holds several), as
-    discovery by file name expects it; returns the new paths."""
+    discovery by file name expects it; returns how many were named.  A run that ended half-way is
+    taken up by the next: named files stay, the others get the names still free, as one run would have
+    given them.  Folders come from an iterator, so the driver holds the names of one folder at a time."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    named = []
-    for folder in fs.listStatus(root):
+    folders, named = fs.listStatusIterator(root), 0
+    while folders.hasNext():
+        folder = folders.next()
         value = folder.getPath().getName().partition("=")[2]
         if not folder.isDirectory() or not value:
             continue
-        files = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
-        for k, file in enumerate(sorted(files, key=lambda f: f.getName())):
-            target = jvm.org.apache.hadoop.fs.Path(folder.getPath(), f"{value}{f'.{k}' if k else ''}{suffix}")
-            if not fs.rename(file, target):
+        names = {f.getPath().getName() for f in fs.listStatus(folder.getPath())}
+        ours = re.compile(re.escape(value) + r"(\.\d+)?" + re.escape(suffix))
+        parts, k = sorted(n for n in names if n.startswith("part-") and not ours.fullmatch(n)), 0
+        for part in parts:
+            while (name := f"{value}{f'.{k}' if k else ''}{suffix}") in names:
+                k += 1
+            target = jvm.org.apache.hadoop.fs.Path(folder.getPath(), name)
+            if not fs.rename(jvm.org.apache.hadoop.fs.Path(folder.getPath(), part), target):
                 raise OSError(f"cannot name {target}")
-            named.append(str(target))
+            names.add(name)
+            named += 1
     return named
 
 

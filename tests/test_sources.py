@@ -91,6 +91,26 @@ def test_discovery_by_file_name(spark, tmp_path):
     assert got == [("new", "A_resume.CSV")]
 
 
+def test_naming_goes_on_where_it_ended(spark, tmp_path):
+    """A run that died half-way and its repeat give the names of one whole run; a third run changes nothing."""
+    for run in ("whole", "halted"):
+        for system in ("A", "B", "part-7"):
+            folder = tmp_path / run / f"system={system}"
+            folder.mkdir(parents=True)
+            for k in range(3):
+                (folder / f"part-0000{k}-x.csv").write_text(f"{system} {k}")
+        (tmp_path / run / "_SUCCESS").write_text("")
+    halted = tmp_path / "halted" / "system=A"
+    (halted / "part-00000-x.csv").rename(halted / "A_resume.CSV")
+    (halted / "part-00001-x.csv").rename(halted / "A.1_resume.CSV")
+    assert name_files(spark, f"file://{tmp_path}/whole", "_resume.CSV") == 9
+    assert name_files(spark, f"file://{tmp_path}/halted", "_resume.CSV") == 7
+    assert name_files(spark, f"file://{tmp_path}/halted", "_resume.CSV") == 0
+    held = {run: {str(f.relative_to(tmp_path / run)): f.read_text() for f in (tmp_path / run).rglob("*.CSV")} for run in ("whole", "halted")}
+    assert held["whole"] == held["halted"] and len(held["whole"]) == 9
+    assert held["whole"]["system=A/A.2_resume.CSV"] == "A 2" and held["whole"]["system=part-7/part-7_resume.CSV"] == "part-7 0"
+
+
 def test_small_files_and_wrong_headers(spark, tmp_path):
     path = f"file://{tmp_path}/r"
     write_resume(_resume(spark, "one"), path)
