@@ -177,9 +177,10 @@ def brute_shards(rows, shards):
     return {i: next((k, p - cuts[k]) for k in range(shards) if cuts[k] <= p < cuts[k + 1]) for i, p in place.items()}
 
 
-@pytest.mark.parametrize("n,shards", [(200, 16), (3, 16), (90, 7)])
-def test_shards_match_brute_force(spark, n, shards):
+@pytest.mark.parametrize("n,shards,rows_each", [(200, 16, H.BUCKET_ROWS), (3, 16, H.BUCKET_ROWS), (90, 7, H.BUCKET_ROWS), (200, 16, 0.01)])
+def test_shards_match_brute_force(spark, monkeypatch, n, shards, rows_each):
     from pyspark.sql import functions as F
+    monkeypatch.setattr(H, "_bits", lambda n: max(H.MIN_BITS, int(n // rows_each).bit_length()))
     rows = documents(6, n=200)[:n]
     got = H.shard(frame(spark, rows, extra=True), F.col("source"), ["doc_id"], shards).collect()
     assert {r.doc_id: (r.shard, r.slot) for r in got} == brute_shards(rows, shards) and len(got) == len(rows)
@@ -229,6 +230,19 @@ def test_mixing_edge_cases(spark):
     assert sum(r.mix_tokens for r in half) == 12  # whole documents within 14 tokens
 
 
+def test_buckets_follow_the_rows():
+    assert [H._bits(n) for n in (0, 10**6, 10**9, 2**30 - 1, 2**30, 5 * 10**10)] == [10, 10, 10, 10, 11, 16]
+    assert all(n / 2 ** H._bits(n) <= H.BUCKET_ROWS for n in (10**9, 10**11, 10**13))
+
+
+def test_shards_with_null_keys(spark):
+    rows = [(None if i % 4 == 0 else i, f"text {i}", None, "s" if i % 2 else None, None) for i in range(40)]
+    from pyspark.sql import functions as F
+    got = H.shard(frame(spark, rows + rows[:4]), F.col("source"), ["doc_id"], 16).collect()
+    assert Counter(r.text for r in got) == Counter(r[1] for r in rows + rows[:4])
+    assert len({(r.shard, r.slot) for r in got}) == 44 and {r.shard for r in got} == set(range(16))
+
+
 def test_shards(spark):
     rows = documents(3, n=200)
     table = frame(spark, rows + rows[:9], extra=True)
